@@ -5,7 +5,7 @@ from __future__ import annotations
 import ipaddress
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pagetab.functions.urls import normalize_url, url_origin
 
@@ -69,7 +69,7 @@ def _in_networks(number: Column, networks: tuple[str, ...]) -> Column:
     return found
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _ipv6_class(hosts: pd.Series) -> pd.Series:
     def judge(host: str | None) -> str | None:
         if host is None:

@@ -50,11 +50,14 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _groups(value: Column, pattern: str, count: int) -> Column:
-    """The ``count`` groups of a whole-string match as an array; null when there is no match."""
+def _with_groups(value: Column, pattern: str, count: int, body: Callable[..., Column]) -> Column:
+    """Call ``body`` with the groups of a whole-string match.
+
+    Without a match the second and later groups are null, which makes every
+    result below null. The pattern runs once per row.
+    """
     joined = F.regexp_replace(value, pattern, "".join(f"${i + 1}{_CUT}" for i in range(count)))
-    parts = F.split(joined, _CUT)
-    return F.when(value.rlike(pattern), parts)
+    return _let(F.split(joined, _CUT), lambda parts: body(*[F.get(parts, F.lit(i)) for i in range(count)]))
 
 
 def percent_decode(value: Column) -> Column:
@@ -99,8 +102,7 @@ def _ascii_host(host: Column) -> Column:
 def _authority(scheme: Column, netloc: Column) -> Column:
     """host[:port] in normal form, null when the authority is not acceptable."""
 
-    def build(parts: Column) -> Column:
-        bracketed, plain, port = parts[0], parts[1], parts[2]
+    def build(bracketed: Column, plain: Column, port: Column) -> Column:
         literal_ok = _is_ipv6(bracketed) | bracketed.rlike(r"\Av[0-9A-Fa-f]+\..+\z")
         literal = F.when(literal_ok & bracketed.rlike(_LABELS), F.lower(bracketed))
         literal = F.when(bracketed.contains(":"), F.concat(F.lit("["), literal, F.lit("]"))).otherwise(literal)
@@ -113,7 +115,7 @@ def _authority(scheme: Column, netloc: Column) -> Column:
             .when(number <= 65535, F.concat(host, F.lit(":"), number.cast("string")))
         )
 
-    return _let(_groups(netloc, _AUTHORITY, 3), build)
+    return _with_groups(netloc, _AUTHORITY, 3, build)
 
 
 def normalize_url(value: Column) -> Column:
@@ -123,20 +125,18 @@ def normalize_url(value: Column) -> Column:
     host, any userinfo, a bad port or host, or a sensitive query.
     """
 
-    def build(parts: Column) -> Column:
-        scheme, path, query = F.lower(parts[0]), parts[2], parts[3]
-        authority = _authority(scheme, parts[1])
+    def build(scheme: Column, netloc: Column, path: Column, query: Column) -> Column:
         text = F.concat(
-            scheme,
+            F.lower(scheme),
             F.lit("://"),
-            authority,
+            _authority(F.lower(scheme), netloc),
             F.when(path == "", F.lit("/")).otherwise(path),
             F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)),
         )
         return F.when(~has_sensitive_query(query), text)
 
     allowed = (F.length(value) <= MAX_URL_CHARS) & ~value.rlike(r"[\x00-\x1f\\]")
-    return F.when(allowed, _let(_groups(F.ltrim(value), _ABSOLUTE, 4), build))
+    return F.when(allowed, _with_groups(F.ltrim(value), _ABSOLUTE, 4, build))
 
 
 def url_origin(normalized: Column) -> Column:
@@ -170,15 +170,14 @@ def _quoted(text: Column, safe: str) -> Column:
 def request_url(normalized: Column) -> Column:
     """The form in which a normalised URL is requested and recorded: unsafe characters as %XX."""
 
-    def build(parts: Column) -> Column:
-        query = parts[3]
+    def build(scheme: Column, netloc: Column, path: Column, query: Column) -> Column:
         return F.concat(
-            parts[0], F.lit("://"), parts[1], _quoted(parts[2], _PATH_SAFE),
+            scheme, F.lit("://"), netloc, _quoted(path, _PATH_SAFE),
             F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), _quoted(query, _QUERY_SAFE))),
         )
 
     unsafe = normalized.rlike(f"[^{_QUERY_SAFE}]")
-    return F.when(unsafe, _let(_groups(normalized, _ABSOLUTE, 4), build)).otherwise(normalized)
+    return F.when(unsafe, _with_groups(normalized, _ABSOLUTE, 4, build)).otherwise(normalized)
 
 
 def _without_dots(path: Column) -> Column:
@@ -209,9 +208,11 @@ def resolve_url(base: Column, href: Column) -> Column:
     on a base that is not http(s); ``normalize_url`` then judges them.
     """
 
-    def join(b: Column, r: Column) -> Column:
-        scheme, netloc, base_path, base_query = F.lower(b[0]), b[1], b[2], b[3]
-        ref_netloc, ref_path, ref_query = r[0], _without_empty_params(r[1]), r[2]
+    def join(
+        base_scheme: Column, netloc: Column, base_path: Column, base_query: Column,
+        ref_netloc: Column, raw_path: Column, ref_query: Column,
+    ) -> Column:
+        scheme, ref_path = F.lower(base_scheme), _without_empty_params(raw_path)
         folder = F.regexp_extract(base_path, r"(?s)\A.*/", 0)
         folder = F.when(folder == "", F.lit("/")).otherwise(folder)
         params = F.regexp_extract(ref_path, r";[^/]*\z", 0)
@@ -220,8 +221,8 @@ def resolve_url(base: Column, href: Column) -> Column:
             F.when(bare.startswith("/"), bare)
             .otherwise(F.regexp_replace(F.concat(folder, bare), "/{2,}", "/"))
         )
-        flat = F.when(whole.rlike(_DOTTED), _without_dots(whole)).otherwise(whole)
-        rooted = F.when(flat.startswith("/"), flat).otherwise(F.concat(F.lit("/"), flat))
+        flat = _let(whole, lambda w: F.when(w.rlike(_DOTTED), _without_dots(w)).otherwise(w))
+        rooted = _let(flat, lambda f: F.when(f.startswith("/"), f).otherwise(F.concat(F.lit("/"), f)))
         path = F.when(ref_path == "", _without_empty_params(base_path)).otherwise(F.concat(rooted, params))
         query = F.when((ref_path == "") & (ref_query == ""), base_query).otherwise(ref_query)
         tail = F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query))
@@ -230,13 +231,15 @@ def resolve_url(base: Column, href: Column) -> Column:
             ref_netloc != "", F.concat(scheme, F.lit("://"), ref_netloc, ref_path, ref_tail)
         ).otherwise(F.concat(scheme, F.lit("://"), netloc, path, tail))
 
-    cleaned = F.regexp_replace(href, r"\A[\x00-\x20]+|[\t\r\n]", "")
-    scheme = F.lower(F.regexp_extract(cleaned, _SCHEME, 1))
-    base_scheme = F.lower(F.regexp_extract(base, _SCHEME, 1))
-    local = F.when(scheme == "", cleaned).otherwise(F.regexp_replace(cleaned, _SCHEME, ""))
-    joined = _let(_groups(base, _ABSOLUTE, 4), lambda b: _let(_groups(local, _REFERENCE, 3), lambda r: join(b, r)))
-    return (
-        F.when((scheme != "") & (scheme != base_scheme), href)
-        .when(~base_scheme.isin("http", "https"), href)
-        .otherwise(joined)
-    )
+    def against(cleaned: Column) -> Column:
+        scheme = F.lower(F.regexp_extract(cleaned, _SCHEME, 1))
+        base_scheme = F.lower(F.regexp_extract(base, _SCHEME, 1))
+        local = F.regexp_replace(cleaned, _SCHEME, "")
+        joined = _with_groups(
+            base, _ABSOLUTE, 4, lambda *b: _with_groups(local, _REFERENCE, 3, lambda *r: join(*b, *r))
+        )
+        return F.when(
+            base_scheme.isin("http", "https") & ((scheme == "") | (scheme == base_scheme)), joined
+        ).otherwise(href)
+
+    return _let(F.regexp_replace(href, r"\A[\x00-\x20]+|[\t\r\n]", ""), against)

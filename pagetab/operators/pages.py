@@ -82,11 +82,13 @@ def page_base(url: Column, base_href: Column) -> Column:
 
 def decide_links(links: DataFrame, allowed_origin: Column) -> DataFrame:
     """Resolve and admit every anchor: adds target, url (admitted) and reason (refused)."""
-    target = resolve_url(page_base(F.col("url"), F.col("base_href")), F.col("href"))
     return (
-        links.withColumn("target", target)
+        links.withColumn("base", page_base(F.col("url"), F.col("base_href")))
+        .withColumn("target", resolve_url(F.col("base"), F.col("href")))
         .withColumnRenamed("url", "src_url")
         .withColumn("decision", admit(F.col("target"), allowed_origin))
-        .withColumns({"url": F.col("decision.url"), "reason": F.col("decision.reason")})
-        .drop("decision", "base_href")
+        .select(
+            *[c for c in links.columns if c not in ("url", "base_href")],
+            "src_url", "target", F.col("decision.url").alias("url"), F.col("decision.reason").alias("reason"),
+        )
     )

@@ -167,15 +167,16 @@ def path_rules(effective: DataFrame) -> DataFrame:
     )
 
 
-def robots_verdicts(urls: DataFrame, prefixes: DataFrame) -> DataFrame:
+def robots_verdicts(urls: DataFrame, prefixes: DataFrame, path: Column | None = None) -> DataFrame:
     """Add ``allowed`` to rows of (crawl_id, url, ...): the first matching rule in file order decides.
 
     A rule matches a prefix of the path. Instead of pairing every URL with every
     rule of its crawl, each path is cut at the lengths its crawl's rules have and
-    looked up by equality. (crawl_id, url) must be unique.
+    looked up by equality. (crawl_id, url) must be unique. ``path`` may give a
+    ready-made ``robots_path`` column.
     """
     lengths = prefixes.groupBy("crawl_id").agg(F.collect_set(F.length("prefix")).alias("lengths"))
-    paths = urls.select("crawl_id", "url", robots_path(F.col("url")).alias("path"))
+    paths = urls.select("crawl_id", "url", (robots_path(F.col("url")) if path is None else path).alias("path"))
     cuts = (
         paths.join(lengths, "crawl_id")
         .select("crawl_id", "url", "path", F.explode("lengths").alias("n"))

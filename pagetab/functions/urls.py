@@ -2,7 +2,7 @@
 
 Everything stays on the JVM. A URL is cut into its parts by one regular
 expression pass that re-joins the groups with U+0001 (a character no accepted
-URL holds) followed by one split, and ``_let`` binds the parts so that they are
+URL holds) followed by one split, and ``let`` binds the parts so that they are
 computed once per row however often the checks look at them.
 """
 
@@ -45,7 +45,7 @@ _PATH_SAFE = r"A-Za-z0-9\-._~:/?@!$&'()*+,;=%"
 _QUERY_SAFE = _PATH_SAFE.replace("'", "")
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it as often as ``body`` likes."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
@@ -57,7 +57,7 @@ def _with_groups(value: Column, pattern: str, count: int, body: Callable[..., Co
     result below null. The pattern runs once per row.
     """
     joined = F.regexp_replace(value, pattern, "".join(f"${i + 1}{_CUT}" for i in range(count)))
-    return _let(F.split(joined, _CUT), lambda parts: body(*[F.get(parts, F.lit(i)) for i in range(count)]))
+    return let(F.split(joined, _CUT), lambda parts: body(*[F.get(parts, F.lit(i)) for i in range(count)]))
 
 
 def percent_decode(value: Column) -> Column:
@@ -92,7 +92,7 @@ def _ascii_host(host: Column) -> Column:
     # java.net.IDN is the same 2003 standard as the reference behaviour; only
     # the rare non-ASCII host reaches it because CASE branches are lazy.
     puny = F.lower(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), host, F.lit(1)))
-    checked = _let(puny, lambda p: F.when(~p.rlike(r"[/?#@:\[\]\\]"), p))
+    checked = let(puny, lambda p: F.when(~p.rlike(r"[/?#@:\[\]\\]"), p))
     return (
         F.when(~host.rlike(r"[^\x00-\x7f]"), F.when(host.rlike(_LABELS), F.lower(host)))
         .otherwise(checked)
@@ -155,7 +155,7 @@ def admit(value: Column, allowed_origin: Column) -> Column:
         )
         return F.struct(F.when(reason.isNull(), url).alias("url"), reason.alias("reason"))
 
-    return _let(normalize_url(value), decide)
+    return let(normalize_url(value), decide)
 
 
 def _quoted(text: Column, safe: str) -> Column:
@@ -221,8 +221,8 @@ def resolve_url(base: Column, href: Column) -> Column:
             F.when(bare.startswith("/"), bare)
             .otherwise(F.regexp_replace(F.concat(folder, bare), "/{2,}", "/"))
         )
-        flat = _let(whole, lambda w: F.when(w.rlike(_DOTTED), _without_dots(w)).otherwise(w))
-        rooted = _let(flat, lambda f: F.when(f.startswith("/"), f).otherwise(F.concat(F.lit("/"), f)))
+        flat = let(whole, lambda w: F.when(w.rlike(_DOTTED), _without_dots(w)).otherwise(w))
+        rooted = let(flat, lambda f: F.when(f.startswith("/"), f).otherwise(F.concat(F.lit("/"), f)))
         path = F.when(ref_path == "", _without_empty_params(base_path)).otherwise(F.concat(rooted, params))
         query = F.when((ref_path == "") & (ref_query == ""), base_query).otherwise(ref_query)
         tail = F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query))
@@ -242,4 +242,4 @@ def resolve_url(base: Column, href: Column) -> Column:
             base_scheme.isin("http", "https") & ((scheme == "") | (scheme == base_scheme)), joined
         ).otherwise(href)
 
-    return _let(F.regexp_replace(href, r"\A[\x00-\x20]+|[\t\r\n]", ""), against)
+    return let(F.regexp_replace(href, r"\A[\x00-\x20]+|[\t\r\n]", ""), against)

@@ -7,7 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from pagetab.functions.urls import normalize_url, url_origin
+from pagetab.functions.urls import let, normalize_url, url_origin
 
 # Limits used when a policy does not state them.
 DEFAULTS = {
@@ -83,27 +83,29 @@ def _ipv6_class(hosts: pd.Series) -> pd.Series:
     return hosts.map(judge, na_action="ignore").astype(object).where(hosts.notna(), None)
 
 
+def _ipv4_class(plain: Column) -> Column:
+    """Class of a dotted IPv4 literal, null for any other name; networks are number ranges."""
+    octet = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+    number = F.aggregate(F.split(plain, r"\."), F.lit(0).cast("bigint"), lambda n, part: n * 256 + part.cast("bigint"))
+
+    def judge(n: Column) -> Column:
+        private = _in_networks(n, NOT_GLOBAL_V4) & ~_in_networks(n, GLOBAL_V4_EXCEPTIONS)
+        return (
+            F.when(_in_networks(n, ("127.0.0.0/8",)), F.lit(LOOPBACK)).when(private, F.lit(NOT_GLOBAL)).otherwise(F.lit(GLOBAL))
+        )
+
+    return F.when(plain.rlike(rf"\A{octet}(?:\.{octet}){{3}}\z"), let(number, judge))
+
+
 def host_class(normalized: Column) -> Column:
     """localhost, name, global, loopback or not_global for the host of a normalised URL.
 
-    IPv4 literals are compared with number ranges; only bracketed literals reach Python.
+    Only bracketed literals reach Python.
     """
     literal = F.regexp_extract(normalized, r"\Ahttps?://\[([^\]]*)\]", 1)
     plain = F.regexp_extract(normalized, r"\Ahttps?://([^/?#:\[]*)", 1)
-    octet = r"(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-    quad = r"\A" + r"\.".join([octet] * 4) + r"\z"
-    number = F.lit(0).cast("bigint")
-    for group in range(1, 5):
-        number = number * 256 + F.regexp_extract(plain, quad, group).try_cast("bigint")
-    private = _in_networks(number, NOT_GLOBAL_V4) & ~_in_networks(number, GLOBAL_V4_EXCEPTIONS)
-    return (
-        F.when(literal != "", F.coalesce(_ipv6_class(F.when(literal != "", literal)), F.lit("name")))
-        .when(plain == "localhost", F.lit("localhost"))
-        .when(~plain.rlike(quad), F.lit("name"))
-        .when(_in_networks(number, ("127.0.0.0/8",)), F.lit(LOOPBACK))
-        .when(private, F.lit(NOT_GLOBAL))
-        .otherwise(F.lit(GLOBAL))
-    )
+    named = let(plain, lambda p: F.when(p == "localhost", F.lit("localhost")).otherwise(_ipv4_class(p)))
+    return F.coalesce(_ipv6_class(F.when(literal != "", literal)), named, F.lit("name"))
 
 
 def validate(policies: DataFrame) -> DataFrame:

@@ -172,23 +172,17 @@ def robots_verdicts(urls: DataFrame, prefixes: DataFrame, path: Column | None =
 
     A rule matches a prefix of the path. Instead of pairing every URL with every
     rule of its crawl, each path is cut at the lengths its crawl's rules have and
-    looked up by equality. (crawl_id, url) must be unique. ``path`` may give a
-    ready-made ``robots_path`` column.
+    looked up by equality. ``path`` may give a ready-made ``robots_path`` column.
     """
-    lengths = prefixes.groupBy("crawl_id").agg(F.collect_set(F.length("prefix")).alias("lengths"))
-    paths = urls.select("crawl_id", "url", (robots_path(F.col("url")) if path is None else path).alias("path"))
-    cuts = (
-        paths.join(lengths, "crawl_id")
-        .select("crawl_id", "url", "path", F.explode("lengths").alias("n"))
-        .where(F.col("n") <= F.length("path"))
-        .select("crawl_id", "url", F.expr("substring(path, 1, n)").alias("prefix"))
-    )
-    matched = (
-        cuts.join(prefixes, ["crawl_id", "prefix"])
-        .groupBy("crawl_id", "url")
-        .agg(F.min_by("allow", "seq").alias("allowed"))
-    )
+    lengths = prefixes.groupBy("crawl_id").agg(F.collect_set(F.length("prefix")).alias("_lengths"))
+    path = robots_path(F.col("url")) if path is None else path
+    fitting = F.filter("_lengths", lambda n: n <= F.length("_path"))
     return (
-        urls.join(matched, ["crawl_id", "url"], "left")
-        .withColumn("allowed", F.coalesce("allowed", F.lit(True)))
+        urls.join(lengths, "crawl_id", "left")
+        .withColumn("_path", F.when(F.col("_lengths").isNotNull(), path))
+        .select(*urls.columns, "_path", F.explode_outer(fitting).alias("_n"))
+        .withColumn("prefix", F.expr("substring(_path, 1, _n)"))
+        .join(prefixes.withColumnRenamed("seq", "_rule"), ["crawl_id", "prefix"], "left")
+        .groupBy(*urls.columns)
+        .agg(F.coalesce(F.min_by("allow", "_rule"), F.lit(True)).alias("allowed"))
     )

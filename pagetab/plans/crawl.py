@@ -84,7 +84,7 @@ def crawl(
     links = _decided(parsed, anchors, outcomes.where(F.col("kind") == "document"), origins)
     starts = gates.where((F.col("robots_status") != "unavailable") & F.col("effective_delay").isNotNull())
     frontier = fr.expand(starts, prefixes, fr.edges(links, outcomes), folder)
-    records = fr.crawl_records(frontier, outcomes, parsed, gates)
+    records = written(fr.crawl_records(frontier, outcomes, parsed, gates), f"{folder}/records")
     reached = written(fr.reached_documents(frontier, outcomes), f"{folder}/reached")
     followed = _decided(parsed, anchors, reached.where(F.col("redirect_to").isNull()), origins)
     exclusions = written(fr.link_exclusions(frontier, followed, reached), f"{folder}/exclusions")

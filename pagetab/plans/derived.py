@@ -30,7 +30,11 @@ def by_length(text: Column, modulus: int) -> Column:
     return F.length(text) % modulus
 
 
-def page_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def page_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_responses(read_table(spark, sf_dir, "pages"))
+
+
+def page_responses(captures: DataFrame) -> DataFrame:
     """Captured pages with some statuses, types, encodings and redirects set by page number."""
     n = F.col("capture_id")
     status = F.when(n % 17 == 3, F.lit(503)).when(n % 13 == 5, F.lit(302)).otherwise(F.lit(200))
@@ -39,7 +43,7 @@ def page_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(n % 4 == 1, F.lit("https://elsewhere.example.org/x"))
         .when(n % 4 == 2, F.col("url"))
     )
-    return as_responses(read_table(spark, sf_dir, "pages")).withColumns({
+    return captures.withColumns({
         "http_status": status,
         "content_type": F.when(n % 19 == 7, F.lit("image/png")).otherwise(F.col("content_type")),
         "content_encoding": F.when(n % 23 == 11, F.lit("unknown")),
@@ -47,13 +51,16 @@ def page_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-def site_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def origins(captures: DataFrame) -> DataFrame:
+    return captures.select("crawl_id").distinct()
+
+
+def site_responses(captures: DataFrame) -> DataFrame:
     """``page_responses`` plus one start page per origin."""
-    captured = page_responses(spark, sf_dir)
     html = F.concat(
         F.lit("<title>Site index</title><main>Captured pages of "), F.col("crawl_id"), F.lit("</main>")
     )
-    start = captured.select("crawl_id").distinct().select(
+    start = origins(captures).select(
         "crawl_id",
         F.lit(-1).cast("bigint").alias("capture_id"),
         F.concat("crawl_id", F.lit("/")).alias("url"),
@@ -65,12 +72,12 @@ def site_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("timestamp_seconds(1704067200)").alias("fetched_at"),
         F.lit(None).cast("string").alias("error_type"),
     )
-    return captured.unionByName(start)
+    return page_responses(captures).unionByName(start)
 
 
-def site_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def site_anchors(captures: DataFrame) -> DataFrame:
     """Links from every start page to the captured pages of its origin, in page order."""
-    return as_responses(read_table(spark, sf_dir, "pages")).select(
+    return captures.select(
         "crawl_id",
         F.lit(-1).cast("bigint").alias("capture_id"),
         F.concat("crawl_id", F.lit("/")).alias("url"),
@@ -80,14 +87,10 @@ def site_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_responses(read_table(spark, sf_dir, "pages")).select("crawl_id").distinct()
-
-
-def site_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def site_policies(captures: DataFrame) -> DataFrame:
     """One policy per origin, with limits that vary with its length."""
     name = F.col("crawl_id")
-    return _origins(spark, sf_dir).select(
+    return origins(captures).select(
         "crawl_id",
         F.concat(name, F.lit("/")).alias("start_url"),
         name.alias("allowed_origin"),
@@ -102,12 +105,12 @@ def site_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def site_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def site_robots(captures: DataFrame) -> DataFrame:
     """One robots answer per origin; some are missing or unavailable."""
     name = F.col("crawl_id")
     body = F.element_at(F.array(*map(F.lit, ROBOTS_BODIES)), by_length(name, 3) + 1)
     status = F.when(by_length(name, 10) == 7, F.lit(404)).when(by_length(name, 10) == 9, F.lit(503)).otherwise(F.lit(200))
-    return _origins(spark, sf_dir).select(
+    return origins(captures).select(
         "crawl_id",
         status.alias("http_status"),
         F.lit("text/plain; charset=utf-8").alias("content_type"),

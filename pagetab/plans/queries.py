@@ -11,11 +11,11 @@ from pagetab.functions.urls import admit, has_sensitive_query, normalize_url, re
 from pagetab.operators import audits, frontier as fr, policies as pol, reconcile as rec, reports as rp, robots as rb
 from pagetab.operators.bodies import decode_bodies, plain_bodies
 from pagetab.operators.classify import classify, first_captures, has_residual
-from pagetab.operators.pages import decide_links, extract_pages, link_rows, with_document_columns
+from pagetab.operators.pages import decide_links, extract_pages, link_rows
 from pagetab.plans import derived as d
 from pagetab.plans.crawl import CrawlRun, crawl
 from pagetab.sources.capture import located_pages, read_table
-from pagetab.sources.shared import shared_folder
+from pagetab.sources.shared import shared_folder, written
 from pagetab.sources.sinks import document_cells
 
 # Ways in which the URL queries rewrite every page URL.
@@ -149,7 +149,7 @@ def links_uncaptured(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = plain_bodies(d.page_responses(spark, sf)).drop("body")
+    rows = plain_bodies(d.page_responses(d.page_captures(spark, sf))).drop("body")
     return classify(rows.withColumn("max_body_bytes", F.lit(12000)).withColumn("allowed_origin", F.col("crawl_id")))
 
 
@@ -164,12 +164,12 @@ def redirects(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def residual_encoding(spark: SparkSession, sf: str) -> DataFrame:
-    return d.page_responses(spark, sf).select("capture_id", has_residual(F.col("content_encoding")).alias("rejected"))
+    return d.page_responses(d.page_captures(spark, sf)).select("capture_id", has_residual(F.col("content_encoding")).alias("rejected"))
 
 
 def body_limit(spark: SparkSession, sf: str) -> DataFrame:
     size = F.octet_length("body")
-    return d.page_responses(spark, sf).select(
+    return d.page_responses(d.page_captures(spark, sf)).select(
         "capture_id", size.cast("bigint").alias("body_bytes"), (size > 3000).alias("too_large")
     )
 
@@ -224,14 +224,15 @@ def host_literal(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def robots_rules_q(spark: SparkSession, sf: str) -> DataFrame:
-    return rb.robots_rules(d.site_robots(spark, sf)).select(
+    return rb.robots_rules(d.site_robots(d.page_captures(spark, sf))).select(
         "crawl_id", F.col("grp").cast("int").alias("grp"), "seq", F.array_join("agents", ",").alias("agents"), "directive", "value"
     )
 
 
 def _gates(spark: SparkSession, sf: str) -> DataFrame:
-    policies = pol.usable(pol.validate(pol.with_defaults(d.site_policies(spark, sf))))
-    return rb.robots_gate(policies, d.site_robots(spark, sf))
+    captures = d.page_captures(spark, sf)
+    policies = pol.usable(pol.validate(pol.with_defaults(d.site_policies(captures))))
+    return rb.robots_gate(policies, d.site_robots(captures))
 
 
 def robots_gate(spark: SparkSession, sf: str) -> DataFrame:
@@ -239,7 +240,7 @@ def robots_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _effective(spark: SparkSession, sf: str) -> DataFrame:
-    return rb.effective_rules(rb.robots_rules(d.site_robots(spark, sf)))
+    return rb.effective_rules(rb.robots_rules(d.site_robots(d.page_captures(spark, sf))))
 
 
 def robots_delay(spark: SparkSession, sf: str) -> DataFrame:
@@ -249,9 +250,14 @@ def robots_delay(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _prefixes(spark: SparkSession, sf: str) -> DataFrame:
+    """Path rules as a table, because the lookup reads them twice."""
+    return written(rb.path_rules(_effective(spark, sf)), f"{shared_folder(spark)}/prefixes")
+
+
 def robots_blocked(spark: SparkSession, sf: str) -> DataFrame:
     urls = located_pages(_pages(spark, sf)).select("crawl_id", F.col("normal").alias("url")).distinct()
-    return rb.robots_verdicts(urls, rb.path_rules(_effective(spark, sf))).select("crawl_id", "url", "allowed")
+    return rb.robots_verdicts(urls, _prefixes(spark, sf)).select("crawl_id", "url", "allowed")
 
 
 def _mentions(spark: SparkSession, sf: str) -> DataFrame:
@@ -268,10 +274,9 @@ def first_seen(spark: SparkSession, sf: str) -> DataFrame:
 
 def _capped(spark: SparkSession, sf: str) -> DataFrame:
     limit = F.lit(3) + d.by_length(F.col("crawl_id"), 19)
-    firsts = fr.first_mentions(_mentions(spark, sf)).withColumns(
-        {"taken": F.lit(0).cast("bigint"), "max_candidates": limit}
-    )
-    return fr.cap_candidates(firsts)
+    # A table, because numbering reads it twice and the pages are to be parsed once.
+    firsts = written(fr.first_mentions(_mentions(spark, sf)), f"{shared_folder(spark)}/firsts")
+    return fr.cap_candidates(firsts.withColumns({"taken": F.lit(0).cast("bigint"), "max_candidates": limit}))
 
 
 def candidate_cap(spark: SparkSession, sf: str) -> DataFrame:
@@ -279,7 +284,7 @@ def candidate_cap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_budget(spark: SparkSession, sf: str) -> DataFrame:
-    judged = rb.robots_verdicts(_capped(spark, sf), rb.path_rules(_effective(spark, sf)))
+    judged = rb.robots_verdicts(_capped(spark, sf), _prefixes(spark, sf))
     wave = judged.withColumns({
         "blocked": ~F.col("allowed"),
         "request_url": F.col("url"),
@@ -298,9 +303,10 @@ def frontier_depth(spark: SparkSession, sf: str) -> DataFrame:
 
 def site_crawl(spark: SparkSession, sf: str) -> CrawlRun:
     """All origins of the page table crawled from their start pages."""
+    captures = d.page_captures(spark, sf)
     return crawl(
-        d.site_policies(spark, sf), d.site_robots(spark, sf), d.site_responses(spark, sf),
-        anchors=d.site_anchors(spark, sf), encoded=False,
+        d.site_policies(captures), d.site_robots(captures), d.site_responses(captures),
+        anchors=d.site_anchors(captures), encoded=False,
     )
 
 

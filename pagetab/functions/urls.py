@@ -12,6 +12,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
+from pagetab.functions.reuse import reusable
+
 # Query keys that may carry a secret.
 SENSITIVE_KEYS = (
     "token",
@@ -118,6 +120,7 @@ def _authority(scheme: Column, netloc: Column) -> Column:
     return _with_groups(netloc, _AUTHORITY, 3, build)
 
 
+@reusable
 def normalize_url(value: Column) -> Column:
     """Normal form of an http(s) URL, or null when the URL must not be used.
 
@@ -139,12 +142,14 @@ def normalize_url(value: Column) -> Column:
     return F.when(allowed, _with_groups(F.ltrim(value), _ABSOLUTE, 4, build))
 
 
+@reusable
 def url_origin(normalized: Column) -> Column:
     """scheme://authority of a normalised URL."""
     found = F.regexp_extract(normalized, r"\Ahttps?://[^/?#]*", 0)
     return F.when(found != "", found)
 
 
+@reusable
 def admit(value: Column, allowed_origin: Column) -> Column:
     """struct(url, reason): a URL admitted to an exact origin, or why it is not."""
 
@@ -167,6 +172,7 @@ def _quoted(text: Column, safe: str) -> Column:
     return F.when(text.rlike(f"[^{safe}]"), F.array_join(coded, "")).otherwise(text)
 
 
+@reusable
 def request_url(normalized: Column) -> Column:
     """The form in which a normalised URL is requested and recorded: unsafe characters as %XX."""
 
@@ -201,6 +207,7 @@ def _without_empty_params(path: Column) -> Column:
     return F.regexp_replace(path, r"(?s)\A((?:.*/)?[^;/]*);\z", "$1")
 
 
+@reusable
 def resolve_url(base: Column, href: Column) -> Column:
     """Absolute form of ``href`` on a page at ``base``; fragments are dropped.
 

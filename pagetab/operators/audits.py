@@ -9,11 +9,11 @@ from pagetab.functions.urls import admit
 _MICROS = 1_000_000
 
 
-def scope_violation(allowed_origin: Column) -> Column:
+def scope_violation(allowed_origin: str) -> Column:
     """First rule a request breaks (its admission reason, method, cookie, authorization), or null."""
     return (
         F.coalesce(
-            admit(F.col("url"), allowed_origin)["reason"],
+            admit("url", allowed_origin)["reason"],
             F.when(~F.col("method").eqNullSafe("GET"), F.lit("method")),
             F.when(F.coalesce(F.col("cookie"), F.lit("")) != "", F.lit("cookie")),
             F.when(F.coalesce(F.col("authorization"), F.lit("")) != "", F.lit("authorization")),
@@ -25,7 +25,7 @@ def scope_violations(requests: DataFrame, policies: DataFrame) -> DataFrame:
     """Requests that should not have been made, with the rule they break."""
     scoped = requests.join(policies.select("crawl_id", "allowed_origin"), "crawl_id")
     return (
-        scoped.withColumn("violation", scope_violation(F.col("allowed_origin")))
+        scoped.withColumn("violation", scope_violation("allowed_origin"))
         .where(F.col("violation").isNotNull())
         .drop("allowed_origin")
     )

@@ -92,9 +92,10 @@ def classify(responses: DataFrame) -> DataFrame:
     decided = (
         responses.withColumn("download_error", download_error(F.col("max_body_bytes")))
         .withColumn("kind", kind)
+        .withColumn("resolved", F.when(is_redirect & located, resolve_url("url", "location")))
         .withColumn(
             "target",
-            F.when(is_redirect & located, admit(resolve_url(F.col("url"), F.col("location")), F.col("allowed_origin"))),
+            F.when(is_redirect & located, admit("resolved", "allowed_origin")),
         )
     )
     status = (

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pagetab.functions.urls import MAX_URL_CHARS, request_url
 from pagetab.operators.classify import BAD_ENCODING, NOT_CAPTURED
 from pagetab.operators.pages import with_document_columns
-from pagetab.operators.robots import robots_path, robots_verdicts
+from pagetab.operators.robots import robots_verdicts
 from pagetab.sources.shared import written
 
 # Positions of one page are counted in blocks of this many, so that no window
@@ -129,9 +129,9 @@ def _seeds(starts: DataFrame) -> DataFrame:
     )
 
 
-def _finished(candidates: DataFrame, prefixes: DataFrame, wave: int, asked: Column, path: Column) -> DataFrame:
-    judged = robots_verdicts(candidates, prefixes, path).withColumns(
-        {"blocked": ~F.col("allowed"), "request_url": asked, "wave": F.lit(wave)}
+def _finished(candidates: DataFrame, prefixes: DataFrame, wave: int) -> DataFrame:
+    judged = robots_verdicts(candidates, prefixes).withColumns(
+        {"blocked": ~F.col("allowed"), "request_url": request_url("url"), "wave": F.lit(wave)}
     )
     return spend_budget(judged).select(*_WAVE)
 
@@ -161,10 +161,8 @@ def expand(starts: DataFrame, prefixes: DataFrame, edge_rows: DataFrame, folder:
         edge_rows.withColumn("bucket", _bucket(F.col("crawl_id"), buckets)), f"{folder}/edges", partition_by="bucket"
     )
     rules = written(prefixes, f"{folder}/prefixes")
-    # Built once: the same two expressions serve every wave.
-    asked, path = request_url(F.col("url")), robots_path(F.col("url"))
     paths = [f"{folder}/wave-0"]
-    last = written(_finished(_seeds(starts), rules, 0, asked, path), paths[0])
+    last = written(_finished(_seeds(starts), rules, 0), paths[0])
     while True:
         # At most ``buckets`` small numbers: which crawls go on, by bucket.
         live = [r[0] for r in _followed(last).select(_bucket(F.col("crawl_id"), buckets)).distinct().collect()]
@@ -189,7 +187,7 @@ def expand(starts: DataFrame, prefixes: DataFrame, edge_rows: DataFrame, folder:
         fresh = first_mentions(mentions, "discovered_from", "depth").join(seen, ["crawl_id", "url"], "left_anti")
         admitted = cap_candidates(fresh.join(state, "crawl_id"))
         paths.append(f"{folder}/wave-{len(paths)}")
-        last = written(_finished(admitted, rules, len(paths) - 1, asked, path), paths[-1])
+        last = written(_finished(admitted, rules, len(paths) - 1), paths[-1])
     return spark.read.schema(last.schema).parquet(*paths)
 
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pagetab.functions.html import scan_page
+from pagetab.functions.reuse import reusable
 from pagetab.functions.text import content_sha256, is_longer, limited
 from pagetab.functions.urls import admit, resolve_url
 
@@ -75,18 +76,19 @@ def link_rows(pages: DataFrame, *keys: str) -> DataFrame:
     return pages.select(*keys, "url", "base_href", F.posexplode("hrefs").alias("pos", "href"))
 
 
+@reusable
 def page_base(url: Column, base_href: Column) -> Column:
     """The URL against which the links of a page are resolved."""
     return F.when(F.coalesce(base_href, F.lit("")) == "", url).otherwise(resolve_url(url, F.trim(base_href)))
 
 
-def decide_links(links: DataFrame, allowed_origin: Column) -> DataFrame:
+def decide_links(links: DataFrame, allowed_origin: str) -> DataFrame:
     """Resolve and admit every anchor: adds target, url (admitted) and reason (refused)."""
     return (
-        links.withColumn("base", page_base(F.col("url"), F.col("base_href")))
-        .withColumn("target", resolve_url(F.col("base"), F.col("href")))
+        links.withColumn("base", page_base("url", "base_href"))
+        .withColumn("target", resolve_url("base", "href"))
         .withColumnRenamed("url", "src_url")
-        .withColumn("decision", admit(F.col("target"), allowed_origin))
+        .withColumn("decision", admit("target", allowed_origin))
         .select(
             *[c for c in links.columns if c not in ("url", "base_href")],
             "src_url", "target", F.col("decision.url").alias("url"), F.col("decision.reason").alias("reason"),

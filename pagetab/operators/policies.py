@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from pagetab.functions.reuse import reusable
 from pagetab.functions.urls import let, normalize_url, url_origin
 
 # Limits used when a policy does not state them.
@@ -97,6 +98,7 @@ def _ipv4_class(plain: Column) -> Column:
     return F.when(plain.rlike(rf"\A{octet}(?:\.{octet}){{3}}\z"), let(number, judge))
 
 
+@reusable
 def host_class(normalized: Column) -> Column:
     """localhost, name, global, loopback or not_global for the host of a normalised URL.
 
@@ -121,7 +123,7 @@ def validate(policies: DataFrame) -> DataFrame:
         F.when(start.isNull(), F.lit("invalid_start_url")),
         F.when(allowed.isNull(), F.lit("invalid_allowed_origin")),
         F.when(allowed.isNotNull() & ~bare, F.lit("allow_origin_must_not_include_path_query_or_fragment")),
-        F.when(url_origin(start) != url_origin(allowed), F.lit("start_outside_allowed_origin")),
+        F.when(url_origin("start") != url_origin("allowed_url"), F.lit("start_outside_allowed_origin")),
         *[
             F.when(~F.coalesce(F.col(name).between(1, upper), F.lit(False)), F.lit(f"invalid_{name}"))
             for name, upper in UPPER_BOUNDS.items()
@@ -137,12 +139,12 @@ def validate(policies: DataFrame) -> DataFrame:
         ),
     ]
     return (
-        policies.withColumn("start", normalize_url(F.col("start_url")))
-        .withColumn("allowed_url", normalize_url(F.col("allowed_origin")))
-        .withColumn("start_host", host_class(F.col("start")))
+        policies.withColumn("start", normalize_url("start_url"))
+        .withColumn("allowed_url", normalize_url("allowed_origin"))
+        .withColumn("start_host", host_class("start"))
         .withColumn("errors", F.array_compact(F.array(*checks)))
         .withColumn("start_url", F.coalesce(F.col("start"), F.col("start_url")))
-        .withColumn("allowed_origin", F.coalesce(url_origin(F.col("allowed_url")), F.col("allowed_origin")))
+        .withColumn("allowed_origin", F.coalesce(url_origin("allowed_url"), F.col("allowed_origin")))
         .drop("start", "allowed_url", "start_host")
     )
 

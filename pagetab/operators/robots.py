@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from pagetab.functions.reuse import reusable
 from pagetab.functions.text import WHITE_SPACE
 from pagetab.functions.urls import MAX_URL_CHARS, percent_decode
 from pagetab.operators.classify import BAD_ENCODING, NOT_CAPTURED, has_residual, is_plain_text
@@ -145,6 +146,7 @@ def _tidy_path(text: Column) -> Column:
     return F.regexp_replace(no_query, r"(?s)\A((?:[^?#]*/)?[^/?#;]*);([?#].*)?\z", "$1$2")
 
 
+@reusable
 def robots_path(url: Column) -> Column:
     """The part of a URL that rules are compared with: decoded once, from the path on."""
     tail = F.regexp_replace(percent_decode(url), r"(?s)\Ahttps?://[^/?#]*", "")
@@ -167,19 +169,18 @@ def path_rules(effective: DataFrame) -> DataFrame:
     )
 
 
-def robots_verdicts(urls: DataFrame, prefixes: DataFrame, path: Column | None = None) -> DataFrame:
+def robots_verdicts(urls: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Add ``allowed`` to rows of (crawl_id, url, ...): the first matching rule in file order decides.
 
     A rule matches a prefix of the path. Instead of pairing every URL with every
     rule of its crawl, each path is cut at the lengths its crawl's rules have and
-    looked up by equality. ``path`` may give a ready-made ``robots_path`` column.
+    looked up by equality.
     """
     lengths = prefixes.groupBy("crawl_id").agg(F.collect_set(F.length("prefix")).alias("_lengths"))
-    path = robots_path(F.col("url")) if path is None else path
     fitting = F.filter("_lengths", lambda n: n <= F.length("_path"))
     return (
         urls.join(lengths, "crawl_id", "left")
-        .withColumn("_path", F.when(F.col("_lengths").isNotNull(), path))
+        .withColumn("_path", F.when(F.col("_lengths").isNotNull(), robots_path("url")))
         .select(*urls.columns, "_path", F.explode_outer(fitting).alias("_n"))
         .withColumn("prefix", F.expr("substring(_path, 1, _n)"))
         .join(prefixes.withColumnRenamed("seq", "_rule"), ["crawl_id", "prefix"], "left")

@@ -55,7 +55,7 @@ def _decided(parsed: DataFrame, anchors: DataFrame | None, pages: DataFrame, ori
     rows = rows.withColumn("pos", F.col("pos").cast("bigint"))
     if anchors is not None:
         rows = rows.unionByName(anchors.join(keys, list(KEYS), "left_semi"))
-    return decide_links(rows.join(origins, "crawl_id"), F.col("allowed_origin"))
+    return decide_links(rows.join(origins, "crawl_id"), "allowed_origin")
 
 
 def crawl(

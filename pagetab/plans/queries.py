@@ -72,17 +72,17 @@ def _url_forms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def normalize_url_q(spark: SparkSession, sf: str) -> DataFrame:
-    return _url_forms(spark, sf).select("page_id", "form", normalize_url(F.col("url")).alias("normal"))
+    return _url_forms(spark, sf).select("page_id", "form", normalize_url("url").alias("normal"))
 
 
 def admit_reason(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _url_forms(spark, sf).withColumn("allowed", url_origin(normalize_url(F.col("page_url"))))
-    return rows.withColumn("d", admit(F.col("url"), F.col("allowed"))).select("page_id", "form", "d.url", "d.reason")
+    rows = _url_forms(spark, sf).withColumn("allowed", url_origin(normalize_url("page_url")))
+    return rows.withColumn("d", admit("url", "allowed")).select("page_id", "form", "d.url", "d.reason")
 
 
 def origin_counts(spark: SparkSession, sf: str) -> DataFrame:
     return (
-        _url_forms(spark, sf).select("page_id", url_origin(normalize_url(F.col("url"))).alias("origin"))
+        _url_forms(spark, sf).select("page_id", url_origin(normalize_url("url")).alias("origin"))
         .where(F.col("origin").isNotNull()).groupBy("origin")
         .agg(F.count(F.lit(1)).alias("urls"), F.countDistinct("page_id").alias("pages"))
     )
@@ -135,15 +135,15 @@ def links(spark: SparkSession, sf: str) -> DataFrame:
 def links_resolved(spark: SparkSession, sf: str) -> DataFrame:
     rows = link_rows(_extracted(spark, sf), "page_id").select("page_id", "url", "base_href", "pos", _forms(F.col("href"), LINK_FORMS).alias("f"))
     rows = rows.select("page_id", "url", "base_href", "pos", "f.form", F.col("f.value").alias("href"))
-    own = rows.withColumn("allowed", url_origin(normalize_url(F.col("url"))))
-    return decide_links(own, F.col("allowed")).select("page_id", "pos", "form", "url", "reason")
+    own = rows.withColumn("allowed", url_origin(normalize_url("url")))
+    return decide_links(own, "allowed").select("page_id", "pos", "form", "url", "reason")
 
 
 def links_uncaptured(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct admitted link targets of which there is no capture."""
     pages = located_pages(_pages(spark, sf))
     rows = link_rows(extract_pages(pages, "html"), "crawl_id")
-    targets = decide_links(rows, F.col("crawl_id")).where(F.col("url").isNotNull()).select("crawl_id", "url").distinct()
+    targets = decide_links(rows, "crawl_id").where(F.col("url").isNotNull()).select("crawl_id", "url").distinct()
     captured = pages.select("crawl_id", F.col("normal").alias("url"))
     return targets.join(captured, ["crawl_id", "url"], "left_anti")
 
@@ -264,7 +264,7 @@ def _mentions(spark: SparkSession, sf: str) -> DataFrame:
     """Every admitted link of every page, with the page number as the parent's place."""
     pages = located_pages(_pages(spark, sf)).withColumn("page_url", F.col("normal"))
     rows = link_rows(extract_pages(pages, "html"), "crawl_id", "page_id")
-    admitted = decide_links(rows, F.col("crawl_id")).where(F.col("url").isNotNull())
+    admitted = decide_links(rows, "crawl_id").where(F.col("url").isNotNull())
     return admitted.select("crawl_id", "url", F.col("page_id").alias("parent_seq"), F.col("pos").cast("bigint").alias("pos"))
 
 

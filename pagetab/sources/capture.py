@@ -14,8 +14,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def located_pages(pages: DataFrame) -> DataFrame:
     """Add normal (normalised URL) and crawl_id (its origin) to a table of page_id, url, html."""
     return (
-        pages.withColumn("normal", normalize_url(F.col("url")))
-        .withColumn("crawl_id", url_origin(F.col("normal")))
+        pages.withColumn("normal", normalize_url("url"))
+        .withColumn("crawl_id", url_origin("normal"))
         .where(F.col("normal").isNotNull())
     )
 
@@ -25,7 +25,7 @@ def as_responses(pages: DataFrame) -> DataFrame:
     return located_pages(pages).select(
         "crawl_id",
         F.col("page_id").alias("capture_id"),
-        request_url(F.col("normal")).alias("url"),
+        request_url("normal").alias("url"),
         F.lit(200).alias("http_status"),
         F.lit("text/html; charset=utf-8").alias("content_type"),
         F.lit(None).cast("string").alias("content_encoding"),

@@ -16,12 +16,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pagetab.functions.urls import MAX_URL_CHARS, request_url
 from pagetab.operators.classify import BAD_ENCODING, NOT_CAPTURED
 from pagetab.operators.pages import with_document_columns
-from pagetab.operators.robots import robots_verdicts
+from pagetab.operators.robots import prefix_lengths, robots_verdicts
 from pagetab.sources.shared import written
 
-# Positions of one page are counted in blocks of this many, so that no window
-# ever holds all links of a page or all links of a crawl.
-BLOCK = 10_000
+# A crawl's new URLs are first thinned out in this many parts, so that ordering
+# them never brings more than SHARDS times the candidate limit to one task.
+SHARDS = 64
 
 _WAVE = (
     "crawl_id", "url", "request_url", "discovered_from", "depth", "seq", "wave", "blocked", "processed",
@@ -45,25 +45,18 @@ def first_mentions(mentions: DataFrame, *carried: str) -> DataFrame:
 def numbered(rows: DataFrame, limit: Column) -> DataFrame:
     """Number rows of each crawl from 1 by (parent_seq, pos) and keep those up to ``limit``.
 
-    ``limit`` is a per-crawl column of ``rows``. The rows are counted per block
-    of positions first; a running sum over the block counts gives each block its
-    offset, and only blocks that start below the limit are sorted.
+    ``limit`` is a per-crawl column of ``rows``, at most the candidate limit. A
+    row beyond the limit among its own shard cannot be within it overall, so each
+    shard keeps its first rows and only those meet in the crawl's window.
     """
-    blocked = rows.withColumns({"_block": F.floor(F.col("pos") / BLOCK), "_limit": limit})
-    keys = ["crawl_id", "parent_seq", "_block"]
-    before = W.partitionBy("crawl_id").orderBy("parent_seq", "_block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        blocked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first("_limit").alias("_room"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .where(F.col("_offset") < F.col("_room"))
-        .drop("_n", "_room")
-    )
-    within = F.row_number().over(W.partitionBy(*keys).orderBy("pos"))
+    order = ["parent_seq", "pos"]
+    in_shard = F.row_number().over(W.partitionBy("crawl_id", "_shard").orderBy(*order))
+    in_crawl = F.row_number().over(W.partitionBy("crawl_id").orderBy(*order))
     return (
-        blocked.join(offsets, keys)
-        .withColumn("rank", within + F.col("_offset"))
-        .where(F.col("rank") <= F.col("_limit"))
-        .drop("_block", "_limit", "_offset")
+        rows.withColumns({"_limit": limit, "_shard": F.pmod(F.xxhash64("url"), F.lit(SHARDS))})
+        .withColumn("rank", in_shard).where(F.col("rank") <= F.col("_limit"))
+        .withColumn("rank", in_crawl).where(F.col("rank") <= F.col("_limit"))
+        .drop("_shard", "_limit")
     )
 
 
@@ -129,8 +122,8 @@ def _seeds(starts: DataFrame) -> DataFrame:
     )
 
 
-def _finished(candidates: DataFrame, prefixes: DataFrame, wave: int) -> DataFrame:
-    judged = robots_verdicts(candidates, prefixes).withColumns(
+def _finished(candidates: DataFrame, rules: DataFrame, lengths: DataFrame, wave: int) -> DataFrame:
+    judged = robots_verdicts(candidates, rules, lengths).withColumns(
         {"blocked": ~F.col("allowed"), "request_url": request_url("url"), "wave": F.lit(wave)}
     )
     return spend_budget(judged).select(*_WAVE)
@@ -161,8 +154,9 @@ def expand(starts: DataFrame, prefixes: DataFrame, edge_rows: DataFrame, folder:
         edge_rows.withColumn("bucket", _bucket(F.col("crawl_id"), buckets)), f"{folder}/edges", partition_by="bucket"
     )
     rules = written(prefixes, f"{folder}/prefixes")
+    lengths = written(prefix_lengths(rules), f"{folder}/prefix-lengths")
     paths = [f"{folder}/wave-0"]
-    last = written(_finished(_seeds(starts), rules, 0), paths[0])
+    last = written(_finished(_seeds(starts), rules, lengths, 0), paths[0])
     while True:
         # At most ``buckets`` small numbers: which crawls go on, by bucket.
         live = [r[0] for r in _followed(last).select(_bucket(F.col("crawl_id"), buckets)).distinct().collect()]
@@ -179,15 +173,20 @@ def expand(starts: DataFrame, prefixes: DataFrame, edge_rows: DataFrame, folder:
             "crawl_id", F.col("request_url").alias("src_url"), F.col("seq").alias("parent_seq"), "depth"
         )
         mentions = (
-            table.where(F.col("bucket").isin(live)).join(parents, ["crawl_id", "src_url"])
-            .withColumns({"depth": F.col("depth") + F.col("deeper"), "discovered_from": F.col("src_url")})
+            table.where(F.col("bucket").isin(live))
+            .join(parents.drop("depth"), ["crawl_id", "src_url"])
         )
         # One scan over all waves so far, so that plans do not grow with the number of waves.
         seen = spark.read.schema(last.schema).parquet(*paths).select("crawl_id", "url")
-        fresh = first_mentions(mentions, "discovered_from", "depth").join(seen, ["crawl_id", "url"], "left_anti")
-        admitted = cap_candidates(fresh.join(state, "crawl_id"))
+        fresh = first_mentions(mentions, "deeper").join(seen, ["crawl_id", "url"], "left_anti")
+        admitted = (
+            cap_candidates(fresh.join(state, "crawl_id"))
+            .join(parents.withColumnRenamed("src_url", "discovered_from"), ["crawl_id", "parent_seq"])
+            .withColumn("depth", F.col("depth") + F.col("deeper"))
+            .drop("parent_seq", "pos", "deeper", "mentions", "taken")
+        )
         paths.append(f"{folder}/wave-{len(paths)}")
-        last = written(_finished(admitted, rules, len(paths) - 1), paths[-1])
+        last = written(_finished(admitted, rules, lengths, len(paths) - 1), paths[-1])
     return spark.read.schema(last.schema).parquet(*paths)
 
 

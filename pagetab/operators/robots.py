@@ -169,14 +169,19 @@ def path_rules(effective: DataFrame) -> DataFrame:
     )
 
 
-def robots_verdicts(urls: DataFrame, prefixes: DataFrame) -> DataFrame:
+def prefix_lengths(prefixes: DataFrame) -> DataFrame:
+    """The distinct rule lengths of every crawl: few numbers, at most one per possible length."""
+    return prefixes.groupBy("crawl_id").agg(F.collect_set(F.length("prefix")).alias("_lengths"))
+
+
+def robots_verdicts(urls: DataFrame, prefixes: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
     """Add ``allowed`` to rows of (crawl_id, url, ...): the first matching rule in file order decides.
 
     A rule matches a prefix of the path. Instead of pairing every URL with every
     rule of its crawl, each path is cut at the lengths its crawl's rules have and
-    looked up by equality.
+    looked up by equality. ``lengths`` may give ``prefix_lengths`` as a table.
     """
-    lengths = prefixes.groupBy("crawl_id").agg(F.collect_set(F.length("prefix")).alias("_lengths"))
+    lengths = prefix_lengths(prefixes) if lengths is None else lengths
     fitting = F.filter("_lengths", lambda n: n <= F.length("_path"))
     return (
         urls.join(lengths, "crawl_id", "left")

@@ -103,7 +103,7 @@ def scan_page(html: str) -> tuple[str, str, str | None, list[str]]:
                 while stack[level] != name:
                     level -= 1
                 hidden -= close_to(level)
-        elif match[2]:
+        elif match[2] and html[position - 1] == ">":  # a tag cut off by the end of the page is dropped
             if not in_body and not (name in HEAD_CONTENT or (hidden and stack[-1] != "head")):
                 hidden -= close_head()
                 in_body = True

@@ -38,7 +38,7 @@ def request_gaps(requests: DataFrame, span_seconds: int = 3600) -> DataFrame:
     sorted by many tasks. The first request of a span takes the last time of the
     crawl's previous span, found among one row per span.
     """
-    timed = requests.withColumn("_micros", (F.col("time") * _MICROS).cast("bigint"))
+    timed = requests.withColumn("_micros", F.round(F.col("time") * _MICROS).cast("bigint"))
     spanned = timed.withColumn("_span", F.floor(F.col("_micros") / (span_seconds * _MICROS)))
     keys = ["crawl_id", "_span"]
     edges = (

@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# The characters that count as white space (Unicode White_Space
-# plus the four ASCII separators U+001C to U+001F).
-WHITE_SPACE = (
-    r"[\t\n\x0B\f\r \x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-)
+# The characters that count as white space: ASCII white space, the
+# four ASCII separators, next line, and all Unicode separators.
+WHITE_SPACE = r"[\s\x1C-\x1F\x{85}\p{Z}]+"
 
 
 def clean_text(value: Column) -> Column:

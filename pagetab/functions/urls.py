@@ -42,6 +42,19 @@ _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _V6_FULL = rf"\A(?:{_HEX}:){{7}}{_HEX}\z"
 _V6_SHORT = rf"\A(?:{_HEX}(?::{_HEX})*)?::(?:{_HEX}(?::{_HEX})*)?\z"
 _V6_TAIL = rf":{_OCTET}(?:\.{_OCTET}){{3}}\z"
+_SECRET = "|".join(SENSITIVE_KEYS)
+# URLs that are normal already but for a fragment: lower-case host without a
+# port, a path, and an ASCII query without escapes and without a sensitive key.
+_NORMAL = (
+    r"\Ahttps?://(?:[a-z0-9_\-]{1,63}\.)*[a-z0-9_\-]{1,63}/[^\x00-\x1f\\?#]*+"
+    rf"(?:\?(?!(?:[^#]*&)?(?i:{_SECRET})=)[ -~&&[^#%+\\]]++)?(?:#[^\x00-\x1f\\]*+)?\z"
+)
+# References without dot segments, parameters or anything to clean up, and bases they can simply be put behind.
+_PLAIN_TAIL = r"(?:\?[^\x00-\x1f#]++)?(?:#[^\x00-\x1f]*+)?\z"
+_ROOTED_REF = r"\A/(?![/.])(?:[^\x00-\x1f?#;/]|/(?!\.))*+" + _PLAIN_TAIL
+_NEARBY_REF = r"\A(?![./?#;])(?:[^\x00-\x20?#;:/]|/(?![./]))(?:[^\x00-\x1f?#;:/]|/(?![./]))*+" + _PLAIN_TAIL
+_BASE_ORIGIN = r"\Ahttps?://[^/?#]++(?=/)"
+_BASE_FOLDER = r"\A(https?://[^/?#]++/(?:[^./?#;][^/?#;]*+/)*+)[^/?#]*+(?:[?#]|\z)"
 _DOTTED = r"(?:\A|/)\.\.?(?:/|\z)"
 _PATH_SAFE = r"A-Za-z0-9\-._~:/?@!$&'()*+,;=%"
 _QUERY_SAFE = _PATH_SAFE.replace("'", "")
@@ -125,7 +138,8 @@ def normalize_url(value: Column) -> Column:
     """Normal form of an http(s) URL, or null when the URL must not be used.
 
     Null for: too long, control characters or backslashes, another scheme, no
-    host, any userinfo, a bad port or host, or a sensitive query.
+    host, any userinfo, a bad port or host, or a sensitive query. Most URLs pass
+    one pattern that tells they are normal already; the others are taken apart.
     """
 
     def build(scheme: Column, netloc: Column, path: Column, query: Column) -> Column:
@@ -139,7 +153,10 @@ def normalize_url(value: Column) -> Column:
         return F.when(~has_sensitive_query(query), text)
 
     allowed = (F.length(value) <= MAX_URL_CHARS) & ~value.rlike(r"[\x00-\x1f\\]")
-    return F.when(allowed, _with_groups(F.ltrim(value), _ABSOLUTE, 4, build))
+    usual = value.rlike(_NORMAL) & (F.length(value) <= MAX_URL_CHARS)
+    return F.when(usual, F.substring_index(value, "#", 1)).otherwise(
+        F.when(allowed, _with_groups(F.ltrim(value), _ABSOLUTE, 4, build))
+    )
 
 
 @reusable
@@ -149,15 +166,20 @@ def url_origin(normalized: Column) -> Column:
     return F.when(found != "", found)
 
 
+def refusal(normalized: Column, allowed_origin: Column) -> Column:
+    """Why a normalised URL (null: not usable) is outside an origin, or null when it is inside."""
+    return (
+        F.when(normalized.isNull() | (F.length(normalized) > MAX_URL_CHARS), F.lit(INVALID_URL))
+        .when(~normalized.startswith(F.concat(allowed_origin, F.lit("/"))), F.lit(OUTSIDE_ORIGIN))
+    )
+
+
 @reusable
 def admit(value: Column, allowed_origin: Column) -> Column:
     """struct(url, reason): a URL admitted to an exact origin, or why it is not."""
 
     def decide(url: Column) -> Column:
-        reason = (
-            F.when(url.isNull() | (F.length(url) > MAX_URL_CHARS), F.lit(INVALID_URL))
-            .when(url_origin(url) != allowed_origin, F.lit(OUTSIDE_ORIGIN))
-        )
+        reason = refusal(url, allowed_origin)
         return F.struct(F.when(reason.isNull(), url).alias("url"), reason.alias("reason"))
 
     return let(normalize_url(value), decide)
@@ -249,4 +271,11 @@ def resolve_url(base: Column, href: Column) -> Column:
             base_scheme.isin("http", "https") & ((scheme == "") | (scheme == base_scheme)), joined
         ).otherwise(href)
 
-    return let(F.regexp_replace(href, r"\A[\x00-\x20]+|[\t\r\n]", ""), against)
+    general = let(F.regexp_replace(href, r"\A[\x00-\x20]+|[\t\r\n]", ""), against)
+    origin, folder = F.regexp_extract(base, _BASE_ORIGIN, 0), F.regexp_extract(base, _BASE_FOLDER, 1)
+    plain = F.substring_index(href, "#", 1)
+    return (
+        F.when(href.rlike(_ROOTED_REF) & (origin != ""), F.concat(origin, plain))
+        .when(href.rlike(_NEARBY_REF) & (folder != ""), F.concat(folder, plain))
+        .otherwise(general)
+    )

@@ -133,8 +133,8 @@ def _followed(wave: DataFrame) -> DataFrame:
     return wave.where(F.col("processed") & ~F.col("blocked") & ~F.col("aborts"))
 
 
-def _bucket(crawl_id: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(crawl_id), F.lit(buckets)).cast("int")
+def _bucket(page_url: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64("crawl_id", page_url), F.lit(buckets)).cast("int")
 
 
 def expand(starts: DataFrame, prefixes: DataFrame, edge_rows: DataFrame, folder: str, buckets: int = 16) -> DataFrame:
@@ -147,19 +147,20 @@ def expand(starts: DataFrame, prefixes: DataFrame, edge_rows: DataFrame, folder:
 
     Every wave is written below ``folder`` and read back, so a lost executor
     costs one wave's work at most. The edges are written once in ``buckets``
-    folders by crawl; a wave reads only the buckets of crawls still open.
+    folders by the page they start from; a wave reads only the buckets that hold
+    pages it reached, so late waves of a few open crawls read little.
     """
     spark = starts.sparkSession
     table = written(
-        edge_rows.withColumn("bucket", _bucket(F.col("crawl_id"), buckets)), f"{folder}/edges", partition_by="bucket"
+        edge_rows.withColumn("bucket", _bucket("src_url", buckets)), f"{folder}/edges", partition_by="bucket"
     )
     rules = written(prefixes, f"{folder}/prefixes")
     lengths = written(prefix_lengths(rules), f"{folder}/prefix-lengths")
     paths = [f"{folder}/wave-0"]
     last = written(_finished(_seeds(starts), rules, lengths, 0), paths[0])
     while True:
-        # At most ``buckets`` small numbers: which crawls go on, by bucket.
-        live = [r[0] for r in _followed(last).select(_bucket(F.col("crawl_id"), buckets)).distinct().collect()]
+        # At most ``buckets`` small numbers: where the links of the pages just reached are.
+        live = [r[0] for r in _followed(last).select(_bucket("request_url", buckets)).distinct().collect()]
         if not live:
             break
         state = last.groupBy("crawl_id").agg(

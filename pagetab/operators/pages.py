@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pagetab.functions.html import scan_page
 from pagetab.functions.reuse import reusable
 from pagetab.functions.text import content_sha256, is_longer, limited
-from pagetab.functions.urls import admit, resolve_url
+from pagetab.functions.urls import normalize_url, refusal, resolve_url
 
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([^\s\"';]+)", re.I)
 
@@ -84,13 +84,15 @@ def page_base(url: Column, base_href: Column) -> Column:
 
 def decide_links(links: DataFrame, allowed_origin: str) -> DataFrame:
     """Resolve and admit every anchor: adds target, url (admitted) and reason (refused)."""
+    reason = refusal(F.col("normal"), F.col(allowed_origin))
     return (
         links.withColumn("base", page_base("url", "base_href"))
         .withColumn("target", resolve_url("base", "href"))
+        .withColumn("normal", normalize_url("target"))
         .withColumnRenamed("url", "src_url")
-        .withColumn("decision", admit("target", allowed_origin))
+        .withColumn("reason", reason)
         .select(
             *[c for c in links.columns if c not in ("url", "base_href")],
-            "src_url", "target", F.col("decision.url").alias("url"), F.col("decision.reason").alias("reason"),
+            "src_url", "target", F.when(F.col("reason").isNull(), F.col("normal")).alias("url"), "reason",
         )
     )

@@ -66,13 +66,15 @@ def crawl(
     encoded: bool = True,
     folder: str | None = None,
     user_agent: str = rb.USER_AGENT,
+    buckets: int = 16,
 ) -> CrawlRun:
     """Run all crawls over their captured responses.
 
     ``anchors`` may add links beyond those in the HTML (crawl_id, url, capture_id,
     base_href, pos, href). ``encoded`` tells whether bodies still carry their
     content encoding. Tables that are read more than once are written below
-    ``folder``, by default a new folder in the cluster's shared one.
+    ``folder``, by default a new folder in the cluster's shared one. ``buckets``
+    sets how finely the links are laid out; use about one per gigabyte of links.
     """
     folder = folder or shared_folder(responses.sparkSession)
     gates, prefixes = gate_crawls(policies, robots, folder, user_agent)
@@ -83,7 +85,7 @@ def crawl(
     origins = gates.select("crawl_id", "allowed_origin")
     links = _decided(parsed, anchors, outcomes.where(F.col("kind") == "document"), origins)
     starts = gates.where((F.col("robots_status") != "unavailable") & F.col("effective_delay").isNotNull())
-    frontier = fr.expand(starts, prefixes, fr.edges(links, outcomes), folder)
+    frontier = fr.expand(starts, prefixes, fr.edges(links, outcomes), folder, buckets)
     records = written(fr.crawl_records(frontier, outcomes, parsed, gates), f"{folder}/records")
     reached = written(fr.reached_documents(frontier, outcomes), f"{folder}/reached")
     followed = _decided(parsed, anchors, reached.where(F.col("redirect_to").isNull()), origins)

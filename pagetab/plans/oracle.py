@@ -92,9 +92,10 @@ _ARTICLE = r"regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
 
 
 def _entities(text: str) -> str:
-    for entity, char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    for entity, char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·")):
         text = f"replace({text}, '{entity}', '{char}')"
-    return text
+    # A title cut off inside the entity has it without its semicolon, which HTML also reads.
+    return f"regexp_replace({text}, '&amp;?', '&', 'g')"
 
 
 _TEXTS = rf"""texts AS (

@@ -133,10 +133,10 @@ def links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def links_resolved(spark: SparkSession, sf: str) -> DataFrame:
-    rows = link_rows(_extracted(spark, sf), "page_id").select("page_id", "url", "base_href", "pos", _forms(F.col("href"), LINK_FORMS).alias("f"))
-    rows = rows.select("page_id", "url", "base_href", "pos", "f.form", F.col("f.value").alias("href"))
-    own = rows.withColumn("allowed", url_origin(normalize_url("url")))
-    return decide_links(own, "allowed").select("page_id", "pos", "form", "url", "reason")
+    pages = located_pages(_pages(spark, sf)).drop("normal")
+    rows = link_rows(extract_pages(pages, "html"), "page_id", "crawl_id").withColumn("f", _forms(F.col("href"), LINK_FORMS))
+    rows = rows.select("page_id", "crawl_id", "url", "base_href", "pos", "f.form", F.col("f.value").alias("href"))
+    return decide_links(rows, "crawl_id").select("page_id", "pos", "form", "url", "reason")
 
 
 def links_uncaptured(spark: SparkSession, sf: str) -> DataFrame:

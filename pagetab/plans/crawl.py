@@ -30,7 +30,7 @@ class CrawlRun(NamedTuple):
 
 def gate_crawls(policies: DataFrame, robots: DataFrame, folder: str, user_agent: str = rb.USER_AGENT) -> tuple[DataFrame, DataFrame]:
     """(gates, path rules): usable policies with robots status and delay, and the rules that apply."""
-    gated = rb.robots_gate(usable(validate(with_defaults(policies))), robots)
+    gated = written(rb.robots_gate(usable(validate(with_defaults(policies))), robots), f"{folder}/robots")
     loaded = gated.where(F.col("robots_status") == "loaded").select("crawl_id", F.col("robots_body").alias("body"))
     effective = written(rb.effective_rules(rb.robots_rules(loaded), user_agent), f"{folder}/rules")
     gates = (

@@ -323,7 +323,7 @@ _STATES = r"""states AS (
           WHEN robots_delay > 60 THEN 'robots_delay_exceeds_limit'
           WHEN remaining > 0 AND attempts + 1 >= max_requests THEN 'max_requests' WHEN remaining > 0 THEN 'max_pages'
           WHEN capped THEN 'max_candidates' ELSE 'frontier_exhausted' END AS stop_reason
-        FROM (SELECT g.*, coalesce(q.attempts, 0) AS attempts, coalesce(q.remaining, 0) AS remaining,
+        FROM (SELECT g.*, cast(coalesce(q.attempts, 0) AS BIGINT) AS attempts, cast(coalesce(q.remaining, 0) AS BIGINT) AS remaining,
                 coalesce(r.documents, 0) AS documents, coalesce(r.problems, 0) AS problems, x.n IS NOT NULL AS capped
               FROM site_gates g
               LEFT JOIN (SELECT crawl_id, count_if(processed AND NOT blocked) AS attempts, count_if(NOT processed) AS remaining
@@ -513,8 +513,8 @@ def build() -> dict[str, str]:
                             "UNION ALL SELECT crawl_id, url FROM records WHERE kind = 'http_error' "
                             "UNION ALL SELECT crawl_id, crawl_id || '/robots.txt' FROM site_gates), "
                             "logged AS (SELECT crawl_id, url, count(*) AS n FROM asked GROUP BY ALL), "
-                            "totals AS (SELECT crawl_id, cast(sum(n) AS BIGINT) AS logged, count_if(n > 1) AS repeated_urls, count_if(EXISTS (SELECT 1 FROM records b "
-                            "WHERE b.kind = 'blocked_robots' AND b.crawl_id = logged.crawl_id AND b.url = logged.url)) AS blocked_requested FROM logged GROUP BY 1) "
+                            "totals AS (SELECT crawl_id, cast(sum(n) AS BIGINT) AS logged, cast(count_if(n > 1) AS BIGINT) AS repeated_urls, cast(count_if(EXISTS (SELECT 1 FROM records b "
+                            "WHERE b.kind = 'blocked_robots' AND b.crawl_id = logged.crawl_id AND b.url = logged.url)) AS BIGINT) AS blocked_requested FROM logged GROUP BY 1) "
                             "SELECT s.crawl_id, s.attempts + 1 AS http_attempts, t.logged, t.repeated_urls, t.blocked_requested, "
                             "s.attempts + 1 = t.logged AND t.repeated_urls = 0 AND t.blocked_requested = 0 AS consistent "
                             "FROM states s JOIN totals t ON t.crawl_id = s.crawl_id",

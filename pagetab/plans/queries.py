@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pagetab.functions.text import clean_text, content_sha256, csv_guard, is_longer, limited
-from pagetab.functions.urls import admit, has_sensitive_query, normalize_url, resolve_url, url_origin
+from pagetab.functions.urls import admit, has_sensitive_query, normalize_url, url_origin
 from pagetab.operators import audits, frontier as fr, policies as pol, reconcile as rec, reports as rp, robots as rb
 from pagetab.operators.bodies import decode_bodies, plain_bodies
 from pagetab.operators.classify import classify, first_captures, has_residual

@@ -4,8 +4,6 @@ import ipaddress
 import math
 import random
 
-from pyspark.sql import functions as F
-
 from pagetab.operators.policies import host_class, refused, usable, validate, with_defaults
 from pagetab.sources import schemas
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetab.llm.simhash import simhash_groups
+from pagetab.llm.vectors import near_vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +22,16 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label linked at cosine 0.93 or more."""
+    return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93).select(
+        F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept"
+    )
+
+
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op4_vectors": op4_vectors,
 }
 
 #: DuckDB SQL of the queries that SQL can express.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagetab.llm.mixing import mix_sources
 from pagetab.llm.simhash import simhash_groups
 from pagetab.llm.vectors import near_vectors
 
@@ -29,9 +30,18 @@ def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources weighing 5, 2, 1 in turn, none over three times its size."""
+    return mix_sources(_table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"),
+        "copies", "rate",
+    )
+
+
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_vectors": op4_vectors,
+    "op8_mixing": op8_mixing,
 }
 
 #: DuckDB SQL of the queries that SQL can express.

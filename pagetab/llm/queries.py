@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagetab.llm.mixing import mix_sources
 from pagetab.llm.simhash import simhash_groups
+from pagetab.llm.substrings import drop_repeats
 from pagetab.llm.vectors import near_vectors
 
 
@@ -30,6 +31,13 @@ def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in windows of 35 words that start more than once."""
+    return drop_repeats(_table(spark, sf_dir, "documents"), window=35).select(
+        F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources weighing 5, 2, 1 in turn, none over three times its size."""
     return mix_sources(_table(spark, sf_dir, "documents")).select(
@@ -41,6 +49,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_vectors": op4_vectors,
+    "op6_substrings": op6_substrings,
     "op8_mixing": op8_mixing,
 }
 

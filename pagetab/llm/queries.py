@@ -9,6 +9,7 @@ from pagetab.llm.mixing import mix_sources
 from pagetab.llm.simhash import simhash_groups
 from pagetab.llm.substrings import drop_repeats
 from pagetab.llm.vectors import near_vectors
+from pagetab.llm.warc import archived_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,11 +47,19 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as response and revisit records, read back from the archives."""
+    return archived_pages(_table(spark, sf_dir, "pages")).select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_vectors": op4_vectors,
     "op6_substrings": op6_substrings,
     "op8_mixing": op8_mixing,
+    "op10_warc": op10_warc,
 }
 
 #: DuckDB SQL of the queries that SQL can express.

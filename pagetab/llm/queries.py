@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagetab.llm.mixing import mix_sources
 from pagetab.llm.simhash import simhash_groups
 from pagetab.llm.substrings import drop_repeats
+from pagetab.llm.tokenfiles import token_files
 from pagetab.llm.vectors import near_vectors
 from pagetab.llm.warc import archived_pages
 
@@ -47,6 +48,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the word vocabulary, packed in files, read back."""
+    return token_files(_table(spark, sf_dir, "documents"), tokenizer="word_bpe_49k.json", end_id=1).select(
+        F.col("id").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as response and revisit records, read back from the archives."""
     return archived_pages(_table(spark, sf_dir, "pages")).select(
@@ -59,6 +68,7 @@ QUERIES = {
     "op4_vectors": op4_vectors,
     "op6_substrings": op6_substrings,
     "op8_mixing": op8_mixing,
+    "op9_tokenfiles": op9_tokenfiles,
     "op10_warc": op10_warc,
 }
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagetab.llm.bpe import decode_ids, encode_texts
 from pagetab.llm.mixing import mix_sources
 from pagetab.llm.simhash import simhash_groups
 from pagetab.llm.substrings import drop_repeats
@@ -33,6 +34,16 @@ def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts encoded with the byte-level vocabulary, and decoded again."""
+    encoded = encode_texts(_table(spark, sf_dir, "documents"), tokenizer="byte_bpe_50k.json")
+    return decode_ids(encoded, tokenizer="byte_bpe_50k.json").select(
+        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words in windows of 35 words that start more than once."""
     return drop_repeats(_table(spark, sf_dir, "documents"), window=35).select(
@@ -66,6 +77,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_vectors": op4_vectors,
+    "op5_bpe": op5_bpe,
     "op6_substrings": op6_substrings,
     "op8_mixing": op8_mixing,
     "op9_tokenfiles": op9_tokenfiles,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetab.llm.bpe import decode_ids, encode_texts
+from pagetab.llm.interpolation import crc_fold, score_texts
 from pagetab.llm.mixing import mix_sources
 from pagetab.llm.simhash import simhash_groups
 from pagetab.llm.substrings import drop_repeats
@@ -27,6 +28,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interpolated bigrams learned from the documents outside fold 2 of 7."""
+    docs = _table(spark, sf_dir, "documents")
+    return score_texts(docs, crc_fold(F.col("doc_id")) == 2).withColumnRenamed("id", "doc_id")
+
+
 def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of one label linked at cosine 0.93 or more."""
     return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93).select(
@@ -76,6 +83,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op3_interpolation": op3_interpolation,
     "op4_vectors": op4_vectors,
     "op5_bpe": op5_bpe,
     "op6_substrings": op6_substrings,

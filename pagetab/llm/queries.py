@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pagetab.llm.bpe import decode_ids, encode_texts
 from pagetab.llm.interpolation import crc_fold, score_texts
 from pagetab.llm.mixing import mix_sources
+from pagetab.llm.quality import fit, grade_texts, rated
+from pagetab.llm.rules import judge_texts
 from pagetab.llm.simhash import simhash_groups
 from pagetab.llm.substrings import drop_repeats
 from pagetab.llm.tokenfiles import token_files
@@ -19,6 +21,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Grades of ``labels``: toxic, poor, good.
+GRADE = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade of each document, and whether it is probably of the best grade."""
+    docs = _table(spark, sf_dir, "documents")
+    model = fit(docs, rated(_table(spark, sf_dir, "labels"), GRADE), n_grades=3)
+    return grade_texts(docs, model, least_grade=2).withColumnRenamed("id", "doc_id")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of 3-word shingles, linked at two or fewer differing bits."""
     return simhash_groups(_table(spark, sf_dir, "documents"), width=3, distance=2).select(
@@ -58,6 +71,11 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition rules and bands of tokenizer fertility."""
+    return judge_texts(_table(spark, sf_dir, "documents"), tokenizer="piece_bpe_32k.model").withColumnRenamed("id", "doc_id")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources weighing 5, 2, 1 in turn, none over three times its size."""
     return mix_sources(_table(spark, sf_dir, "documents")).select(
@@ -82,11 +100,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
     "op3_interpolation": op3_interpolation,
     "op4_vectors": op4_vectors,
     "op5_bpe": op5_bpe,
     "op6_substrings": op6_substrings,
+    "op7_fertility": op7_fertility,
     "op8_mixing": op8_mixing,
     "op9_tokenfiles": op9_tokenfiles,
     "op10_warc": op10_warc,

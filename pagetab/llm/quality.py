@@ -14,35 +14,40 @@ of their ids.
 
 from __future__ import annotations
 
+import functools
+import math
 import operator
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rated documents that the model is fitted on, at most.
-SAMPLE = 12_000
+SAMPLE = 10_000
 #: Documents of the sample that a feature must occur in.
 LEAST_DOCS = 3
+#: Words remembered with their features, at most.
 _MOST_WORDS = 1 << 19
 _EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_KINDS = ((regex.compile(r"\p{Lu}+"), "A"), (regex.compile(r"[\p{L}\p{M}--\p{Lu}]+", regex.V1), "a"), (regex.compile(r"\p{N}+"), "0"))
+#: Capitals, digits and other letters (all bytes beyond ASCII count as such) to one sign each.
+_SIGNS = bytes(
+    65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else 97 if 97 <= b <= 122 or b >= 128 else b for b in range(256))
+_RUNS = re.compile(rb"(.)\1+", re.DOTALL)
 
 
 def _hash(kind: bytes, value: bytes) -> int:
     return xxhash.xxh64_intdigest(value, kind[0]) >> 16
 
 
-def _shape(word: str) -> str:
-    """Runs of capitals, other letters and digits as one sign each, other characters once a run."""
-    for pattern, sign in _KINDS:
-        word = pattern.sub({"A": "\x01", "a": "\x02", "0": "\x03"}[sign], word)
-    return regex.sub(r"(.)\1+", r"\1", word)[:12]
+@functools.lru_cache(maxsize=1 << 14)
+def _shape(signs: bytes) -> int:
+    """Feature of a word's shape: runs of equal signs once, the first dozen signs."""
+    return _hash(b"s", _RUNS.sub(rb"\1", signs)[:12])
 
 
 class _WordFeatures(dict):
@@ -53,9 +58,9 @@ class _WordFeatures(dict):
         self.within = within
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        text = word[:256].decode("utf-8", "replace")
         plain = word.strip(_EDGE)
-        found = (_hash(b"w", plain.decode("utf-8", "replace").lower().encode()), _hash(b"s", _shape(text).encode()))
+        plain = plain.lower() if plain.isascii() else plain.decode("utf-8", "replace").lower().encode()
+        found = (_hash(b"w", plain), _shape(word[:256].translate(_SIGNS)))
         if self.within is not None:
             found = tuple(x for x in found if x in self.within)
         if len(word) <= 64:
@@ -67,7 +72,7 @@ class _WordFeatures(dict):
 
 def _step(part: int, whole: int) -> int:
     """0 for none, else steps that double from about 1 in 64."""
-    return 0 if not part or not whole else max(1, 8 - int(np.log2(whole / part)))
+    return 0 if not part or not whole else max(1, 8 - int(math.log2(whole / part)))
 
 
 def features(text: bytes, known: _WordFeatures) -> set[int]:
@@ -81,7 +86,7 @@ def features(text: bytes, known: _WordFeatures) -> set[int]:
     bare = len(text.translate(None, b" \t\n\r\x0b\x0c"))
     shares = {
         b"distinct": _step(len(distinct), n) if n >= 20 else -1,
-        b"size": int(np.log2(n + 1)),
+        b"size": (n + 1).bit_length(),
         b"again": _step(sum(map(operator.eq, words, words[1:])), n),
         b"upper": _step(bare - len(text.translate(None, b" \t\n\r\x0b\x0cABCDEFGHIJKLMNOPQRSTUVWXYZ")), bare),
         b"symbols": _step(bare - len(text.translate(None, b" \t\n\r\x0b\x0c#*$%&|<>!@^_=+~{}[]\\/")), bare),
@@ -110,7 +115,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.where(x >= 0, 1 / (1 + np.exp(-np.abs(x))), np.exp(-np.abs(x)) / (1 + np.exp(-np.abs(x))))
 
 
-def fit_ordinal(docs: list[np.ndarray], grades: np.ndarray, n_grades: int, penalty: float = 1e-4, rounds: int = 250, rate: float = 0.05) -> Ordinal:
+def fit_ordinal(docs: list[np.ndarray], grades: np.ndarray, n_grades: int, penalty: float = 1e-4, rounds: int = 200, rate: float = 0.05) -> Ordinal:
     """Weights and thresholds of the cumulative-link model, by Adam on the whole sample with a squared penalty.
 
     ``docs`` holds the features of each document. Without documents every weight is
@@ -118,13 +123,16 @@ def fit_ordinal(docs: list[np.ndarray], grades: np.ndarray, n_grades: int, penal
     """
     if not len(docs):
         return Ordinal({}, tuple(-20.0 + k for k in range(n_grades - 1)))
-    lengths = np.array([len(d) for d in docs])
-    names, place, seen = np.unique(np.concatenate(docs), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(docs)), lengths)
-    often = seen >= LEAST_DOCS
-    keep = often[place]
-    number = np.cumsum(often) - 1
-    column, row, names = number[place[keep]], row[keep], names[often]
+    row = np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in docs])
+    names, seen = np.unique(np.concatenate(docs), return_counts=True)
+    names = names[seen >= LEAST_DOCS]
+    column, kept = [], []
+    for d in docs:  # a document at a time, so that what is left out takes no memory
+        at = np.minimum(np.searchsorted(names, d), max(0, len(names) - 1))
+        there = names[at] == d if len(names) else np.zeros(len(d), bool)
+        column.append(at[there].astype(np.int32))
+        kept.append(there)
+    column, row = np.concatenate(column), row[np.concatenate(kept)]
     n, m = len(docs), len(names)
     # thresholds start at the shares of the grades: first cut, then logs of the gaps
     below = np.clip(np.array([(grades <= k).mean() for k in range(n_grades - 1)]), 1e-3, 1 - 1e-3)

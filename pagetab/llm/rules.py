@@ -23,7 +23,7 @@ from pagetab.llm.common import resource_path
 #: Least and most characters per piece, most share of byte pieces, least entropy
 #: as a share of what ``ENTROPY_SPAN`` or fewer pieces could have.
 BANDS = {
-    "en": (1.5, 9.0, 0.10, 0.60), "de": (1.3, 9.0, 0.10, 0.60), "fr": (1.3, 9.0, 0.10, 0.60), "es": (1.3, 9.0, 0.10, 0.60),
+    "en": (1.5, 9.0, 0.10, 0.70), "de": (1.3, 9.0, 0.10, 0.70), "fr": (1.3, 9.0, 0.10, 0.70), "es": (1.3, 9.0, 0.10, 0.70),
     "latin": (1.2, 9.0, 0.20, 0.55), "cyrillic": (0.9, 8.0, 0.20, 0.55), "cjk": (0.3, 4.0, 0.70, 0.55), "other": (0.2, 9.0, 0.90, 0.50),
 }
 ENTROPY_SPAN = 256

@@ -226,11 +226,14 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode_texts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: (id, ids array<int>), the ids of the whole text.
+def encode_texts(
+    docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """One row per row of ``docs``: (id, ids array<int>), the ids of the whole text, and the columns in ``keep``.
 
     A null text has the ids of an empty one: none. Ids of rows may be null or repeat.
-    Other columns are not read. An empty table gives an empty table.
+    Other columns are not read; ``keep`` may name any but the result's. An empty
+    table gives an empty table.
     """
     path = resource_path(tokenizer)
 
@@ -245,23 +248,36 @@ def encode_texts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col:
                     offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
                     ids = pa.array(np.frombuffer(b"".join(rows), "<i4"))
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(at, len(rows)), pa.ListArray.from_arrays(offsets, ids)], names=["id", "ids"])
+                        [batch.column(0).slice(at, len(rows)), pa.ListArray.from_arrays(offsets, ids),
+                         *(c.slice(at, len(rows)) for c in batch.columns[2:])], names=["id", "ids", *(f.name for f in extra)])
                     rows, held, at = [], 0, i + 1
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>")
+    extra = [f for f in docs.schema.fields if f.name in keep]
+    rows = docs.select(
+        F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(f.name).alias(f"k{i}") for i, f in enumerate(extra)))
+    kinds = [("id", rows.schema["id"].dataType.simpleString()), ("ids", "array<int>"), *((f.name, f.dataType.simpleString()) for f in extra)]
+    return rows.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in kinds))
 
 
-def decode_ids(encoded: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
-    """(id, ids, text) from (id, ids): the text that the ids give; null ids give an empty text, unknown ids nothing."""
+def decode_ids(
+    encoded: DataFrame, tokenizer: str = "byte_bpe_50k.json", keep: tuple[str, ...] = (), out: str = "text"
+) -> DataFrame:
+    """(id, ids, ``out``) from (id, ids), and the columns in ``keep``: ``out`` is the text that the ids give.
+
+    Null ids give an empty text, an id that the vocabulary lacks nothing.
+    """
     path = resource_path(tokenizer)
+    extra = [f for f in encoded.schema.fields if f.name in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = encoder(path).decode
         for batch in batches:
             column = batch.column(1)
             texts = [decode(x.values.to_pylist() if x.is_valid else []) for x in column]
-            yield pa.RecordBatch.from_arrays([batch.column(0), column, pa.array(texts, pa.string())], names=["id", "ids", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), column, pa.array(texts, pa.string()), *batch.columns[2:]], names=names)
 
-    kind = encoded.schema["id"].dataType.simpleString()
-    return encoded.select("id", "ids").mapInArrow(run, f"id {kind}, ids array<int>, text string")
+    kinds = [("id", encoded.schema["id"].dataType.simpleString()), ("ids", "array<int>"), (out, "string")]
+    kinds += [(f.name, f.dataType.simpleString()) for f in extra]
+    names = [n for n, _ in kinds]
+    return encoded.select("id", "ids", *(F.col(f.name).alias(f"k{i}") for i, f in enumerate(extra))).mapInArrow(
+        run, ", ".join(f"`{n}` {k}" for n, k in kinds))

@@ -204,7 +204,7 @@ def grade_texts(
     """
     if not 1 <= least_grade <= len(model.thresholds):
         raise ValueError("the least grade is one of the grades above the lowest")
-    extra = [f for f in docs.schema.fields if f.name in keep]
+    extra = [f for f in docs.schema.fields if f.name in keep and f.name != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordFeatures(model.weights)
@@ -214,10 +214,12 @@ def grade_texts(
             chosen = [t[least_grade - 1] for t in tails]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores, pa.float64()), pa.array([sum(t) for t in tails], pa.float64()), pa.array(chosen, pa.float64()),
-                 pa.array([t >= least_tail for t in chosen], pa.bool_()), *batch.columns[2:]],
-                names=["id", "score", "expected_grade", "tail", "kept", *(f.name for f in extra)])
+                 pa.array([t >= least_tail for t in chosen], pa.bool_()), *batch.columns[1 if text_col in keep else 2:]],
+                names=names)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(f.name).alias(f"k{i}") for i, f in enumerate(extra)))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, ", ".join([
-        f"id {kind}, score double, expected_grade double, tail double, kept boolean", *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra)]))
+    kinds = [("id", kind), ("score", "double"), ("expected_grade", "double"), ("tail", "double"), ("kept", "boolean")]
+    kinds += [(text_col, "string")] * (text_col in keep) + [(f.name, f.dataType.simpleString()) for f in extra]
+    names = [n for n, _ in kinds]
+    return rows.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in kinds))

@@ -1,0 +1,199 @@
+"""Near-duplicate documents by similarity of shingle sets, with long SimHash fingerprints.
+
+Short fingerprints serve links of a few bits. Texts whose five-word shingles agree
+by 0.8 differ in about a seventh of all bits, so this module takes long ones, of
+two kinds. One is made of a text's distinct words, which small changes touch least.
+It is split into blocks; pairs that differ in fewer bits than there are blocks share
+a block for certain, and the number of blocks is chosen such that pairs at the
+similarity asked for share one with a probability of about 0.97. Blocks are long
+enough for the number of texts, so that unrelated texts seldom meet. The other
+fingerprint is made of the distinct shingles. The share of its bits in which two
+texts differ gives the angle between their shingle sets and so their similarity,
+which verifies the pairs that met.
+
+Blocks that more than ``CROWD`` texts share are compared tile by tile, a tile being
+two slices of the crowd, and a tile returns the links of a spanning forest only.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pagetab.llm.common import components, dropped, scratch, stored
+
+#: Bits of the fingerprint that verifies pairs.
+BITS = 1024
+#: Texts of one block value up to which pairs are joined, and texts of a slice of more.
+CROWD, SLICE = 32, 256
+#: Share of bits in which the word fingerprints of similar pairs differ, for the number of blocks.
+_WORD_SHARE = 0.09
+_MOST_WORDS = 1 << 20
+
+
+class _WordHashes(dict):
+    """XXH64 of words, remembered for as long as they are few enough to hold."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh64_intdigest(word, 3)
+        if len(self) < _MOST_WORDS and len(word) < 64:
+            self[word] = value
+        return value
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _lanes(n: int) -> np.ndarray:
+    return _mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def long_simhash(hashes: np.ndarray, lanes: np.ndarray) -> np.ndarray:
+    """64 bits for each lane: those set in over half of the hashes, mixed anew for each lane."""
+    counts = np.zeros(64 * len(lanes), np.int64)
+    for a in range(0, len(hashes), 255):  # sums of bits of so many rows fit a byte
+        bits = np.unpackbits(_mixed(hashes[a: a + 255, None] ^ lanes[None]).view(np.uint8), axis=1)
+        counts += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(hashes))
+
+
+def shingle_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the distinct runs of ``width`` words; of all words if they are fewer."""
+    width = min(width, len(h))
+    n = len(h) - width + 1
+    keys = np.zeros(n, np.uint64)
+    for i in range(width):
+        keys = _mixed(keys + h[i: i + n] + np.uint64(i + 1))
+    return np.unique(keys)
+
+
+def _spanning(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[u], label[v])
+        fresh = label.copy()
+        np.minimum.at(fresh, u, least)
+        np.minimum.at(fresh, v, least)
+        fresh = fresh[fresh]
+        if (fresh == label).all():
+            return label
+        label = fresh
+
+
+def most_bits(similarity: float) -> int:
+    """Differing bits of ``BITS`` up to which a pair counts as similar: what shingle sets of that Jaccard similarity give, and two deviations."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(BITS * share + 2 * math.sqrt(BITS * share * (1 - share)))
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per distinct id of ``docs``: (id, component, n), n rows having that id.
+
+    ``component`` is the smallest id among texts that links of at least
+    ``similarity`` connect. Words end at ASCII white space, A-Z are lowered; texts of
+    equal words link always, so do all texts without words (null among them). An id
+    that stands for several texts takes the smallest of their components. Null ids
+    are left out. Other columns are not read; an empty table gives an empty table.
+    """
+    spark = docs.sparkSession
+    folder = scratch(spark, "similar")
+    n = docs.count()
+    size = max(16, max(1, n - 1).bit_length() + 4)  # bits of a block
+    blocks = math.ceil(3.5 / (1 - _WORD_SHARE) ** size)
+    word_lanes = _lanes(-(-blocks * size // 64))
+    lanes, most = _lanes(BITS // 64)[::-1].copy(), most_bits(similarity)
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _WordHashes()
+        for batch in batches:
+            whole, cut, check = [], [], []
+            for text in batch.column(1).cast(pa.binary()):
+                words = (text.as_py() or b"").lower().split()
+                whole.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                if not words:
+                    cut.append([])
+                    check.append(b"\0" * (BITS // 8))
+                    continue
+                h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+                bits = np.unpackbits(long_simhash(np.unique(h), word_lanes))[: blocks * size].reshape(blocks, size)
+                cut.append((bits @ (1 << np.arange(size, dtype=np.int64))).tolist())
+                check.append(long_simhash(shingle_hashes(h, width), lanes).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(whole, pa.binary()), pa.array(cut, pa.list_(pa.int64())), pa.array(check, pa.binary())],
+                names=["id", "whole", "cut", "bits"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("id").isNotNull())
+    kind = rows.schema["id"].dataType.simpleString()
+    rows = stored(rows.mapInArrow(prints, f"id {kind}, whole binary, cut array<long>, bits binary"), f"{folder}/rows")
+    classes = stored(
+        rows.groupBy("whole").agg(F.min("id").alias("least"), F.first("cut").alias("cut"), F.first("bits").alias("bits"))
+        .withColumn("uid", F.monotonically_increasing_id()), f"{folder}/classes")
+    keyed = classes.select("uid", F.posexplode("cut").alias("i", "key"))
+    shared = stored(keyed.groupBy("i", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"{folder}/shared")
+    met = stored(keyed.join(shared, ["i", "key"]), f"{folder}/met")
+    few = met.where(F.col("n") <= CROWD).select("i", "key", "uid")
+    pairs = (
+        few.join(few.withColumnRenamed("uid", "other"), ["i", "key"]).where("uid < other")
+        .select(F.col("uid").alias("u"), F.col("other").alias("v")).distinct())
+    pairs = stored(pairs, f"{folder}/pairs")
+    left = classes.select(F.col("uid").alias("u"), F.col("bits").alias("a"))
+    right = classes.select(F.col("uid").alias("v"), F.col("bits").alias("b"))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, BITS // 64) for i in (2, 3))
+            close = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= most
+            yield batch.select([0, 1]).filter(pa.array(close))
+
+    links = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(near, "u long, v long")
+    # crowds: slices of a block's texts against each other
+    crowds = met.where(F.col("n") > CROWD).withColumn("slices", F.ceil(F.col("n") / SLICE).cast("int"))
+    crowds = stored(crowds.join(classes.select("uid", "bits"), "uid").withColumn("s", F.expr("pmod(xxhash64(uid), slices)").cast("int")), f"{folder}/crowds")
+    tiles = crowds.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(
+        "i", "key", F.least("s", "o").alias("x"), F.greatest("s", "o").alias("y"), "s", "uid", "bits")
+
+    def tile(table: pa.Table) -> pa.Table:
+        x, y, s = table["x"][0].as_py(), table["y"][0].as_py(), table["s"].to_numpy()
+        uid = table["uid"].to_numpy()
+        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        here, there = np.flatnonzero(s == x), np.flatnonzero(s == y)
+        us, vs = [], []
+        for a in range(0, len(here), 64):
+            at = here[a: a + 64]
+            p, q = np.nonzero(np.bitwise_count(bits[at][:, None] ^ bits[there][None]).sum(axis=2, dtype=np.int64) <= most)
+            us.append(at[p])
+            vs.append(there[q])
+        root = _spanning(np.concatenate(us), np.concatenate(vs), len(s)) if us else np.arange(len(s))
+        moved = np.flatnonzero(root != np.arange(len(s)))
+        return pa.table({"u": uid[moved], "v": uid[root[moved]]})
+
+    links = stored(links.unionByName(tiles.groupBy("i", "key", "x", "y").applyInArrow(tile, "u long, v long")), f"{folder}/links")
+    roots = stored(components(links, folder).withColumnRenamed("node", "uid"), f"{folder}/roots")
+    named = stored(
+        classes.select("uid", "whole", "least").join(roots, "uid", "left").select("whole", "least", F.coalesce("root", "uid").alias("root")),
+        f"{folder}/named")
+    least = stored(named.groupBy("root").agg(F.min("least").alias("component")), f"{folder}/least")
+    member = stored(named.join(least, "root").select("whole", "component"), f"{folder}/member")
+    found = stored(
+        rows.select("id", "whole").join(member, "whole").groupBy("id").agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("n")),
+        f"{folder}/found")
+    dropped(spark, *(f"{folder}/{x}" for x in (
+        "rows", "classes", "shared", "met", "pairs", "crowds", "links", "roots", "named", "least", "member")))
+    return found
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id names its group in ``groups``; of rows that share such an id, one."""
+    named = groups.where("id = component").withColumnRenamed("id", id_col)
+    once = docs.join(named.where("n = 1").select(id_col), id_col, "left_semi")
+    again = docs.join(named.where("n > 1").select(id_col), id_col, "left_semi").dropDuplicates([id_col])
+    return once.unionByName(again)

@@ -196,8 +196,10 @@ def repeated_spans(docs: DataFrame, window: int, folder: str) -> DataFrame:
     return spans
 
 
-def drop_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: (id, n_words, n_removed, spans, kept).
+def drop_repeats(
+    docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """One row per row of ``docs``: (id, n_words, n_removed, spans, kept) and the columns in ``keep``.
 
     ``spans`` lists start and end of each maximal repeat, as word positions;
     ``kept`` is the text without their words, the others joined by one space. A
@@ -206,12 +208,17 @@ def drop_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
     are judged on the input. Texts that are null, empty or shorter than a window
     lose nothing (``kept`` of a null text is empty). Rows with equal texts repeat
     each other, even if their ids agree. Null ids are kept as rows. Other columns
-    are not read. An empty table gives an empty table.
+    are not read; ``keep`` may name any but the result's. An empty table gives an
+    empty table.
     """
     folder = scratch(docs.sparkSession, "substrings")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    extra = [f for f in docs.schema.fields if f.name in keep]
+    # columns to keep go by numbers, so that none clashes with those used here
+    rows = docs.select(
+        F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        *(F.col(f.name).alias(f"k{i}") for i, f in enumerate(extra)))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    spans = repeated_spans(rows, window, folder)
+    spans = repeated_spans(rows.select("h", "text"), window, folder)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,8 +232,10 @@ def drop_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
                 kept.append(b" ".join([w for a, b in zip(stops[::2], stops[1::2], strict=True) for w in words[a:b]]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), batch.column(2),
-                 pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "spans", "kept"])
+                 pa.array(kept, pa.binary()).cast(pa.string()), *batch.columns[3:]], names=names)
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.join(spans, "h", "left").select("id", "text", "spans").mapInArrow(
-        cut, f"id {kind}, n_words long, n_removed long, spans array<int>, kept string")
+    kinds = [("id", rows.schema["id"].dataType.simpleString()), ("n_words", "long"), ("n_removed", "long"), ("spans", "array<int>"), ("kept", "string")]
+    kinds += [(f.name, f.dataType.simpleString()) for f in extra]
+    names = [n for n, _ in kinds]
+    return rows.join(spans, "h", "left").select("id", "text", "spans", *(f"k{i}" for i in range(len(extra)))).mapInArrow(
+        cut, ", ".join(f"`{n}` {k}" for n, k in kinds))

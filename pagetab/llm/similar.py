@@ -9,7 +9,8 @@ similarity asked for share one with a probability of about 0.97. Blocks are long
 enough for the number of texts, so that unrelated texts seldom meet. The other
 fingerprint is made of the distinct shingles. The share of its bits in which two
 texts differ gives the angle between their shingle sets and so their similarity,
-which verifies the pairs that met.
+which verifies the pairs that met. The Hamming distance admits whatever may be
+similar enough; the shingle sets of those pairs, and of no others, then decide.
 
 Blocks that more than ``CROWD`` texts share are compared tile by tile, a tile being
 two slices of the crowd, and a tile returns the links of a spanning forest only.
@@ -76,30 +77,30 @@ def shingle_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return np.unique(keys)
 
 
-def _spanning(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
-    label = np.arange(n)
-    while True:
-        least = np.minimum(label[u], label[v])
-        fresh = label.copy()
-        np.minimum.at(fresh, u, least)
-        np.minimum.at(fresh, v, least)
-        fresh = fresh[fresh]
-        if (fresh == label).all():
-            return label
-        label = fresh
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sorted sets of hashes."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / max(1, len(a) + len(b) - shared)
 
 
 def most_bits(similarity: float) -> int:
-    """Differing bits of ``BITS`` up to which a pair counts as similar: what shingle sets of that Jaccard similarity give, and two deviations."""
+    """Differing bits of ``BITS`` up to which a pair may be similar: what shingle sets of that Jaccard similarity give, and three deviations."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(BITS * share + 2 * math.sqrt(BITS * share * (1 - share)))
+    return round(BITS * share + 3 * math.sqrt(BITS * share * (1 - share)))
+
+
+def _root(parent: list[int], x: int) -> int:
+    while parent[x] != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
 
 
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per distinct id of ``docs``: (id, component, n), n rows having that id.
 
     ``component`` is the smallest id among texts that links of at least
-    ``similarity`` connect. Words end at ASCII white space, A-Z are lowered; texts of
+    ``similarity`` (Jaccard, of the sets of ``width``-word shingles) connect. Words end at ASCII white space, A-Z are lowered; texts of
     equal words link always, so do all texts without words (null among them). An id
     that stands for several texts takes the smallest of their components. Null ids
     are left out. Other columns are not read; an empty table gives an empty table.
@@ -154,27 +155,60 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
             close = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= most
             yield batch.select([0, 1]).filter(pa.array(close))
 
-    links = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(near, "u long, v long")
+    close = stored(
+        pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(near, "u long, v long"), f"{folder}/close")
     # crowds: slices of a block's texts against each other
     crowds = met.where(F.col("n") > CROWD).withColumn("slices", F.ceil(F.col("n") / SLICE).cast("int"))
-    crowds = stored(crowds.join(classes.select("uid", "bits"), "uid").withColumn("s", F.expr("pmod(xxhash64(uid), slices)").cast("int")), f"{folder}/crowds")
-    tiles = crowds.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(
-        "i", "key", F.least("s", "o").alias("x"), F.greatest("s", "o").alias("y"), "s", "uid", "bits")
+    crowds = stored(crowds.withColumn("s", F.expr("pmod(xxhash64(uid), slices)").cast("int")), f"{folder}/crowds")
+    # shingle sets of the texts that may be similar to any other
+    asked = close.select(F.col("u").alias("uid")).unionByName(close.select(F.col("v").alias("uid"))).unionByName(crowds.select("uid")).distinct()
+    asked = stored(asked.join(classes.select("uid", "whole", "least", "bits"), "uid"), f"{folder}/asked")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _WordHashes()
+        for batch in batches:
+            keep, found = [], []
+            for text, whole in zip(batch.column(3).cast(pa.binary()), batch.column(1).to_pylist(), strict=True):
+                words = (text.as_py() or b"").lower().split()
+                keep.append(xxhash.xxh3_128_digest(b" ".join(words)) == whole)  # an id may stand for other texts too
+                if keep[-1]:
+                    found.append(shingle_hashes(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), width).tobytes())
+            there = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([there.column(0), there.column(2), pa.array(found, pa.binary())], names=["uid", "bits", "set"])
+
+    texts = docs.select(F.col(id_col).alias("least"), F.col(text_col).cast("string").alias("text")).join(asked, "least")
+    texts = texts.select("uid", "whole", "bits", "text").mapInArrow(sets, "uid long, bits binary, set binary")
+    texts = stored(texts.dropDuplicates(["uid"]), f"{folder}/sets")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(2), batch.column(3), strict=True)
+            good = [jaccard(*(np.frombuffer(x.as_buffer(), np.uint64) for x in pair)) >= similarity for pair in pairs]
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    left = texts.select(F.col("uid").alias("u"), F.col("set").alias("a"))
+    right = texts.select(F.col("uid").alias("v"), F.col("set").alias("b"))
+    links = close.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(verified, "u long, v long")
+    tiles = crowds.join(texts, "uid").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(
+        "i", "key", F.least("s", "o").alias("x"), F.greatest("s", "o").alias("y"), "s", "uid", "bits", "set")
 
     def tile(table: pa.Table) -> pa.Table:
         x, y, s = table["x"][0].as_py(), table["y"][0].as_py(), table["s"].to_numpy()
         uid = table["uid"].to_numpy()
         bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        shingles = [np.frombuffer(b, np.uint64) for b in table["set"].to_pylist()]
         here, there = np.flatnonzero(s == x), np.flatnonzero(s == y)
-        us, vs = [], []
-        for a in range(0, len(here), 64):
-            at = here[a: a + 64]
+        parent, us, vs = list(range(len(s))), [], []
+        for a in range(0, len(here), 32):
+            at = here[a: a + 32]
             p, q = np.nonzero(np.bitwise_count(bits[at][:, None] ^ bits[there][None]).sum(axis=2, dtype=np.int64) <= most)
-            us.append(at[p])
-            vs.append(there[q])
-        root = _spanning(np.concatenate(us), np.concatenate(vs), len(s)) if us else np.arange(len(s))
-        moved = np.flatnonzero(root != np.arange(len(s)))
-        return pa.table({"u": uid[moved], "v": uid[root[moved]]})
+            for i, j in zip(at[p].tolist(), there[q].tolist(), strict=True):
+                b, c = _root(parent, i), _root(parent, j)
+                if b != c and jaccard(shingles[i], shingles[j]) >= similarity:
+                    parent[max(b, c)] = min(b, c)
+                    us.append(i)
+                    vs.append(j)
+        return pa.table({"u": uid[np.array(us, np.int64)], "v": uid[np.array(vs, np.int64)]})
 
     links = stored(links.unionByName(tiles.groupBy("i", "key", "x", "y").applyInArrow(tile, "u long, v long")), f"{folder}/links")
     roots = stored(components(links, folder).withColumnRenamed("node", "uid"), f"{folder}/roots")
@@ -187,7 +221,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
         rows.select("id", "whole").join(member, "whole").groupBy("id").agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("n")),
         f"{folder}/found")
     dropped(spark, *(f"{folder}/{x}" for x in (
-        "rows", "classes", "shared", "met", "pairs", "crowds", "links", "roots", "named", "least", "member")))
+        "rows", "classes", "shared", "met", "pairs", "close", "crowds", "asked", "sets", "links", "roots", "named", "least", "member")))
     return found
 
 

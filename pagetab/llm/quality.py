@@ -115,9 +115,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.where(x >= 0, 1 / (1 + np.exp(-np.abs(x))), np.exp(-np.abs(x)) / (1 + np.exp(-np.abs(x))))
 
 
-def fit_ordinal(docs: list[np.ndarray], grades: np.ndarray, n_grades: int, penalty: float = 1e-4, rounds: int = 200, rate: float = 0.05) -> Ordinal:
-    """Weights and thresholds of the cumulative-link model, by Adam on the whole sample with a squared penalty.
+def fit_ordinal(docs: list[np.ndarray], grades: np.ndarray, n_grades: int, prior: float = 1.0, rounds: int = 200, rate: float = 0.05) -> Ordinal:
+    """Weights and thresholds of the cumulative-link model, by Adam on the whole sample.
 
+    Weights have a normal prior of variance ``1 / prior``: a squared penalty that weighs less the more documents there are.
     ``docs`` holds the features of each document. Without documents every weight is
     missing and the thresholds are far below zero, so that all have the best grade.
     """
@@ -134,6 +135,7 @@ def fit_ordinal(docs: list[np.ndarray], grades: np.ndarray, n_grades: int, penal
         kept.append(there)
     column, row = np.concatenate(column), row[np.concatenate(kept)]
     n, m = len(docs), len(names)
+    penalty = prior / n
     # thresholds start at the shares of the grades: first cut, then logs of the gaps
     below = np.clip(np.array([(grades <= k).mean() for k in range(n_grades - 1)]), 1e-3, 1 - 1e-3)
     cuts = np.maximum.accumulate(np.log(below / (1 - below)) + 1e-3 * np.arange(n_grades - 1))

@@ -12,11 +12,11 @@ which begin with it, the latest first, then what a removed arc takes away is one
 of numbers. The state of ``w`` starts as the state of ``v`` was at that time, so
 states share their ranges.
 
-A word is encoded by running the automaton over its bytes: the state at a place
-is the last token of the encoding up to there. At each place one token ends whose
-arc leaves the state at its start, and no other. Tokens that end at a place are
-found by walking a table of reversed tokens. Encoding takes one pass and a
-backward walk over the states; decoding emits the bytes of the labels.
+A word is encoded by a run of the automaton over its bytes. At each place the
+labels that come next are read off a table of tokens, and the longest whose arc
+leaves the state is followed. Only one run of the automaton reads a given prefix, so
+a place from which no arc leads on is given up for good, and every place is
+expanded once at most. Decoding emits the bytes of the labels.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ from pagetab.llm.common import resource_path
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Words remembered with their ids, their bytes, and the longest that are remembered.
 _MOST_WORDS, _MOST_BYTES, _LONGEST = 1 << 19, 64 << 20, 256
+#: Arcs remembered; a token's number fits 24 bits.
+_MOST_ARCS = 1 << 19
 #: Bytes of ids that make a batch.
 _BATCH = 8 << 20
 
@@ -81,15 +83,16 @@ class Automaton:
             stack.append((t, True))
             stack.extend((c, False) for c in children.get(t, ()))
         self.children = children
-        # reversed tokens as nested tables: a byte's entry is (token or -1, table of the byte before)
-        self.back: dict = {}
+        # tokens as nested tables: a byte's entry is (token or -1, table of the bytes that may follow)
+        self.labels: dict = {}
         for t in self.number:
-            table = self.back
-            b = tokens[t]
-            for x in b[:0:-1]:
+            table, b = self.labels, tokens[t]
+            for x in b[:-1]:
                 table = table.setdefault(x, [-1, {}])[1]
-            table.setdefault(b[0], [-1, {}])[0] = t
+            table.setdefault(b[-1], [-1, {}])[0] = t
         self.states: dict[int, tuple[list[int], list[int]]] = {}
+        #: Arcs looked up before, by state and token.
+        self.arcs: dict[int, bool] = {}
 
     def _missing(self, x: int, t: int, made: dict, time: int) -> bool:
         """Whether the arc ``t`` is missing from the state after ``x`` just before gadget ``time``."""
@@ -137,53 +140,65 @@ class Automaton:
 
     def encode(self, word: bytes) -> list[int]:
         """Ids of a pre-split word."""
-        last = [-1] * (len(word) + 1)  # the state at each place, by token
-        length = [0] * (len(word) + 1)
-        number, states = self.number, self.states
-        for i in range(1, len(word) + 1):
-            table, j = self.back, i
-            while j:
-                entry = table.get(word[j - 1])
+        arcs, n = self.arcs, len(word)
+        if len(arcs) > _MOST_ARCS:
+            arcs.clear()
+        ids: list[int] = []
+        run: list[tuple] = []  # what is left to try at each place before
+        closed: set[int] = set()
+        at, state = 0, -1
+        while at < n:
+            table, i, open_ = self.labels, at, []
+            while i < n:
+                entry = table.get(word[i])
                 if entry is None:
                     break
-                j -= 1
+                i += 1
                 t, table = entry
                 if t >= 0:
-                    if j:
-                        x = last[j]
-                        found = states.get(x) or self.state(x)
-                        n = number[t]
-                        k = bisect.bisect_right(found[0], n)
-                        if k and found[1][k - 1] > n:
-                            continue
-                    last[i], length[i] = t, i - j
+                    open_.append((t, i))
+            while True:
+                t = -1
+                while open_:
+                    t, i = open_.pop()
+                    if i not in closed:
+                        if state < 0:
+                            break
+                        key = state << 24 | t
+                        there = arcs.get(key)
+                        if there is None:
+                            there = arcs[key] = self.allows(state, t)
+                        if there:
+                            break
+                    t = -1
+                if t >= 0:
                     break
-        ids, i = [], len(word)
-        while i:
-            ids.append(last[i])
-            i -= length[i]
-        ids.reverse()
+                closed.add(at)
+                at, state, open_ = run.pop()
+                ids.pop()
+            run.append((at, state, open_))
+            ids.append(t)
+            at, state = i, t
         return ids
 
 
-class _Labels(dict):
-    def __missing__(self, i: int) -> bytes:
-        return b""
+def _vocabulary(path: str) -> tuple[dict, dict[int, bytes], dict[str, int]]:
+    """(specification, bytes of each token, ids of added tokens) of a vocabulary file."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    letters = _byte_letters()
+    special = {a["content"]: a["id"] for a in spec["added_tokens"]}
+    return spec, {i: bytes(letters[c] for c in t) for t, i in spec["model"]["vocab"].items() if t not in special}, special
 
 
 class Encoder:
-    """Encoding and decoding with a vocabulary file of byte-level BPE."""
+    """Encoding with a vocabulary file of byte-level BPE."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        letters = _byte_letters()
+        spec, tokens, self.special = _vocabulary(path)
         vocabulary = spec["model"]["vocab"]
-        self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
-        tokens = {i: bytes(letters[c] for c in t) for t, i in vocabulary.items() if t not in self.special}
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.automaton = Automaton(tokens, [(vocabulary[u], vocabulary[v], vocabulary[u + v]) for u, v in merges])
-        self.labels = _Labels(tokens | {i: t.encode() for t, i in self.special.items()})
         self.split = regex.compile(SPLIT)
         self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.words: dict[str, bytes] = {}
@@ -215,9 +230,29 @@ class Encoder:
         self._plain(text[at:] if at else text, out)
         return b"".join(out)
 
-    def decode(self, ids: list[int]) -> str:
-        """The labels of the arcs one after another, as UTF-8; what is no UTF-8 becomes U+FFFD, unknown ids nothing."""
-        return b"".join([*map(self.labels.__getitem__, ids)]).decode("utf-8", "replace")
+
+class Decoder:
+    """The labels of all arcs in one run of bytes."""
+
+    def __init__(self, path: str):
+        _, tokens, special = _vocabulary(path)
+        labels = tokens | {i: t.encode() for t, i in special.items()}
+        self.n = max(labels) + 1
+        parts = [labels.get(i, b"") for i in range(self.n)] + [b""]  # the last for ids that there are not
+        self.length = np.array([len(p) for p in parts], np.int32)
+        self.first = (np.cumsum(self.length) - self.length).astype(np.int32)
+        self.bytes = np.frombuffer(b"".join(parts), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The labels one after another, as UTF-8; what is no UTF-8 becomes U+FFFD, unknown ids nothing."""
+        at = np.where((ids >= 0) & (ids < self.n), ids, self.n)
+        length = self.length[at]
+        end = np.cumsum(length)
+        if not len(end) or not end[-1]:
+            return ""
+        where = np.repeat((self.first[at] - (end - length)).astype(np.int32), length)
+        where += np.arange(end[-1], dtype=np.int32)
+        return self.bytes[where].tobytes().decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=2)
@@ -226,6 +261,12 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+@functools.lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    """One decoder per worker and file."""
+    return Decoder(path)
+
+
 def encode_texts(
     docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -264,16 +305,16 @@ def decode_ids(
 ) -> DataFrame:
     """(id, ids, ``out``) from (id, ids), and the columns in ``keep``: ``out`` is the text that the ids give.
 
-    Null ids give an empty text, an id that the vocabulary lacks nothing.
+    Null ids give an empty text, an id that is null or that the vocabulary lacks nothing.
     """
     path = resource_path(tokenizer)
     extra = [f for f in encoded.schema.fields if f.name in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = encoder(path).decode
+        decode = decoder(path).decode
         for batch in batches:
             column = batch.column(1)
-            texts = [decode(x.values.to_pylist() if x.is_valid else []) for x in column]
+            texts = [decode(x.values.fill_null(-1).to_numpy(zero_copy_only=False)) if x.is_valid else "" for x in column]
             yield pa.RecordBatch.from_arrays([batch.column(0), column, pa.array(texts, pa.string()), *batch.columns[2:]], names=names)
 
     kinds = [("id", encoded.schema["id"].dataType.simpleString()), ("ids", "array<int>"), (out, "string")]

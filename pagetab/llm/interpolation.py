@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pagetab.llm.common import scratch, stored
 
 #: Bytes of text in a chunk, about; a longer text is a chunk of its own size.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 #: One in so many training documents is held out to learn the weights.
 DEV = 10
 #: Steps of log2 in which ratios of probabilities are counted for the learning.

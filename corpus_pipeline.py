@@ -18,7 +18,7 @@ from pagetab.llm.bpe import decode_ids, encode_texts
 from pagetab.llm.common import scratch, stored
 from pagetab.llm.mixing import mix_sources
 from pagetab.llm.quality import fit, grade_texts, rated
-from pagetab.llm.queries import GRADE
+from pagetab.llm.queries import grade
 from pagetab.llm.similar import one_of_each, similar_groups
 from pagetab.llm.substrings import drop_repeats
 
@@ -30,7 +30,7 @@ WINDOW = 50
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what is probably of the best grade, by a model fitted on the rated ones among ``docs``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = fit(docs, rated(labels, GRADE), n_grades=3)
+    model = fit(docs, rated(labels, grade()), n_grades=3)
     graded = grade_texts(docs, model, least_grade=2, keep=COLUMNS[1:])
     return graded.where("kept").withColumnRenamed("id", "doc_id").select(*COLUMNS)
 

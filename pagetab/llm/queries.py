@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetab.llm.bpe import decode_ids, encode_texts
@@ -21,14 +21,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Grades of ``labels``: toxic, poor, good.
-GRADE = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+def grade() -> Column:
+    """Grade of a row of ``labels``: toxic (0), poor (1), good (2)."""
+    return F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade of each document, and whether it is probably of the best grade."""
     docs = _table(spark, sf_dir, "documents")
-    model = fit(docs, rated(_table(spark, sf_dir, "labels"), GRADE), n_grades=3)
+    model = fit(docs, rated(_table(spark, sf_dir, "labels"), grade()), n_grades=3)
     return grade_texts(docs, model, least_grade=2).withColumnRenamed("id", "doc_id")
 
 

@@ -6,7 +6,7 @@ each block; the document index (doc id, whether there is one, end of its ids); a
 footer with counts and places. Blocks have a fixed number of ids, so the ids of any
 document, or any range of ids, are read by unpacking the blocks that hold them.
 
-Documents are written in ascending order of their id: encoded rows are dealt out
+Documents are written in ascending order of their id: texts are dealt out
 by range, and every task streams one file. The manifest, a table, names the file
 of every task that succeeded, so files of failed or repeated tasks are never read.
 """
@@ -33,6 +33,8 @@ _HEAD, _FOOT = struct.Struct("<8sII"), struct.Struct("<QQQQ8s")
 BLOCK = 1 << 16
 #: Words remembered with their ids, and their bytes, beyond which all are forgotten.
 _MOST_WORDS, _MOST_BYTES = 1 << 19, 64 << 20
+#: Texts whose words are looked up together.
+_TEXTS = 512
 #: Bytes of ids that make a batch.
 _BATCH = 8 << 20
 
@@ -142,24 +144,60 @@ class Reader:
 # ---------------------------------------------------------------- encoding
 
 
-class _Words(dict):
-    """Ids of words as bytes; missing ones are encoded together by ``learn``."""
+#: Stands between words that are encoded in one go; a word that holds it is encoded alone.
+_MARK = "\x01"
+
+
+class _Words:
+    """Ids of words as bytes. Words not used for long are forgotten: what was met since the last time stays."""
 
     def __init__(self, tokenizer, kind: str):
-        super().__init__()
         self.tokenizer, self.kind, self.held = tokenizer, kind, 0
-
-    def learn(self, words: list[bytes]) -> None:
-        new = list({w for w in words if w not in self})
-        if not new:
-            return
-        if len(self) > _MOST_WORDS or self.held > _MOST_BYTES:
-            self.clear()
-            self.held, new = 0, list(set(words))
-        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        for word, e in zip(new, found, strict=True):
-            self[word] = np.array(e.ids, self.kind).tobytes()
-            self.held += len(word) + len(self[word])
+        self.now: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        mark = tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.added = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def split(self, text: bytes) -> list[bytes]:
+        """Words of a text. The vocabulary is one of lower case: A-Z are lowered, but not where an added token might arise."""
+        low = text.lower()
+        return (text if any(t in low for t in self.added) else low).split()
+
+    def encode(self, texts: list[list[bytes]]) -> list[bytes]:
+        if len(self.now) > _MOST_WORDS or self.held > _MOST_BYTES:
+            self.before, self.now, self.held = self.now, {}, 0
+        now, before = self.now, self.before
+        new = []
+        for w in {w for t in texts for w in t}:
+            if w not in now:
+                if w in before:
+                    now[w] = before[w]
+                else:
+                    new.append(w)
+        for a in range(0, len(new), 256):
+            self._learn(new[a: a + 256])
+        return [b"".join(map(now.__getitem__, t)) for t in texts]
+
+    def _learn(self, words: list[bytes]) -> None:
+        plain = [w for w in words if b"\x01" not in w and b"<|" not in w] if self.mark is not None else []
+        joined = f" {_MARK} ".join([w.decode("utf-8", "replace") for w in plain])
+        ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, self.kind)
+        ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)] if plain else []
+        if len(ends) != len(plain):
+            plain, ends = [], []
+        data, size, start = ids.tobytes(), ids.itemsize, 0
+        for w, end in zip(plain, ends, strict=True):
+            self._keep(w, data[start * size: end * size])
+            start = end + 1
+        rest = [w for w in words if w not in self.now]
+        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)
+        for w, e in zip(rest, found, strict=True):
+            self._keep(w, np.array(e.ids, self.kind).tobytes())
+
+    def _keep(self, word: bytes, ids: bytes) -> None:
+        self.now[word] = ids
+        self.held += len(word) + len(ids)
 
 
 def _tokenizer(path: str):
@@ -178,31 +216,6 @@ def vocabulary_of(tokenizer: str) -> int:
     return max(t.get_vocab(with_added_tokens=True).values()) + 1
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> tuple[DataFrame, str]:
-    """(id, ids) with ids as little-endian bytes of the returned numpy type.
-
-    The tokenizer must drop white space and have no token across it, as the word
-    vocabulary does: then a text's ids are those of its words, which are encoded
-    once for each batch of texts and worker.
-    """
-    path = resource_path(tokenizer)
-    kind = "<u2" if max(vocabulary_of(path), end_id + 1) <= 1 << 16 else "<u4"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words(_tokenizer(path), kind)
-        end = np.array([end_id], kind).tobytes()
-        for whole in batches:
-            for a in range(0, whole.num_rows, 512):
-                batch = whole.slice(a, 512)
-                texts = [(t or b"").split() for t in batch.column(1).cast(pa.binary()).to_pylist()]
-                known.learn([w for t in texts for w in t])
-                ids = [b"".join(map(known.__getitem__, t)) + end for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, ids binary"), kind
-
-
 # ---------------------------------------------------------------- files
 
 
@@ -212,27 +225,36 @@ def write_token_files(
 ) -> DataFrame:
     """Write the ids of ``docs`` below ``path``, return the manifest: (part, file, n_docs, n_ids, start).
 
+    The tokenizer must drop white space, lower the case and have no token across white
+    space, as the word vocabulary does: then a text's ids are those of its words.
     Every document's ids end with ``end_id``; a null or empty text has only that.
     Documents are in ascending order of id, null ids first, equal ids by a hash of
-    their ids; rows that agree in both are the same in either order. ``start`` is
+    their texts; rows that agree in both are the same in either order. ``start`` is
     the number of ids in all files before. Other columns are not read. An empty
     table gives an empty manifest. Files of tasks that failed stay unlisted.
     """
-    rows, kind = encoded(docs, tokenizer, end_id, id_col, text_col)
-    bits = bits_for(max(vocabulary_of(tokenizer), end_id + 1))
-    ordered = rows.withColumn("h", F.xxhash64("ids")).repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "ids")
+    tokens = resource_path(tokenizer)
+    bits = bits_for(max(vocabulary_of(tokens), end_id + 1))
+    kind = "<u2" if bits <= 16 else "<u4"
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    # texts are dealt out before they are encoded, as ranges are found by a pass of their own
+    ordered = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, at = pafs.FileSystem.from_uri(path)
-        writer = out = None
-        name = f"{uuid.uuid4().hex}.tok"
-        for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        writer = out = known = None
+        name, end = f"{uuid.uuid4().hex}.tok", np.array([end_id], kind).tobytes()
+        for whole in batches:
+            for a in range(0, whole.num_rows, _TEXTS):
+                batch = whole.slice(a, _TEXTS)
                 if writer is None:
+                    known = _Words(_tokenizer(tokens), kind)
                     fs.create_dir(at, recursive=True)
                     out = fs.open_output_stream(f"{at.rstrip('/')}/{name}", compression=None)
                     writer = Writer(out, bits, block)
-                writer.add(doc, np.frombuffer(ids.as_buffer(), kind).astype(np.uint32))
+                texts = [known.split(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
+                for doc, ids in zip(batch.column(0).to_pylist(), known.encode(texts), strict=True):
+                    writer.add(doc, np.frombuffer(ids + end, kind).astype(np.uint32))
         if writer is not None:
             writer.close()
             out.close()

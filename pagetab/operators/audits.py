@@ -22,12 +22,17 @@ def scope_violation(allowed_origin: str) -> Column:
 
 
 def scope_violations(requests: DataFrame, policies: DataFrame) -> DataFrame:
-    """Requests that should not have been made, with the rule they break."""
-    scoped = requests.join(policies.select("crawl_id", "allowed_origin"), "crawl_id")
+    """Requests that should not have been made, with the rule they break.
+
+    A request of a crawl that has no policy breaks the rule ``no_policy``.
+    """
+    known = policies.select("crawl_id", "allowed_origin", F.lit(True).alias("_known"))
+    scoped = requests.join(known, "crawl_id", "left")
+    rule = F.when(F.col("_known").isNull(), F.lit("no_policy")).otherwise(scope_violation("allowed_origin"))
     return (
-        scoped.withColumn("violation", scope_violation("allowed_origin"))
+        scoped.withColumn("violation", rule)
         .where(F.col("violation").isNotNull())
-        .drop("allowed_origin")
+        .drop("allowed_origin", "_known")
     )
 
 

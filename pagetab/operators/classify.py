@@ -19,6 +19,9 @@ TEXT_TYPES = (
     "application/x-json",
 )
 
+# Types that say nothing about the content.
+GENERIC_TYPES = ("application/octet-stream", "unknown/unknown")
+
 # Names recorded for responses that could not be used.
 BAD_ENCODING = "IgnoreRequest"
 BODY_TOO_LARGE = "DownloadCancelledError"
@@ -29,13 +32,27 @@ def media_type(content_type: Column) -> Column:
     return F.lower(F.trim(F.substring_index(content_type, ";", 1)))
 
 
-def is_html(content_type: Column) -> Column:
-    return F.coalesce(media_type(content_type).isin(*HTML_TYPES), F.lit(False))
+def stated_type(content_type: Column, url: Column) -> Column:
+    """Media type of a response: a missing or generic one is told by the URL's extension.
+
+    ``.html``, ``.htm``, ``.xhtml`` and a last part without extension stand for HTML,
+    ``.txt`` for text; other extensions leave the type unknown. Bodies are not looked at.
+    """
+    kind = media_type(content_type)
+    path = F.regexp_replace(url, r"[?#][\s\S]*\z", "")
+    name = F.lower(F.regexp_extract(path, r"\Ahttps?://[^/]*(?:/[^/]*)*?/?([^/]*)\z", 1))
+    extension = F.regexp_extract(name, r"\.([^.]*)\z", 1)
+    told = F.when(extension.isin("", "html", "htm", "xhtml"), F.lit(HTML_TYPES[0])).when(extension == "txt", F.lit("text/plain"))
+    return F.when(F.coalesce(kind, F.lit("")).isin("", *GENERIC_TYPES), told).otherwise(kind)
 
 
-def is_plain_text(content_type: Column) -> Column:
+def is_html(kind: Column) -> Column:
+    """``kind``: a media type, see ``stated_type``."""
+    return F.coalesce(kind.isin(*HTML_TYPES), F.lit(False))
+
+
+def is_plain_text(kind: Column) -> Column:
     """Text, but not HTML."""
-    kind = media_type(content_type)
     return F.coalesce((kind.startswith("text/") & ~kind.isin(*HTML_TYPES)) | kind.isin(*TEXT_TYPES), F.lit(False))
 
 
@@ -58,12 +75,12 @@ def download_error(max_body_bytes: Column) -> Column:
     )
 
 
-def response_kind(status: Column, content_type: Column) -> Column:
+def response_kind(status: Column, content_type: Column, url: Column) -> Column:
     """redirect, http_error, unsupported_content or document, tested in this order."""
     return (
         F.when(status.between(300, 399), F.lit("redirect"))
         .when(~status.between(200, 299), F.lit("http_error"))
-        .when(~is_html(content_type), F.lit("unsupported_content"))
+        .when(~is_html(stated_type(content_type, url)), F.lit("unsupported_content"))
         .otherwise(F.lit("document"))
     )
 
@@ -71,7 +88,7 @@ def response_kind(status: Column, content_type: Column) -> Column:
 def may_be_document(df: DataFrame) -> Column:
     """True for rows worth parsing: nothing known before the policy's size limit rules them out."""
     return (
-        (response_kind(F.col("http_status"), F.col("content_type")) == "document")
+        (response_kind(F.col("http_status"), F.col("content_type"), F.col("url")) == "document")
         & F.col("error_type").isNull()
         & F.col("decode_error").isNull()
         & ~has_residual(F.col("residual_encoding"))
@@ -85,7 +102,7 @@ def classify(responses: DataFrame) -> DataFrame:
     """
     error = F.col("download_error")
     kind = F.when(error.isNotNull(), F.lit("download_error")).otherwise(
-        response_kind(F.col("http_status"), F.col("content_type"))
+        response_kind(F.col("http_status"), F.col("content_type"), F.col("url"))
     )
     is_redirect = F.col("kind") == "redirect"
     located = F.coalesce(F.col("location"), F.lit("")) != ""
@@ -110,11 +127,12 @@ def classify(responses: DataFrame) -> DataFrame:
         status.alias("redirect_status"),
         F.when(is_redirect, F.col("target.url")).alias("redirect_to"),
         F.col("download_error").alias("error_type"),
+        F.when(~failed, F.col("decode_truncated")).alias("decode_truncated"),
     )
 
 
 def first_captures(outcomes: DataFrame) -> DataFrame:
-    """One outcome per crawl and URL: the capture with the lowest capture_id.
+    """One outcome per crawl and URL, with the number of its captures: that with the lowest capture_id.
 
     The minimum is aggregated before the shuffle, so a URL captured very often
     costs one row per input task.
@@ -122,6 +140,6 @@ def first_captures(outcomes: DataFrame) -> DataFrame:
     rest = [c for c in outcomes.columns if c not in ("crawl_id", "url")]
     return (
         outcomes.groupBy("crawl_id", "url")
-        .agg(F.min_by(F.struct(*rest), "capture_id").alias("first"))
-        .select("crawl_id", "url", "first.*")
+        .agg(F.min_by(F.struct(*rest), "capture_id").alias("first"), F.count(F.lit(1)).alias("captures"))
+        .select("crawl_id", "url", "first.*", "captures")
     )

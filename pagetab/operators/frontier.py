@@ -3,7 +3,8 @@
 A crawl visits URLs first in, first out. Here one *wave* holds every URL first
 admitted while the previous wave was processed, ordered by the place of that
 first mention, so that the waves in sequence are the visiting order. Each wave
-is one Spark job over all crawls that are still open.
+is one Spark job over all crawls that are still open. Crawls with few enough
+links for one task are followed to their end in one job.
 """
 
 from __future__ import annotations
@@ -11,11 +12,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pagetab.functions.urls import MAX_URL_CHARS, request_url
 from pagetab.operators.classify import BAD_ENCODING, NOT_CAPTURED
-from pagetab.operators.pages import with_document_columns
 from pagetab.operators.robots import prefix_lengths, robots_verdicts
 from pagetab.sources.shared import written
 
@@ -23,6 +24,12 @@ from pagetab.sources.shared import written
 # them never brings more than SHARDS times the candidate limit to one task.
 SHARDS = 64
 
+#: Edges up to which a crawl is followed in one task.
+WHOLE_CRAWL = 200_000
+
+#: Columns of a document row.
+DOCUMENT = ("title", "title_missing", "text", "text_truncated", "content_sha256")
+
 _WAVE = (
     "crawl_id", "url", "request_url", "discovered_from", "depth", "seq", "wave", "blocked", "processed",
     "aborts", "attempts_before", "page_budget", "max_candidates",
@@ -137,13 +144,8 @@ def _bucket(page_url: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64("crawl_id", page_url), F.lit(buckets)).cast("int")
 
 
-def expand(starts: DataFrame, prefixes: DataFrame, edge_rows: DataFrame, folder: str, buckets: int = 16) -> DataFrame:
-    """All admitted candidates of all crawls in visiting order.
-
-    ``starts``: crawl_id, start_url and limits of the crawls that may start;
-    ``prefixes``: their robots path rules; ``edge_rows``: see ``edges``. Columns of
-    the result: crawl_id, url, request_url, discovered_from, depth, seq, wave,
-    blocked (by robots), processed (the budget reached it), aborts, ...
+def _expand_in_waves(starts: DataFrame, rules: DataFrame, lengths: DataFrame, edge_rows: DataFrame, folder: str, buckets: int) -> DataFrame:
+    """``expand`` for crawls of any size, one job per wave.
 
     Every wave is written below ``folder`` and read back, so a lost executor
     costs one wave's work at most. The edges are written once in ``buckets``
@@ -154,8 +156,6 @@ def expand(starts: DataFrame, prefixes: DataFrame, edge_rows: DataFrame, folder:
     table = written(
         edge_rows.withColumn("bucket", _bucket("src_url", buckets)), f"{folder}/edges", partition_by="bucket"
     )
-    rules = written(prefixes, f"{folder}/prefixes")
-    lengths = written(prefix_lengths(rules), f"{folder}/prefix-lengths")
     paths = [f"{folder}/wave-0"]
     last = written(_finished(_seeds(starts), rules, lengths, 0), paths[0])
     while True:
@@ -191,11 +191,115 @@ def expand(starts: DataFrame, prefixes: DataFrame, edge_rows: DataFrame, folder:
     return spark.read.schema(last.schema).parquet(*paths)
 
 
+def _follow(start: dict, targets: dict[str, tuple[bool, str]], links: dict[str, list[tuple]]) -> list[dict]:
+    """One crawl, first in, first out: a row for each admitted candidate.
+
+    ``targets``: (blocked, request URL) by URL; ``links``: (url, deeper) by page, in order.
+    """
+    queue = [{**start, "wave": 0}]
+    seen, attempts, stopped = {start["url"]}, start["attempts_before"], False
+    for row in queue:  # grows while it is read
+        row["blocked"], row["request_url"] = targets[row["url"]]
+        row["processed"] = attempts < row["page_budget"] and not stopped
+        row["aborts"] = row["processed"] and not row["blocked"] and len(row["request_url"]) > MAX_URL_CHARS
+        if not row["processed"] or row["blocked"]:
+            continue
+        attempts += 1
+        stopped |= row["aborts"]
+        if row["aborts"]:
+            continue
+        for url, deeper in links.get(row["request_url"], ()):
+            if url not in seen and len(queue) < start["max_candidates"]:
+                seen.add(url)
+                queue.append({
+                    **start, "url": url, "discovered_from": row["request_url"], "depth": row["depth"] + deeper,
+                    "seq": len(queue) + 1, "wave": row["wave"] + 1,
+                })
+    return queue
+
+
+def _expand_whole(starts: DataFrame, rules: DataFrame, lengths: DataFrame, edge_rows: DataFrame) -> DataFrame:
+    """``expand`` for crawls of at most ``WHOLE_CRAWL`` edges: a crawl is one group, however many levels it has."""
+    seeds = _seeds(starts)
+    targets = (
+        edge_rows.select("crawl_id", "url").unionByName(seeds.select("crawl_id", "url")).distinct()
+    )
+    judged = robots_verdicts(targets, rules, lengths).select(
+        "crawl_id", "url", (~F.col("allowed")).alias("blocked"), request_url("url").alias("request_url"))
+    columns = {f.name: f for f in seeds.schema.fields}
+    names = [c for c in columns if c != "crawl_id"]
+    none = {n: F.lit(None).cast(columns[n].dataType).alias(n) for n in names}
+    # one table of three kinds of rows: the start, judged URLs, edges
+    both = (
+        seeds.select("crawl_id", F.lit(0).alias("_part"), *names, *(F.lit(None).cast(t).alias(n) for n, t in _EXTRA))
+        .unionByName(judged.select(
+            "crawl_id", F.lit(1).alias("_part"), "url", *(none[n] for n in names if n != "url"), F.lit(None).cast("string").alias("src_url"),
+            F.lit(None).cast("bigint").alias("pos"), F.lit(None).cast("int").alias("deeper"), "blocked", "request_url"))
+        .unionByName(edge_rows.select(
+            "crawl_id", F.lit(2).alias("_part"), "url", *(none[n] for n in names if n != "url"), "src_url", "pos", "deeper",
+            F.lit(None).cast("boolean").alias("blocked"), F.lit(None).cast("string").alias("request_url")))
+    )
+
+    def run(table: pa.Table) -> pa.Table:
+        part = table["_part"].to_numpy()
+        start = table.filter(pa.array(part == 0)).select(["crawl_id", *names]).to_pylist()
+        if not start:
+            return _FOUND.empty_table()
+        known = table.filter(pa.array(part == 1)).select(["url", "blocked", "request_url"]).to_pylist()
+        linked = table.filter(pa.array(part == 2)).select(["src_url", "pos", "url", "deeper"]).sort_by(
+            [("src_url", "ascending"), ("pos", "ascending"), ("deeper", "ascending"), ("url", "ascending")])
+        links: dict[str, list[tuple]] = {}
+        for e in linked.to_pylist():
+            links.setdefault(e["src_url"], []).append((e["url"], e["deeper"]))
+        rows = _follow(start[0], {k["url"]: (k["blocked"], k["request_url"]) for k in known}, links)
+        return pa.Table.from_pylist(rows, schema=_FOUND)
+
+    found = both.groupBy("crawl_id").applyInArrow(run, ", ".join(f"{n} {t}" for n, t in _FOUND_TYPES))
+    return found.select(*_WAVE)
+
+
+_EXTRA = (("src_url", "string"), ("pos", "bigint"), ("deeper", "int"), ("blocked", "boolean"), ("request_url", "string"))
+_FOUND_TYPES = (
+    ("crawl_id", "string"), ("url", "string"), ("request_url", "string"), ("discovered_from", "string"), ("depth", "int"), ("seq", "bigint"),
+    ("wave", "int"), ("blocked", "boolean"), ("processed", "boolean"), ("aborts", "boolean"), ("attempts_before", "bigint"),
+    ("page_budget", "int"), ("max_candidates", "int"),
+)
+_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
+_FOUND = pa.schema([(n, _ARROW[t]) for n, t in _FOUND_TYPES])
+
+
+def expand(
+    starts: DataFrame, prefixes: DataFrame, edge_rows: DataFrame, folder: str, buckets: int = 16, whole_crawl: int = WHOLE_CRAWL
+) -> DataFrame:
+    """All admitted candidates of all crawls in visiting order.
+
+    ``starts``: crawl_id, start_url and limits of the crawls that may start;
+    ``prefixes``: their robots path rules; ``edge_rows``: see ``edges``. Columns of
+    the result: crawl_id, url, request_url, discovered_from, depth, seq, wave,
+    blocked (by robots), processed (the budget reached it), aborts, ...
+
+    A crawl of at most ``whole_crawl`` edges is followed to its end in one task, so
+    that a long chain of pages costs no job for each page. Larger crawls go in waves,
+    each a job over all of them. Both give the same rows.
+    """
+    rules = written(prefixes, f"{folder}/prefixes")
+    lengths = written(prefix_lengths(rules), f"{folder}/prefix-lengths")
+    table = written(edge_rows.join(starts.select("crawl_id"), "crawl_id", "left_semi"), f"{folder}/all-edges")
+    large = table.groupBy("crawl_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > whole_crawl).select("crawl_id")
+    large = written(large, f"{folder}/large")
+    rest = [x.join(large, "crawl_id", "left_anti") for x in (starts, table)]
+    found = written(_expand_whole(rest[0], rules, lengths, rest[1]), f"{folder}/whole")
+    if large.isEmpty():
+        return found
+    some = [x.join(large, "crawl_id", "left_semi") for x in (starts, table)]
+    return found.unionByName(_expand_in_waves(some[0], rules, lengths, some[1], folder, buckets))
+
+
 def crawl_records(frontier: DataFrame, outcomes: DataFrame, pages: DataFrame, gates: DataFrame) -> DataFrame:
     """One record per robots failure, blocked URL and requested URL.
 
-    ``pages`` holds title and text by (crawl_id, url, capture_id); only the rows
-    that were reached are looked up, hashed and cut to the policy's text limit.
+    ``pages`` holds the document columns by (crawl_id, url, capture_id), with texts
+    already cut to the policy's limit; they are attached once, as the last step.
     """
     blocked = frontier.where(F.col("processed") & F.col("blocked")).select(
         "crawl_id", "seq", F.lit("blocked_robots").alias("kind"), "url", "discovered_from"
@@ -219,14 +323,9 @@ def crawl_records(frontier: DataFrame, outcomes: DataFrame, pages: DataFrame, ga
         })
         .drop("failed", "aborts")
     )
-    wanted = requested.where(F.col("kind") == "document").select("crawl_id", "url", "capture_id")
-    texts = with_document_columns(
-        pages.select("crawl_id", "url", "capture_id", "title", "text")
-        .join(wanted, ["crawl_id", "url", "capture_id"], "left_semi")
-        .join(gates.select("crawl_id", "max_text_chars"), "crawl_id"),
-        F.col("max_text_chars"),
-    ).drop("capture_id", "max_text_chars")
-    requested = requested.drop("capture_id").join(texts, ["crawl_id", "url"], "left")
+    texts = pages.where(F.col("text").isNotNull()).select("crawl_id", "url", "capture_id", *DOCUMENT)
+    of_document = F.when(F.col("kind") == "document", F.col("capture_id"))
+    requested = requested.withColumn("capture_id", of_document).join(texts, ["crawl_id", "url", "capture_id"], "left").drop("capture_id")
     robots_url = F.concat("allowed_origin", F.lit("/robots.txt"))
     unavailable = gates.where(F.col("robots_status") == "unavailable").select(
         "crawl_id",

@@ -13,6 +13,7 @@ from pagetab.functions.html import scan_page
 from pagetab.functions.reuse import reusable
 from pagetab.functions.text import content_sha256, is_longer, limited
 from pagetab.functions.urls import normalize_url, refusal, resolve_url
+from pagetab.operators.bodies import BATCH_BYTES
 
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([^\s\"';]+)", re.I)
 
@@ -47,15 +48,20 @@ def extract_pages(df: DataFrame, source: str = "body", content_type: str | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies = batch.column(source).to_pylist()
-            types = batch.column(content_type).to_pylist() if content_type else [None] * len(bodies)
-            pages = [(None,) * 4 if b is None else scan_page(_decoded(b, t)) for b, t in zip(bodies, types)]
-            title, text, base, hrefs = zip(*pages) if pages else ((),) * 4
-            strings = [pa.array(values, pa.string()) for values in (title, text, base)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(n) for n in names] + strings + [pa.array(hrefs, pa.list_(pa.string()))],
-                names + [f.name for f in _PAGE_FIELDS],
-            )
+            types = batch.column(content_type) if content_type else [None] * batch.num_rows
+            start, held, pages = 0, 0, []
+            for i, (body, kind) in enumerate(zip(batch.column(source), types, strict=True)):
+                html = body.as_py()
+                pages.append((None,) * 4 if html is None else scan_page(_decoded(html, kind.as_py() if content_type else None)))
+                held += 0 if html is None else len(html)
+                if held >= BATCH_BYTES or i + 1 == batch.num_rows:
+                    kinds = (pa.string(), pa.string(), pa.string(), pa.list_(pa.string()))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(n).slice(start, len(pages)) for n in names]
+                        + [pa.array(v, k) for v, k in zip(zip(*pages, strict=True), kinds, strict=True)],
+                        names + [f.name for f in _PAGE_FIELDS],
+                    )
+                    start, held, pages = i + 1, 0, []
 
     return df.mapInArrow(run, T.StructType(kept + _PAGE_FIELDS))
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pagetab.functions.reuse import reusable
 from pagetab.functions.text import WHITE_SPACE
-from pagetab.functions.urls import MAX_URL_CHARS, percent_decode
-from pagetab.operators.classify import BAD_ENCODING, NOT_CAPTURED, has_residual, is_plain_text
+from pagetab.functions.urls import percent_decode
+from pagetab.operators.classify import BAD_ENCODING, NOT_CAPTURED, has_residual, is_plain_text, stated_type
 
 USER_AGENT = "pagetab/0.1"
 
@@ -43,10 +43,11 @@ def robots_gate(crawls: DataFrame, robots: DataFrame) -> DataFrame:
         .when(F.octet_length("robots_body") > F.col("max_body_bytes"), F.lit("DownloadCancelledError"))
         .when(has_residual(F.col("robots_encoding")), F.lit(BAD_ENCODING))
     )
+    kind = stated_type(F.col("robots_type"), F.lit("http://host/robots.txt"))
     status = (
         F.when(F.col("robots_error").isNotNull(), F.lit("unavailable"))
         .when(F.col("robots_http_status") == 404, F.lit("missing_404"))
-        .when(F.col("robots_http_status").between(200, 299) & is_plain_text(F.col("robots_type")), F.lit("loaded"))
+        .when(F.col("robots_http_status").between(200, 299) & is_plain_text(kind), F.lit("loaded"))
         .otherwise(F.lit("unavailable"))
     )
     return (
@@ -81,16 +82,16 @@ def robots_lines(bodies: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
-def robots_rules(bodies: DataFrame, body: str = "body") -> DataFrame:
-    """Rules with their group: crawl_id, grp, seq, agents, directive, value.
+def robots_groups(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """Agent and rule lines with their group: crawl_id, grp, seq, event, directive, value.
 
     Consecutive agent lines share a group, an empty line ends it, rules outside
-    a group and groups without a rule do not count. The windows run over the
-    lines of one robots file, whose size the body limit bounds.
+    a group do not count. The windows run over the lines of one robots file, whose
+    size the body limit bounds.
     """
     by_line = W.partitionBy("crawl_id").orderBy("seq")
     so_far = by_line.rowsBetween(W.unboundedPreceding, W.currentRow)
-    grouped = (
+    return (
         robots_lines(bodies, body)
         .withColumn("before", F.lag("event").over(by_line))
         .withColumn("opens", (F.col("event") == "agent") & F.coalesce(F.col("before") != "agent", F.lit(True)))
@@ -98,31 +99,46 @@ def robots_rules(bodies: DataFrame, body: str = "body") -> DataFrame:
         .withColumn(
             "owner", F.last(F.when(F.col("event") != "rule", F.col("event")), ignorenulls=True).over(so_far)
         )
+        .where((F.col("event") == "agent") | ((F.col("event") == "rule") & (F.col("owner") == "agent")))
+        .select("crawl_id", "grp", "seq", "event", "directive", "value")
     )
-    in_group = W.partitionBy("crawl_id", "grp")
-    agents = F.collect_list(F.when(F.col("event") == "agent", F.col("value"))).over(
-        in_group.orderBy("seq").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    )
-    return (
-        grouped.withColumn("agents", agents)
-        .where((F.col("event") == "rule") & (F.col("owner") == "agent"))
-        .select("crawl_id", "grp", "seq", "agents", "directive", "value")
+
+
+def robots_rules(groups: DataFrame) -> DataFrame:
+    """Rule lines of ``robots_groups``: crawl_id, grp, seq, directive, value."""
+    return groups.where(F.col("event") == "rule").select("crawl_id", "grp", "seq", "directive", "value")
+
+
+def named_rules(groups: DataFrame) -> DataFrame:
+    """``robots_rules`` with the names of each rule's group in one column, for display."""
+    names = (
+        groups.where(F.col("event") == "agent").groupBy("crawl_id", "grp")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda x: x["value"]).alias("agents"))
     )
+    return robots_rules(groups).join(names, ["crawl_id", "grp"]).select("crawl_id", "grp", "seq", "agents", "directive", "value")
 
 
-def effective_rules(rules: DataFrame, user_agent: str = USER_AGENT) -> DataFrame:
+def effective_rules(groups: DataFrame, user_agent: str = USER_AGENT) -> DataFrame:
     """The rules of the one group per crawl that applies to ``user_agent``.
 
     The first named group one of whose names occurs in the agent token, else the
-    first group for every agent.
+    first group for every agent. Names are judged line by line and the group is
+    chosen by an aggregation, so that agents never meet rules but by their group.
     """
     token = user_agent.split("/")[0].lower()
-    for_all = F.array_contains("agents", "*")
-    named = F.exists("agents", lambda a: F.instr(F.lit(token), F.lower(a)) > 0)
-    rank = F.when(~for_all & named, F.struct(F.lit(0), F.col("grp"))).when(for_all, F.struct(F.lit(1), F.col("grp")))
-    ranked = rules.withColumn("rank", rank).where(F.col("rank").isNotNull())
-    best = F.min("rank").over(W.partitionBy("crawl_id"))
-    return ranked.withColumn("best", best).where(F.col("rank") == F.col("best")).drop("rank", "best")
+    name = F.col("value")
+    per_group = groups.groupBy("crawl_id", "grp").agg(
+        F.bool_or((F.col("event") == "agent") & (name == "*")).alias("for_all"),
+        F.bool_or((F.col("event") == "agent") & (F.instr(F.lit(token), F.lower(name)) > 0)).alias("named"),
+        F.bool_or(F.col("event") == "rule").alias("has_rule"),
+    )
+    rank = F.when(~F.col("for_all") & F.col("named"), F.struct(F.lit(0), F.col("grp"))).when(
+        F.col("for_all"), F.struct(F.lit(1), F.col("grp")))
+    chosen = (
+        per_group.where("has_rule").withColumn("rank", rank).where(F.col("rank").isNotNull())
+        .groupBy("crawl_id").agg(F.min_by("grp", "rank").alias("grp"))
+    )
+    return robots_rules(groups).join(chosen, ["crawl_id", "grp"])
 
 
 def crawl_delays(effective: DataFrame) -> DataFrame:
@@ -163,8 +179,7 @@ def path_rules(effective: DataFrame) -> DataFrame:
         ((F.col("directive") == "allow") | (F.col("value") == "")).alias("allow"),
     )
     return (
-        rules.where(F.length("prefix") <= MAX_URL_CHARS)
-        .groupBy("crawl_id", "prefix")
+        rules.groupBy("crawl_id", "prefix")
         .agg(F.min("seq").alias("seq"), F.min_by("allow", "seq").alias("allow"))
     )
 
@@ -179,16 +194,18 @@ def robots_verdicts(urls: DataFrame, prefixes: DataFrame, lengths: DataFrame | N
 
     A rule matches a prefix of the path. Instead of pairing every URL with every
     rule of its crawl, each path is cut at the lengths its crawl's rules have and
-    looked up by equality. ``lengths`` may give ``prefix_lengths`` as a table.
+    looked up by equality. ``lengths`` may give ``prefix_lengths`` as a table. Every
+    distinct URL is looked up once; rows that repeat keep their number.
     """
     lengths = prefix_lengths(prefixes) if lengths is None else lengths
     fitting = F.filter("_lengths", lambda n: n <= F.length("_path"))
-    return (
-        urls.join(lengths, "crawl_id", "left")
-        .withColumn("_path", F.when(F.col("_lengths").isNotNull(), robots_path("url")))
-        .select(*urls.columns, "_path", F.explode_outer(fitting).alias("_n"))
+    judged = (
+        urls.select("crawl_id", "url").distinct().join(lengths, "crawl_id")
+        .withColumn("_path", robots_path("url"))
+        .select("crawl_id", "url", "_path", F.explode(fitting).alias("_n"))
         .withColumn("prefix", F.expr("substring(_path, 1, _n)"))
-        .join(prefixes.withColumnRenamed("seq", "_rule"), ["crawl_id", "prefix"], "left")
-        .groupBy(*urls.columns)
-        .agg(F.coalesce(F.min_by("allow", "_rule"), F.lit(True)).alias("allowed"))
+        .join(prefixes.withColumnRenamed("seq", "_rule"), ["crawl_id", "prefix"])
+        .groupBy("crawl_id", "url")
+        .agg(F.min_by("allow", "_rule").alias("_allow"))
     )
+    return urls.join(judged, ["crawl_id", "url"], "left").select(*urls.columns, F.coalesce("_allow", F.lit(True)).alias("allowed"))

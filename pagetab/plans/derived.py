@@ -11,7 +11,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from pagetab.sources.capture import as_responses, read_table
 
@@ -160,6 +160,22 @@ def catalog_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def customer_chains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(starts, links): one crawl per nation, whose customers in order of their keys each link to the next."""
+    customer = read_table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n"), F.col("c_custkey").alias("k"))
+    crawl, page = F.concat(F.lit("nation-"), F.col("n").cast("string")), lambda k: F.concat(F.lit(f"{CATALOG}/customer/"), k.cast("string"))
+    following = F.lead("k").over(Window.partitionBy("n").orderBy("k"))
+    links = customer.withColumn("next", following).where(F.col("next").isNotNull()).select(
+        crawl.alias("crawl_id"), page(F.col("k")).alias("src_url"), F.lit(0).cast("bigint").alias("pos"),
+        page(F.col("next")).alias("url"), F.lit(1).alias("deeper"),
+    )
+    starts = customer.groupBy("n").agg(F.min("k").alias("k")).select(
+        crawl.alias("crawl_id"), page(F.col("k")).alias("start_url"), F.lit(CATALOG).alias("allowed_origin"),
+        F.lit(1000).alias("max_pages"), F.lit(2000).alias("max_requests"), F.lit(10000).alias("max_candidates"),
+    )
+    return starts, links
+
+
 def event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table read as a request ledger, one crawl per user."""
     kind, value = F.col("event_type"), F.col("value")
@@ -192,6 +208,7 @@ def encoded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             ("gzip, deflate", lambda b: zlib.compress(gzip.compress(b))),
             ("unknown, gzip", gzip.compress),
             ("gzip", lambda b: b"not compressed " + b),
+            ("gzip", lambda b: gzip.compress(b)[:-4]),
         )
         for batch in batches:
             ids = batch.column("page_id").to_pylist()

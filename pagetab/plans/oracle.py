@@ -433,6 +433,12 @@ def build() -> dict[str, str]:
                            "AS sensitive FROM url_forms",
         "policy_defaults": f"{_ctes(_POLICY_ROWS)} SELECT crawl_id, {_LIMITS} FROM faulty",
         "policy_errors": f"{_ctes(_POLICY_ROWS)} SELECT crawl_id, {_errors()} AS errors FROM faulty",
+        "rejected_policies": f"{_ctes(_POLICY_ROWS)} SELECT crawl_id, cast(length(errors) - length(replace(errors, ',', '')) + 1 AS INT) AS n_errors, errors "
+                             f"FROM (SELECT crawl_id, {_errors()} AS errors FROM faulty) WHERE errors <> ''",
+        "chain_depth": "WITH c AS (SELECT c_nationkey AS n, c_custkey AS k, lag(c_custkey) OVER w AS before, row_number() OVER w AS r FROM customer "
+                       "WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)) SELECT 'nation-' || n AS crawl_id, "
+                       "'https://catalog.example.com/customer/' || k AS url, 'https://catalog.example.com/customer/' || before AS discovered_from, "
+                       "cast(r - 1 AS INT) AS depth, r AS seq, r <= 1000 AS processed FROM c WHERE r <= 1001",
         "host_literal": "WITH q AS (SELECT o_orderkey, o_orderkey % 256 AS a, ((o_orderkey % 256 * 256 + (o_orderkey * 7) % 256) * 256 "
                         "+ (o_orderkey * 13 + 5) % 256) * 256 + (o_orderkey * 3) % 256 AS n FROM orders) "
                         f"SELECT o_orderkey, CASE WHEN a = 127 THEN 'loopback' WHEN {_network_test('n')} AND n NOT IN (3221225481, 3221225482) "
@@ -450,9 +456,9 @@ def build() -> dict[str, str]:
                           f"SELECT page_id, cast(pos AS INT) AS pos, form, {link_url} AS url, {link_reason} AS reason FROM n",
         "links_uncaptured": f"{_ctes(_MENTIONS)} SELECT DISTINCT crawl_id, url FROM mentions m "
                             "WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.crawl_id = m.crawl_id AND p.url = m.url)",
-        "decode_bodies": "SELECT page_id, CASE WHEN page_id % 8 <> 7 THEN sha256(html) END AS body_sha256, "
-                         "CASE page_id % 8 WHEN 6 THEN 'unknown' WHEN 7 THEN 'gzip' END AS residual_encoding, "
-                         "CASE WHEN page_id % 8 = 7 THEN 'BadGzipFile' END AS decode_error FROM pages",
+        "decode_bodies": "SELECT page_id, CASE WHEN page_id % 9 <> 7 THEN sha256(html) END AS body_sha256, "
+                         "CASE page_id % 9 WHEN 6 THEN 'unknown' WHEN 7 THEN 'gzip' END AS residual_encoding, "
+                         "CASE WHEN page_id % 9 = 7 THEN 'BadGzipFile' END AS decode_error, page_id % 9 = 8 AS decode_truncated FROM pages",
         "residual_encoding": "SELECT page_id AS capture_id, page_id % 23 = 11 AS rejected FROM pages",
         "body_limit": "SELECT page_id AS capture_id, strlen(html) AS body_bytes, strlen(html) > 3000 AS too_large FROM pages",
         "classify_response": f"{_ctes(_PAGES, _OUTCOMES)} SELECT crawl_id, url, page_id AS capture_id, kind, http_status, error_type FROM first_outcomes",
@@ -490,7 +496,7 @@ def build() -> dict[str, str]:
                        "|| reasons_json || '}' AS report FROM summary",
         "manifest_reconcile": "WITH listed AS (SELECT 'customer-' || c_custkey AS key, c_nationkey AS bytes FROM customer), "
                               "present AS (SELECT 'customer-' || o_custkey AS key, CASE WHEN starts_with(o_orderpriority, '1') THEN 0 ELSE c_nationkey END AS bytes "
-                              "FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'P' "
+                              "FROM orders JOIN customer ON c_custkey = o_custkey "
                               "UNION ALL SELECT 'supplier-' || s_suppkey, s_nationkey FROM supplier), "
                               "l AS (SELECT key, count(*) AS n, min(bytes) AS bytes FROM listed GROUP BY 1), "
                               "q AS (SELECT key, count(*) AS n, min(bytes) AS bytes FROM present GROUP BY 1) "
@@ -503,7 +509,7 @@ def build() -> dict[str, str]:
                              "CASE WHEN s.documents <> e.documents THEN 'documents mismatch' END, "
                              "CASE WHEN s.stop_reason <> 'max_requests' THEN 'stop_reason mismatch' END) AS errors, "
                              "errors = '' AS passed FROM e JOIN states s ON s.crawl_id = e.crawl_id",
-        "scope_violations": f"{_ctes(_LEDGER)} SELECT request_id, crawl_id, url, violation FROM (SELECT *, CASE "
+        "scope_violations": f"{_ctes(_LEDGER)} SELECT request_id, crawl_id, url, violation FROM (SELECT *, CASE WHEN ends_with(crawl_id, '7') THEN 'no_policy' "
                             "WHEN contains(url, 'token=x') THEN 'invalid_or_sensitive_url' WHEN contains(url, '//other.') THEN 'outside_origin' "
                             "WHEN event_type = 'error' AND value > 60 THEN 'method' WHEN value > 90 THEN 'cookie' "
                             "WHEN event_type = 'signup' AND value > 80 THEN 'authorization' END AS violation FROM ledger) WHERE violation IS NOT NULL",
@@ -519,4 +525,9 @@ def build() -> dict[str, str]:
                             "s.attempts + 1 = t.logged AND t.repeated_urls = 0 AND t.blocked_requested = 0 AS consistent "
                             "FROM states s JOIN totals t ON t.crawl_id = s.crawl_id",
     }
+    found = sql["manifest_reconcile"]
+    counts = ", ".join(f"count_if(status = '{s}') AS {s}" for s in ("missing", "extra", "duplicate", "mismatch", "match"))
+    sql["manifest_all_match"] = f"SELECT coalesce(bool_and(status = 'match'), true) AS all_match, {counts} FROM ({found})"
+    sql["manifest_missing"] = f"SELECT key FROM ({found}) WHERE status = 'missing'"
+    sql["expectations_passed"] = f"SELECT coalesce(bool_and(passed), true) AS all_passed FROM ({sql['expectation_check']})"
     return sql

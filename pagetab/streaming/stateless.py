@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pagetab.functions.urls import normalize_url, request_url, url_origin
 from pagetab.operators.bodies import decode_bodies
-from pagetab.operators.classify import classify, may_be_document
+from pagetab.operators.classify import classify, download_error, may_be_document, response_kind
 from pagetab.operators.pages import decide_links, extract_pages, link_rows, with_document_columns
 from pagetab.operators.policies import DEFAULTS
 from pagetab.sources import schemas
@@ -18,29 +18,36 @@ def read_captures(spark: SparkSession, path: str, max_files: int = 1000) -> Data
     return spark.readStream.schema(schemas.RESPONSES).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def parsed_captures(responses: DataFrame) -> DataFrame:
-    """Decode and parse every response; adds allowed_origin, the origin of the response itself."""
+def parsed_captures(responses: DataFrame, max_body_bytes: Column | None = None) -> DataFrame:
+    """Decode and parse every response; adds allowed_origin, the origin of the response itself, and max_body_bytes."""
+    limit = F.lit(DEFAULTS["max_body_bytes"]) if max_body_bytes is None else max_body_bytes
     located = responses.withColumn("normal", normalize_url("url")).withColumn("allowed_origin", url_origin("normal"))
-    bodies = decode_bodies(located.withColumn("url", request_url("normal")).drop("normal"))
+    located = located.withColumns({"url": request_url("normal"), "max_body_bytes": limit}).drop("normal")
+    bodies = decode_bodies(located, F.col("max_body_bytes"))
     return extract_pages(bodies.withColumn("body", F.when(may_be_document(bodies), F.col("body"))), "body", "content_type")
 
 
-def capture_outcomes(parsed: DataFrame, max_body_bytes: Column | None = None) -> DataFrame:
+def capture_outcomes(parsed: DataFrame) -> DataFrame:
     """Kind, redirect and error columns of parsed captures."""
-    limit = F.lit(DEFAULTS["max_body_bytes"]) if max_body_bytes is None else max_body_bytes
-    return classify(parsed.withColumn("max_body_bytes", limit))
+    return classify(parsed)
+
+
+def _documents(parsed: DataFrame) -> DataFrame:
+    """The captures that count as documents: what failed, or is too large, has neither a document row nor links."""
+    kind = response_kind(F.col("http_status"), F.col("content_type"), F.col("url"))
+    return parsed.where(download_error(F.col("max_body_bytes")).isNull() & (kind == "document") & F.col("text").isNotNull())
 
 
 def capture_documents(parsed: DataFrame, max_text_chars: Column | None = None) -> DataFrame:
     """Document columns of the captures that hold HTML."""
     limit = F.lit(DEFAULTS["max_text_chars"]) if max_text_chars is None else max_text_chars
-    pages = parsed.where(F.col("text").isNotNull()).select("crawl_id", "capture_id", "url", "fetched_at", "title", "text")
+    pages = _documents(parsed).select("crawl_id", "capture_id", "url", "fetched_at", "title", "text")
     return with_document_columns(pages, limit)
 
 
 def capture_links(parsed: DataFrame) -> DataFrame:
     """Resolved and admitted (or refused) links of parsed captures."""
-    return decide_links(link_rows(parsed, "crawl_id", "capture_id", "allowed_origin"), "allowed_origin").drop("allowed_origin")
+    return decide_links(link_rows(_documents(parsed), "crawl_id", "capture_id", "allowed_origin"), "allowed_origin").drop("allowed_origin")
 
 
 def write_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

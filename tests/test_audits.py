@@ -11,10 +11,11 @@ from pagetab.sources import schemas
 def test_scope(spark):
     rows = [("c", "https://e.com/a", "/a", "GET", 1.0, None, None), ("c", "https://o.org/a", "/a", "GET", 1.0, None, None),
             ("c", "https://e.com/?token=x", "/", "GET", 1.0, None, None), ("c", "https://e.com/a", "/a", "POST", 1.0, None, None),
-            ("c", "https://e.com/a", "/a", "GET", 1.0, "s=1", None), ("c", "https://e.com/a", "/a", "GET", 1.0, None, "Basic")]
+            ("c", "https://e.com/a", "/a", "GET", 1.0, "s=1", None), ("c", "https://e.com/a", "/a", "GET", 1.0, None, "Basic"),
+            ("ghost", "https://e.com/a", "/a", "POST", 1.0, "s=1", None)]
     policies = spark.createDataFrame([("c", "https://e.com")], "crawl_id string, allowed_origin string")
     found = audits.scope_violations(spark.createDataFrame(rows, schemas.REQUESTS), policies)
-    assert sorted(r.violation for r in found.collect()) == ["authorization", "cookie", "invalid_or_sensitive_url", "method", "outside_origin"]
+    assert sorted(r.violation for r in found.collect()) == ["authorization", "cookie", "invalid_or_sensitive_url", "method", "no_policy", "outside_origin"]
 
 
 def test_gaps_agree_with_a_sorted_loop(spark):
@@ -55,13 +56,16 @@ def test_canonical_keys_and_manifest(spark):
 
 def test_expectations(spark):
     expected = spark.createDataFrame([("good", "partial", 2, 3, 2, "max_pages", "h"), ("free", "partial", 2, 3, 2, None, None),
-                                      ("bad", "failed", 1, 2, 0, None, None), ("gone", "failed", 1, 2, 1, None, None)], schemas.EXPECTED)
+                                      ("bad", "failed", 1, 2, 0, None, None), ("gone", "failed", 1, 2, 1, None, None),
+                                      ("mixed", "failed", 1, 2, 0, None, None), ("one", "failed", 1, 2, 0, None, None)], schemas.EXPECTED)
     actual = spark.createDataFrame(
-        [("good", "partial", 2, 3, 2, "max_pages", "h", 3, 0), ("free", "partial", 2, 3, 2, "max_pages", "z", 3, 0),
-         ("bad", "failed", 1, 2, 0, "max_requests", None, 1, 2)], schemas.EXPECTED + ", attempts bigint, download_errors bigint")
+        [("good", "partial", 2, 3, 2, "max_pages", "h", 3, 0, 3), ("free", "partial", 2, 3, 2, "max_pages", "z", 3, 0, 3),
+         ("bad", "failed", 1, 2, 0, "max_requests", None, 1, 2, 0), ("mixed", "failed", 1, 2, 0, None, None, 2, 1, 1),
+         ("one", "failed", 1, 2, 0, None, None, 2, 1, 0)], schemas.EXPECTED + ", attempts bigint, download_errors bigint, other_records bigint")
     checked = rec.check_expectations(expected, actual)
     got = {r.name: r.errors for r in checked.collect()}
     assert got["good"] == [] and got["free"] == []
-    assert got["bad"] == ["attempts mismatch", "expected exactly one download_error"]
+    assert got["bad"] == ["ledger disagrees", "not just one failed download"]
+    assert got["mixed"] == ["not just one failed download"] and got["one"] == []
     assert "status mismatch" in got["gone"]
     assert not rec.all_passed(checked).first()[0] and rec.all_passed(checked.where("passed")).first()[0]

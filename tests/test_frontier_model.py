@@ -3,10 +3,12 @@
 import random
 from collections import Counter, deque
 
-from pagetab.operators.frontier import first_mentions, numbered
+import pytest
 from pyspark.sql import functions as F
 
-from sites import ORIGIN, html, run
+from pagetab.operators.frontier import WHOLE_CRAWL, first_mentions, numbered
+
+from sites import ORIGIN, page, run
 
 
 def random_site(rnd):
@@ -25,7 +27,7 @@ def random_site(rnd):
             routes[p] = (200, {"type": "image/png"}, "img")
         else:
             links = [rnd.choice(paths + ["/missing", "https://out.example.org/", "http://[", "#f"]) for _ in range(rnd.randint(0, 8))]
-            routes[p] = html(links=links)
+            routes[p] = page(links)
     limits = {"max_pages": rnd.randint(1, 14), "max_requests": rnd.randint(1, 14), "max_candidates": rnd.randint(1, 14)}
     return routes, limits
 
@@ -85,10 +87,12 @@ def visit(routes, limits):
     return records, dict(excluded), attempts, len(waiting), stop or ("max_candidates" if full else "frontier_exhausted")
 
 
-def test_random_sites(spark):
+@pytest.mark.parametrize("whole_crawl", [0, 25, WHOLE_CRAWL])
+def test_random_sites(spark, whole_crawl):
+    """In waves, in one task for each crawl, and with both in one run."""
     rnd = random.Random(17)
     sites = {f"s{i}": random_site(rnd) for i in range(400)}
-    ran = run(spark, sites)
+    ran = run(spark, sites, whole_crawl=whole_crawl)
     records = {}
     for r in ran.records.orderBy("crawl_id", "seq").collect():
         records.setdefault(r.crawl_id, []).append((r.url.removeprefix(ORIGIN), r.kind, r.depth))

@@ -6,7 +6,7 @@ from urllib.robotparser import RobotFileParser
 from pyspark.sql import functions as F
 
 from pagetab.operators.robots import (
-    crawl_delays, delay_gate, effective_rules, path_rules, robots_gate, robots_rules, robots_verdicts,
+    crawl_delays, delay_gate, effective_rules, path_rules, robots_gate, robots_groups, robots_verdicts,
 )
 
 AGENT = "pagetab/0.1"
@@ -27,7 +27,7 @@ def test_random_files_agree_with_standard_parser(spark):
               "https://e.com/a+b", "https://e.com/b;p", "https://e.com/x%zz", "https://e.com/a?b", "https://e.com//a"]
     bodies = spark.createDataFrame([(str(i), f) for i, f in enumerate(files)], "crawl_id string, body string")
     urls = bodies.select("crawl_id", F.explode(F.array(*map(F.lit, probes))).alias("url"))
-    effective = effective_rules(robots_rules(bodies), AGENT)
+    effective = effective_rules(robots_groups(bodies), AGENT)
     got = {(r.crawl_id, r.url): r.allowed for r in robots_verdicts(urls, path_rules(effective)).collect()}
     delays = {r.crawl_id: r.robots_delay for r in crawl_delays(effective).collect()}
     wrong = []
@@ -63,3 +63,21 @@ def test_gate(spark):
 def test_delay(spark):
     rows = spark.createDataFrame([(0.5, None), (0.5, 1), (2.0, 1), (0.5, 60), (0.5, 61)], "d double, r bigint")
     assert [r[0] for r in rows.select(delay_gate(F.col("d"), F.col("r"))).collect()] == [0.5, 1.0, 2.0, 60.0, None]
+
+
+def test_verdicts_keep_rows_that_repeat(spark):
+    urls = spark.createDataFrame([("c", "https://e.com/a", 1)] * 3 + [("c", "https://e.com/b", 1), ("d", "https://e.com/a", 2)], "crawl_id string, url string, n int")
+    long = "/" + "a" * 5000
+    prefixes = spark.createDataFrame([("c", "/a", 1, False), ("c", long, 2, False)], "crawl_id string, prefix string, seq int, allow boolean")
+    got = robots_verdicts(urls, prefixes)
+    assert sorted((r.crawl_id, r.url[-1], r.n, r.allowed) for r in got.collect()) == [("c", "a", 1, False)] * 3 + [("c", "b", 1, True), ("d", "a", 2, True)]
+    kept = path_rules(spark.createDataFrame([("c", 0, 1, "disallow", long)], "crawl_id string, grp int, seq int, directive string, value string"))
+    assert kept.first().prefix == long
+
+
+def test_one_file_of_many_agents_and_rules(spark):
+    """Agents and rules of one group are never paired: a file of a megabyte takes seconds."""
+    n = 20_000
+    text = "".join(f"User-agent: bot{i}\n" for i in range(n)) + "User-agent: *\n" + "".join(f"Disallow: /p{i}\n" for i in range(n))
+    groups = robots_groups(spark.createDataFrame([("c", text)], "crawl_id string, body string"))
+    assert effective_rules(groups, AGENT).count() == n

@@ -11,12 +11,12 @@ from pagetab.operators.reports import report_json, run_summaries
 from pagetab.sources.shared import shared_folder
 from pagetab.sources.sinks import DOCUMENT_COLUMNS, write_documents_csv, write_records_json, write_reports_json
 
-from sites import DEMO, ORIGIN, html, run
+from sites import HANDBOOK, ORIGIN, page, run
 
 
 @pytest.fixture(scope="module")
 def demo(spark):
-    tricky = {**DEMO, "/page2": html('quo"te, comma', ("/guide",), "line\nbreak \\ back"), "/untitled": html("@cmd", text="ünï ☃")}
+    tricky = {**HANDBOOK, "/faq": page(named='say "no", twice', says="line\nbreak \\ back"), "/api/v1": page(named="+cmd", says="ünï ☃")}
     return run(spark, {"demo": (tricky, {})})
 
 
@@ -25,13 +25,13 @@ def test_csv(demo, tmp_path):
     write_documents_csv(demo.records.coalesce(1).orderBy("seq"), target)
     raw = open(glob.glob(target + "/*.csv")[0], newline="", encoding="utf-8").read()
     rows = list(csv.DictReader(raw.splitlines(keepends=True)))
-    assert tuple(rows[0]) == DOCUMENT_COLUMNS and raw.count("\r\n") == 5
+    assert tuple(rows[0]) == DOCUMENT_COLUMNS and raw.count("\r\n") == 6
     by_url = {r["url"].removeprefix(ORIGIN): r for r in rows}
-    assert set(by_url) == {"/", "/guide", "/untitled", "/page2"}
-    assert by_url["/guide"]["title"] == "'=Formula-like title" and by_url["/untitled"]["title"] == "'@cmd"
-    assert by_url["/page2"]["title"] == 'quo"te, comma' and by_url["/page2"]["text"] == "line break \\ back"
+    assert set(by_url) == {"/", "/install", "/faq", "/api/v1", "/api/v2"}
+    assert by_url["/install"]["title"] == "'@/install" and by_url["/api/v1"]["title"] == "'+cmd"
+    assert by_url["/faq"]["title"] == 'say "no", twice' and by_url["/faq"]["text"] == "line break \\ back"
     assert by_url["/"]["discovered_from"] == "" and by_url["/"]["text_truncated"] == "False"
-    assert by_url["/"]["fetched_at"] == "2024-05-01T00:00:01+00:00" and by_url["/page2"]["depth"] == "2"
+    assert by_url["/"]["fetched_at"] == "2024-05-01T00:01:00+00:00" and by_url["/api/v2"]["depth"] == "2"
     with pytest.raises(AnalysisException, match="PATH_ALREADY_EXISTS"):
         write_documents_csv(demo.records, target)
 
@@ -41,13 +41,13 @@ def test_json(demo, tmp_path):
     write_records_json(demo.records, target)
     text = "".join(open(f, encoding="utf-8").read() for f in glob.glob(target + "/*.json"))
     rows = {r["url"].removeprefix(ORIGIN): r for r in map(json.loads, text.splitlines())}
-    assert rows["/guide"]["title"] == "=Formula-like title" and "ünï ☃" in text
-    assert set(rows["/private"]) == {"crawl_id", "seq", "kind", "url", "discovered_from"}
+    assert rows["/install"]["title"] == "@/install" and "ünï ☃" in text
+    assert set(rows["/drafts/plan"]) == {"crawl_id", "seq", "kind", "url", "discovered_from"}
     with pytest.raises(AnalysisException, match="PATH_ALREADY_EXISTS"):
         write_records_json(demo.records, target)
     write_reports_json(demo.reports, str(tmp_path / "reports"))
     report = json.loads(report_json(demo.reports).first().report)
-    assert report["record_counts"]["document"] == 4 and report["policy"]["max_pages"] == 20
+    assert report["record_counts"]["document"] == 5 and report["policy"]["max_pages"] == 20
     assert "policy" not in run_summaries(demo.reports).columns
 
 

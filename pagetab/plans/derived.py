@@ -88,15 +88,16 @@ def site_anchors(captures: DataFrame) -> DataFrame:
 
 
 def site_policies(captures: DataFrame) -> DataFrame:
-    """One policy per origin, with limits that vary with its length."""
+    """One policy per origin: the largest budgets a policy may have, or small ones that vary with the name's length."""
     name = F.col("crawl_id")
+    wide = by_length(name, 2) == 0
     return origins(captures).select(
         "crawl_id",
         F.concat(name, F.lit("/")).alias("start_url"),
         name.alias("allowed_origin"),
-        (F.lit(4) + by_length(name, 17)).alias("max_pages"),
-        (F.lit(6) + by_length(name, 13)).alias("max_requests"),
-        (F.lit(5) + by_length(name, 29) * 2).alias("max_candidates"),
+        F.when(wide, 1000).otherwise(F.lit(4) + by_length(name, 17)).alias("max_pages"),
+        F.when(wide, 2000).otherwise(F.lit(6) + by_length(name, 13)).alias("max_requests"),
+        F.when(wide, 10000).otherwise(F.lit(5) + by_length(name, 29) * 2).alias("max_candidates"),
         F.lit(12000).alias("max_body_bytes"),
         F.lit(600).alias("max_text_chars"),
         F.lit(None).cast("double").alias("delay"),

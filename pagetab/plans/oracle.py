@@ -262,8 +262,9 @@ edges AS (
   SELECT crawl_id, 'https://catalog.example.com/part/' || l_partkey, l_suppkey, 'https://catalog.example.com/supplier/' || l_suppkey, 1 FROM pairs)"""
 
 _SITE_LINKS = rf"""site_gates AS (
-  SELECT crawl_id, 4 + length(crawl_id) % 17 AS max_pages, 6 + length(crawl_id) % 13 AS max_requests,
-    5 + length(crawl_id) % 29 * 2 AS max_candidates, status AS robots_http_status,
+  SELECT crawl_id, CASE WHEN length(crawl_id) % 2 = 0 THEN 1000 ELSE 4 + length(crawl_id) % 17 END AS max_pages,
+    CASE WHEN length(crawl_id) % 2 = 0 THEN 2000 ELSE 6 + length(crawl_id) % 13 END AS max_requests,
+    CASE WHEN length(crawl_id) % 2 = 0 THEN 10000 ELSE 5 + length(crawl_id) % 29 * 2 END AS max_candidates, status AS robots_http_status,
     CASE status WHEN 404 THEN 'missing_404' WHEN 200 THEN 'loaded' ELSE 'unavailable' END AS robots_status,
     CASE WHEN status = 200 THEN robots_delay END AS robots_delay
   FROM robots LEFT JOIN delays USING (crawl_id)),

@@ -315,8 +315,26 @@ def chain_depth(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("crawl_id", "url", "discovered_from", "depth", F.col("seq").cast("bigint").alias("seq"), "processed")
 
 
+_RUNS: dict[tuple[str, str], CrawlRun] = {}
+
+
 def site_crawl(spark: SparkSession, sf: str) -> CrawlRun:
-    """All origins of the page table crawled from their start pages."""
+    """All origins of the page table crawled from their start pages.
+
+    The queries on a run read the tables of one and the same run; ``forget_runs``
+    makes the next one start anew.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _RUNS:
+        _RUNS[key] = _new_site_crawl(spark, sf)
+    return _RUNS[key]
+
+
+def forget_runs() -> None:
+    _RUNS.clear()
+
+
+def _new_site_crawl(spark: SparkSession, sf: str) -> CrawlRun:
     captures = d.page_captures(spark, sf)
     return crawl(
         d.site_policies(captures), d.site_robots(captures), d.site_responses(captures),

@@ -16,15 +16,6 @@ def con():
     return connect(SF)
 
 
-@pytest.fixture(scope="module", autouse=True)
-def one_run(spark):
-    """The queries on the site crawl look at one and the same run here."""
-    original, runs = queries.site_crawl, {}
-    queries.site_crawl = lambda s, sf: runs.setdefault(sf, None) or runs.update({sf: original(s, sf)}) or runs[sf]
-    yield
-    queries.site_crawl = original
-
-
 def test_every_query_has_sql():
     assert {x for x in SQL if x in queries.QUERIES} == set(queries.QUERIES)
 

@@ -410,8 +410,15 @@ def register(spark: SparkSession) -> None:
 
 
 def read_warc(spark: SparkSession, path: str, **options: object) -> DataFrame:
+    """The records below ``path``; may be used in any number of queries.
+
+    A relation of a Python source keeps the predicates of the last query that pushed
+    any, for later queries that push none. So this one always has a predicate, true of
+    every record, and each query states its own anew. With the bare format, load again
+    for each query.
+    """
     register(spark)
-    return spark.read.format("warc").options(**options).load(path)
+    return spark.read.format("warc").options(**options).load(path).where("content_length IS NOT NULL")
 
 
 # ---------------------------------------------------------------- pages to archives

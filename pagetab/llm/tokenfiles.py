@@ -13,6 +13,7 @@ of every task that succeeded, so files of failed or repeated tasks are never rea
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 import uuid
@@ -210,6 +211,12 @@ def _tokenizer(path: str):
     return tokenizer
 
 
+@functools.lru_cache(maxsize=1)
+def _words(path: str, kind: str) -> _Words:
+    """One for all tasks of a worker, so that words are not learned anew for each."""
+    return _Words(_tokenizer(path), kind)
+
+
 def vocabulary_of(tokenizer: str) -> int:
     """Ids of the vocabulary, added tokens included."""
     t = _tokenizer(resource_path(tokenizer))
@@ -248,7 +255,7 @@ def write_token_files(
             for a in range(0, whole.num_rows, _TEXTS):
                 batch = whole.slice(a, _TEXTS)
                 if writer is None:
-                    known = _Words(_tokenizer(tokens), kind)
+                    known = _words(tokens, kind)
                     fs.create_dir(at, recursive=True)
                     out = fs.open_output_stream(f"{at.rstrip('/')}/{name}", compression=None)
                     writer = Writer(out, bits, block)

@@ -32,12 +32,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetab.llm.common import resource_path
+from pagetab.llm.common import resource_path, slices, tidied
 
 #: Fixed value: how texts are split before merging; white space is Unicode's.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Words remembered with their ids, their bytes, and the longest that are remembered.
-_MOST_WORDS, _MOST_BYTES, _LONGEST = 1 << 19, 64 << 20, 256
+_MOST_WORDS, _MOST_BYTES, _LONGEST = 1 << 18, 32 << 20, 256
 #: Arcs remembered; a token's number fits 24 bits.
 _MOST_ARCS = 1 << 19
 #: Bytes of ids that make a batch.
@@ -204,6 +204,12 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.held = 0
 
+    def forget(self) -> None:
+        """Drop what was remembered: a worker lives on after its task, the automaton is what it may keep."""
+        self.words.clear()
+        self.automaton.arcs.clear()
+        self.held = 0
+
     def _word(self, word: str) -> bytes:
         ids = np.array(self.automaton.encode(word.encode()), "<u4").tobytes()
         if len(word) <= _LONGEST:
@@ -279,7 +285,8 @@ def encode_texts(
     path = resource_path(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        known = encoder(path)
+        encode = known.encode
         for batch in batches:
             rows, held, at = [], 0, 0
             for i, text in enumerate(batch.column(1)):
@@ -292,12 +299,13 @@ def encode_texts(
                         [batch.column(0).slice(at, len(rows)), pa.ListArray.from_arrays(offsets, ids),
                          *(c.slice(at, len(rows)) for c in batch.columns[2:])], names=["id", "ids", *(f.name for f in extra)])
                     rows, held, at = [], 0, i + 1
+        known.forget()
 
     extra = [f for f in docs.schema.fields if f.name in keep]
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(f.name).alias(f"k{i}") for i, f in enumerate(extra)))
     kinds = [("id", rows.schema["id"].dataType.simpleString()), ("ids", "array<int>"), *((f.name, f.dataType.simpleString()) for f in extra)]
-    return rows.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in kinds))
+    return rows.mapInArrow(tidied(run), ", ".join(f"`{n}` {k}" for n, k in kinds))
 
 
 def decode_ids(
@@ -312,7 +320,7 @@ def decode_ids(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = decoder(path).decode
-        for batch in batches:
+        for batch in slices(batches):
             column = batch.column(1)
             texts = [decode(x.values.fill_null(-1).to_numpy(zero_copy_only=False)) if x.is_valid else "" for x in column]
             yield pa.RecordBatch.from_arrays([batch.column(0), column, pa.array(texts, pa.string()), *batch.columns[2:]], names=names)
@@ -321,4 +329,4 @@ def decode_ids(
     kinds += [(f.name, f.dataType.simpleString()) for f in extra]
     names = [n for n, _ in kinds]
     return encoded.select("id", "ids", *(F.col(f.name).alias(f"k{i}") for i, f in enumerate(extra))).mapInArrow(
-        run, ", ".join(f"`{n}` {k}" for n, k in kinds))
+        tidied(run), ", ".join(f"`{n}` {k}" for n, k in kinds))

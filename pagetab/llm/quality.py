@@ -27,12 +27,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagetab.llm.common import slices, tidied
+
 #: Rated documents that the model is fitted on, at most.
 SAMPLE = 10_000
 #: Documents of the sample that a feature must occur in.
 LEAST_DOCS = 3
 #: Words remembered with their features, at most.
-_MOST_WORDS = 1 << 19
+_MOST_WORDS = 1 << 18
 _EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Capitals, digits and other letters (all bytes beyond ASCII count as such) to one sign each.
 _SIGNS = bytes(
@@ -181,7 +183,7 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordFeatures()
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(2).cast(pa.binary()).to_pylist()
             found = [sorted(features(t or b"", known)) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["id", "grade", "found"])
@@ -189,7 +191,7 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_i
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.join(F.broadcast(ratings), "id").groupBy("id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    table = rows.mapInArrow(run, f"id {kind}, grade int, found array<long>").toArrow().sort_by("id")
+    table = rows.mapInArrow(tidied(run), f"id {kind}, grade int, found array<long>").toArrow().sort_by("id")
     found = [x.values.to_numpy() for x in table["found"]]
     return fit_ordinal(found, table["grade"].to_numpy(), n_grades)
 
@@ -210,7 +212,7 @@ def grade_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordFeatures(model.weights)
-        for batch in batches:
+        for batch in slices(batches):
             scores = [model.score(features(t or b"", known)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             tails = [model.tails(s) for s in scores]
             chosen = [t[least_grade - 1] for t in tails]
@@ -224,4 +226,4 @@ def grade_texts(
     kinds = [("id", kind), ("score", "double"), ("expected_grade", "double"), ("tail", "double"), ("kept", "boolean")]
     kinds += [(text_col, "string")] * (text_col in keep) + [(f.name, f.dataType.simpleString()) for f in extra]
     names = [n for n, _ in kinds]
-    return rows.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in kinds))
+    return rows.mapInArrow(tidied(run), ", ".join(f"`{n}` {k}" for n, k in kinds))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetab.llm.common import components, dropped, scratch, stored
+from pagetab.llm.common import components, dropped, scratch, slices, stored, tidied
 
 #: Bits of the fingerprint that verifies pairs.
 BITS = 1024
@@ -35,7 +35,7 @@ BITS = 1024
 CROWD, SLICE = 32, 256
 #: Share of bits in which the word fingerprints of similar pairs differ, for the number of blocks.
 _WORD_SHARE = 0.09
-_MOST_WORDS = 1 << 20
+_MOST_WORDS = 1 << 18
 
 
 class _WordHashes(dict):
@@ -102,8 +102,8 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
     ``component`` is the smallest id among texts that links of at least
     ``similarity`` (Jaccard, of the sets of ``width``-word shingles) connect. Words end at ASCII white space, A-Z are lowered; texts of
     equal words link always, so do all texts without words (null among them). An id
-    that stands for several texts takes the smallest of their components. Null ids
-    are left out. Other columns are not read; an empty table gives an empty table.
+    that stands for several texts takes the smallest of their components. Rows with a
+    null id are in no group. Other columns are not read; an empty table gives an empty table.
     """
     spark = docs.sparkSession
     folder = scratch(spark, "similar")
@@ -115,7 +115,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             whole, cut, check = [], [], []
             for text in batch.column(1).cast(pa.binary()):
                 words = (text.as_py() or b"").lower().split()
@@ -134,7 +134,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("id").isNotNull())
     kind = rows.schema["id"].dataType.simpleString()
-    rows = stored(rows.mapInArrow(prints, f"id {kind}, whole binary, cut array<long>, bits binary"), f"{folder}/rows")
+    rows = stored(rows.mapInArrow(tidied(prints), f"id {kind}, whole binary, cut array<long>, bits binary"), f"{folder}/rows")
     classes = stored(
         rows.groupBy("whole").agg(F.min("id").alias("least"), F.first("cut").alias("cut"), F.first("bits").alias("bits"))
         .withColumn("uid", F.monotonically_increasing_id()), f"{folder}/classes")
@@ -166,7 +166,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             keep, found = [], []
             for text, whole in zip(batch.column(3).cast(pa.binary()), batch.column(1).to_pylist(), strict=True):
                 words = (text.as_py() or b"").lower().split()
@@ -177,7 +177,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
             yield pa.RecordBatch.from_arrays([there.column(0), there.column(2), pa.array(found, pa.binary())], names=["uid", "bits", "set"])
 
     texts = docs.select(F.col(id_col).alias("least"), F.col(text_col).cast("string").alias("text")).join(asked, "least")
-    texts = texts.select("uid", "whole", "bits", "text").mapInArrow(sets, "uid long, bits binary, set binary")
+    texts = texts.select("uid", "whole", "bits", "text").mapInArrow(tidied(sets), "uid long, bits binary, set binary")
     texts = stored(texts.dropDuplicates(["uid"]), f"{folder}/sets")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +188,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
 
     left = texts.select(F.col("uid").alias("u"), F.col("set").alias("a"))
     right = texts.select(F.col("uid").alias("v"), F.col("set").alias("b"))
-    links = close.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(verified, "u long, v long")
+    links = close.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(tidied(verified), "u long, v long")
     tiles = crowds.join(texts, "uid").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(
         "i", "key", F.least("s", "o").alias("x"), F.greatest("s", "o").alias("y"), "s", "uid", "bits", "set")
 
@@ -226,8 +226,11 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id names its group in ``groups``; of rows that share such an id, one."""
+    """The rows of ``docs`` whose id names its group in ``groups``; of rows that share such an id, one.
+
+    Rows without an id belong to no group and stay.
+    """
     named = groups.where("id = component").withColumnRenamed("id", id_col)
     once = docs.join(named.where("n = 1").select(id_col), id_col, "left_semi")
     again = docs.join(named.where("n > 1").select(id_col), id_col, "left_semi").dropDuplicates([id_col])
-    return once.unionByName(again)
+    return once.unionByName(again).unionByName(docs.where(F.col(id_col).isNull()))

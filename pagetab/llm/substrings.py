@@ -28,13 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetab.llm.common import dropped, scratch, stored
+from pagetab.llm.common import dropped, scratch, slices, stored, tidied
 
 #: Words of a seed; shorter windows have a seed of half their length.
 SEED = 16
 #: Odd multipliers of the rolling sums for seeds, surroundings and windows.
 _SEED_BASE, _AROUND_BASE, _WINDOW_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
-_MOST_WORDS = 1 << 20
+_MOST_WORDS = 1 << 18
 _MASK = (1 << 64) - 1
 
 
@@ -135,7 +135,7 @@ def repeated_spans(docs: DataFrame, window: int, folder: str) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate(c).astype(k, copy=False)) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    found = docs.select("h", "text").mapInArrow(seeds, "h long, place int, first int, last int, anchor long, around long")
+    found = docs.select("h", "text").mapInArrow(tidied(seeds), "h long, place int, first int, last int, anchor long, around long")
     found = stored(found, f"{folder}/found")
     # counted by surroundings, then by anchor: both sums start before their shuffle
     kinds = found.groupBy("anchor", "around").agg(
@@ -170,7 +170,7 @@ def repeated_spans(docs: DataFrame, window: int, folder: str) -> DataFrame:
                      pa.array(np.repeat(n, many)), pa.array(np.full(len(start), doc)), pa.array(start.astype(np.int32))],
                     names=["w1", "w2", "n", "h", "start"])
 
-    extended = texts.join(asked, "h").select("h", "text", "asked").mapInArrow(extend, "w1 long, w2 long, n long, h long, start int")
+    extended = texts.join(asked, "h").select("h", "text", "asked").mapInArrow(tidied(extend), "w1 long, w2 long, n long, h long, start int")
     extended = stored(extended, f"{folder}/extended")
     equal = stored(
         extended.groupBy("w1", "w2").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("ways"))
@@ -221,7 +221,7 @@ def drop_repeats(
     spans = repeated_spans(rows.select("h", "text"), window, folder)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             total, gone, kept = [], [], []
             for text, ranges in zip(batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
                 words = text.as_py().split()
@@ -238,4 +238,4 @@ def drop_repeats(
     kinds += [(f.name, f.dataType.simpleString()) for f in extra]
     names = [n for n, _ in kinds]
     return rows.join(spans, "h", "left").select("id", "text", "spans", *(f"k{i}" for i in range(len(extra)))).mapInArrow(
-        cut, ", ".join(f"`{n}` {k}" for n, k in kinds))
+        tidied(cut), ", ".join(f"`{n}` {k}" for n, k in kinds))

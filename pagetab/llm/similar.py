@@ -1,16 +1,20 @@
 """Near-duplicate documents by similarity of shingle sets, with long SimHash fingerprints.
 
-Short fingerprints serve links of a few bits. Texts whose five-word shingles agree
-by 0.8 differ in about a seventh of all bits, so this module takes long ones, of
-two kinds. One is made of a text's distinct words, which small changes touch least.
-It is split into blocks; pairs that differ in fewer bits than there are blocks share
-a block for certain, and the number of blocks is chosen such that pairs at the
-similarity asked for share one with a probability of about 0.97. Blocks are long
-enough for the number of texts, so that unrelated texts seldom meet. The other
-fingerprint is made of the distinct shingles. The share of its bits in which two
-texts differ gives the angle between their shingle sets and so their similarity,
-which verifies the pairs that met. The Hamming distance admits whatever may be
-similar enough; the shingle sets of those pairs, and of no others, then decide.
+Two searches find the pairs, and the shingle sets of the pairs found decide.
+
+The first is quick and finds most pairs, not all. Each text has two long
+fingerprints. One is made of its distinct words and split into blocks; texts that
+share a block meet. Blocks are long enough for the number of texts, so that unrelated
+texts seldom do. The other is made of the distinct shingles, and its Hamming distance
+drops most pairs that met by chance.
+
+The second is complete and looks only between the groups that the first has made. All
+shingles have one order, and each text shows its first ones: so many that a text which
+shares none of them cannot be similar enough. Texts of different groups that show the
+same shingle are pairs, unless their sizes or the shingle's places rule it out. Any
+order is right; this one has shingles that many texts of a sample share last. To
+keep pairs of large groups few, one text of each group meets the others for each
+shingle first; what is still apart then meets in full.
 
 Blocks that more than ``CROWD`` texts share are compared tile by tile, a tile being
 two slices of the crowd, and a tile returns the links of a spanning forest only.
@@ -33,6 +37,8 @@ from pagetab.llm.common import components, dropped, scratch, slices, stored, tid
 BITS = 1024
 #: Texts of one block value up to which pairs are joined, and texts of a slice of more.
 CROWD, SLICE = 32, 256
+#: Texts whose shingles are counted, those of a count, and the most that come last in the order.
+SAMPLED, _COUNTED, _MOST_COMMON = 200_000, 1 << 20, 1 << 20
 #: Share of bits in which the word fingerprints of similar pairs differ, for the number of blocks.
 _WORD_SHARE = 0.09
 _MOST_WORDS = 1 << 18
@@ -89,6 +95,43 @@ def most_bits(similarity: float) -> int:
     return round(BITS * share + 3 * math.sqrt(BITS * share * (1 - share)))
 
 
+def shown(keys: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of a text's sorted ``keys``, those in ``common`` after all others: a set of that similarity has one of them at least."""
+    n = len(keys) - math.ceil(similarity * len(keys) - 1e-9) + 1
+    if len(common):
+        often = common[np.minimum(np.searchsorted(common, keys), len(common) - 1)] == keys
+        keys = np.concatenate([keys[~often], keys[often]])
+    return keys[:n]
+
+
+def common_shingles(docs: DataFrame, width: int, n: int) -> np.ndarray:
+    """Sorted hashes of shingles that many of a sample of the ``n`` rows of ``docs`` (id, text) share."""
+    rate = min(1.0, SAMPLED / max(1, n))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held, size = _WordHashes(), [], 0
+
+        def often() -> pa.RecordBatch:
+            keys, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(x[counts > 2].view(np.int64)) for x in (keys, counts)], names=["key", "n"])
+
+        for batch in slices(batches):
+            for text in batch.column(0).cast(pa.binary()):
+                words = (text.as_py() or b"").lower().split()
+                if words:
+                    held.append(shingle_hashes(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), width))
+                    size += len(held[-1])
+                if size > _COUNTED:
+                    yield often()
+                    held, size = [], 0
+        yield often()
+
+    sample = docs.where(f"pmod(xxhash64(id), 1000000) < {round(1e6 * rate)}").select("text")
+    counts = sample.mapInArrow(tidied(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    top = counts.where(F.col("n") > max(8, CROWD * rate)).orderBy(F.desc("n"), "key").limit(_MOST_COMMON).select("key").toArrow()
+    return np.sort(top["key"].to_numpy().view(np.uint64))
+
+
 def _root(parent: list[int], x: int) -> int:
     while parent[x] != x:
         parent[x] = parent[parent[x]]
@@ -116,10 +159,11 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
         for batch in slices(batches):
-            whole, cut, check = [], [], []
+            whole, short, cut, check = [], [], [], []
             for text in batch.column(1).cast(pa.binary()):
                 words = (text.as_py() or b"").lower().split()
                 whole.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                short.append(int.from_bytes(whole[-1][:8], "little", signed=True))
                 if not words:
                     cut.append([])
                     check.append(b"\0" * (BITS // 8))
@@ -129,14 +173,14 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
                 cut.append((bits @ (1 << np.arange(size, dtype=np.int64))).tolist())
                 check.append(long_simhash(shingle_hashes(h, width), lanes).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(whole, pa.binary()), pa.array(cut, pa.list_(pa.int64())), pa.array(check, pa.binary())],
-                names=["id", "whole", "cut", "bits"])
+                [batch.column(0), pa.array(whole, pa.binary()), pa.array(short, pa.int64()), pa.array(cut, pa.list_(pa.int64())), pa.array(check, pa.binary())],
+                names=["id", "whole", "short", "cut", "bits"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("id").isNotNull())
-    kind = rows.schema["id"].dataType.simpleString()
-    rows = stored(rows.mapInArrow(tidied(prints), f"id {kind}, whole binary, cut array<long>, bits binary"), f"{folder}/rows")
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("id").isNotNull())
+    kind = source.schema["id"].dataType.simpleString()
+    rows = stored(source.mapInArrow(tidied(prints), f"id {kind}, whole binary, short long, cut array<long>, bits binary"), f"{folder}/rows")
     classes = stored(
-        rows.groupBy("whole").agg(F.min("id").alias("least"), F.first("cut").alias("cut"), F.first("bits").alias("bits"))
+        rows.groupBy("whole").agg(F.min("id").alias("least"), F.first("short").alias("short"), F.first("cut").alias("cut"), F.first("bits").alias("bits"))
         .withColumn("uid", F.monotonically_increasing_id()), f"{folder}/classes")
     keyed = classes.select("uid", F.posexplode("cut").alias("i", "key"))
     shared = stored(keyed.groupBy("i", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"{folder}/shared")
@@ -160,10 +204,6 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
     # crowds: slices of a block's texts against each other
     crowds = met.where(F.col("n") > CROWD).withColumn("slices", F.ceil(F.col("n") / SLICE).cast("int"))
     crowds = stored(crowds.withColumn("s", F.expr("pmod(xxhash64(uid), slices)").cast("int")), f"{folder}/crowds")
-    # shingle sets of the texts that may be similar to any other
-    asked = close.select(F.col("u").alias("uid")).unionByName(close.select(F.col("v").alias("uid"))).unionByName(crowds.select("uid")).distinct()
-    asked = stored(asked.join(classes.select("uid", "whole", "least", "bits"), "uid"), f"{folder}/asked")
-
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
         for batch in slices(batches):
@@ -176,9 +216,14 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
             there = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([there.column(0), there.column(2), pa.array(found, pa.binary())], names=["uid", "bits", "set"])
 
-    texts = docs.select(F.col(id_col).alias("least"), F.col(text_col).cast("string").alias("text")).join(asked, "least")
-    texts = texts.select("uid", "whole", "bits", "text").mapInArrow(tidied(sets), "uid long, bits binary, set binary")
-    texts = stored(texts.dropDuplicates(["uid"]), f"{folder}/sets")
+    def shingled(asked: DataFrame, name: str) -> DataFrame:
+        """(uid, bits, set) of the texts asked for."""
+        asked = stored(asked.distinct().join(classes.select("uid", "whole", "least", "bits"), "uid"), f"{folder}/{name}-asked")
+        texts = source.withColumnRenamed("id", "least").join(asked, "least")
+        texts = texts.select("uid", "whole", "bits", "text").mapInArrow(tidied(sets), "uid long, bits binary, set binary")
+        texts = stored(texts.dropDuplicates(["uid"]), f"{folder}/{name}-sets")
+        dropped(spark, f"{folder}/{name}-asked")
+        return texts
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,9 +231,17 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
             good = [jaccard(*(np.frombuffer(x.as_buffer(), np.uint64) for x in pair)) >= similarity for pair in pairs]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    left = texts.select(F.col("uid").alias("u"), F.col("set").alias("a"))
-    right = texts.select(F.col("uid").alias("v"), F.col("set").alias("b"))
-    links = close.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(tidied(verified), "u long, v long")
+    def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        left = texts.select(F.col("uid").alias("u"), F.col("set").alias("a"))
+        right = texts.select(F.col("uid").alias("v"), F.col("set").alias("b"))
+        return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(tidied(verified), "u long, v long")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("u").alias("uid")).unionByName(pairs.select(F.col("v").alias("uid")))
+
+    # shingle sets of the texts that may be similar to any other
+    texts = shingled(ends(close).unionByName(crowds.select("uid")), "near")
+    links = similar(close, texts)
     tiles = crowds.join(texts, "uid").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(
         "i", "key", F.least("s", "o").alias("x"), F.greatest("s", "o").alias("y"), "s", "uid", "bits", "set")
 
@@ -211,17 +264,91 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
         return pa.table({"u": uid[np.array(us, np.int64)], "v": uid[np.array(vs, np.int64)]})
 
     links = stored(links.unionByName(tiles.groupBy("i", "key", "x", "y").applyInArrow(tile, "u long, v long")), f"{folder}/links")
-    roots = stored(components(links, folder).withColumnRenamed("node", "uid"), f"{folder}/roots")
+    roots = components(links, f"{folder}/parts").withColumnRenamed("node", "uid")
     named = stored(
-        classes.select("uid", "whole", "least").join(roots, "uid", "left").select("whole", "least", F.coalesce("root", "uid").alias("root")),
-        f"{folder}/named")
+        classes.select("uid", "whole", "short", "least").join(roots, "uid", "left")
+        .select("uid", "whole", "short", "least", F.coalesce("root", "uid").alias("root")), f"{folder}/named-0")
+    dropped(spark, *(f"{folder}/{x}" for x in ("shared", "met", "pairs", "close", "crowds", "near-sets", "links", "parts")))
+    # the complete search: texts of different roots that show the same shingle
+    common = common_shingles(source, width, n)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _WordHashes()
+        for batch in slices(batches):
+            found, short, size = [], [], []
+            for text in batch.column(0).cast(pa.binary()):
+                words = (text.as_py() or b"").lower().split()
+                if words:
+                    keys = shingle_hashes(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), width)
+                    found.append(shown(keys, common, similarity))
+                    short.append(int.from_bytes(xxhash.xxh3_128_digest(b" ".join(words))[:8], "little", signed=True))
+                    size.append(len(keys))
+            if found:
+                each = [len(x) for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
+                    np.concatenate(found).view(np.int64), np.repeat(np.array(short, np.int64), each), np.repeat(np.array(size, np.int32), each),
+                    np.concatenate([np.arange(x, dtype=np.int32) for x in each]))], names=["key", "short", "size", "place"])
+
+    prefix = stored(source.select("text").mapInArrow(tidied(prefixes), "key long, short long, size int, place int"), f"{folder}/prefix")
+    more = stored(
+        prefix.groupBy("key").agg(F.min("short").alias("low"), F.max("short").alias("high")).where("low < high").select("key"), f"{folder}/more")
+    seen = stored(
+        prefix.join(more, "key").distinct().join(named.select("short", "uid"), "short").select("key", "uid", "size", "place"), f"{folder}/seen")
+    dropped(spark, f"{folder}/prefix", f"{folder}/more")
+    overlap = similarity / (1 + similarity)
+
+    def across(table: pa.Table) -> pa.Table:
+        x, y, s = table["x"][0].as_py(), table["y"][0].as_py(), table["s"].to_numpy()
+        uid, root, size, rest = (table[k].to_numpy().astype(np.int64) for k in ("uid", "root", "size", "rest"))
+        here, there = np.flatnonzero(s == x)[:, None], np.flatnonzero(s == y)[None]
+        least, most_of = np.minimum(size[here], size[there]), np.maximum(size[here], size[there])
+        good = (root[here] != root[there]) & (least >= similarity * most_of - 1e-6)
+        good &= np.minimum(rest[here], rest[there]) >= overlap * (least + most_of) - 1e-6
+        p, q = np.nonzero(good)
+        a, b = uid[here[p, 0]], uid[there[0, q]]
+        return pa.table({"u": np.minimum(a, b), "v": np.maximum(a, b)})
+
+    def apart(named: DataFrame, name: str, whole: bool) -> DataFrame:
+        """Pairs of texts of different roots that show the same shingle: all pairs, or of one text for each shingle and root."""
+        now = seen.join(named.select("uid", "root"), "uid").select("key", "uid", "root", "size", (F.col("size") - F.col("place")).alias("rest"))
+        if not whole:
+            one = F.min(F.struct(F.xxhash64("key", "uid").alias("at"), "uid", "size", "rest")).alias("one")
+            now = now.groupBy("key", "root").agg(one).select("key", "one.uid", "root", "one.size", "one.rest")
+        now = stored(now, f"{folder}/{name}-now")
+        keys = now.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+        keys = stored(keys.where("low < high").select("key", "n"), f"{folder}/{name}-keys")
+        met = stored(now.join(keys, "key"), f"{folder}/{name}-met")
+        few, many = met.where(F.col("n") <= CROWD).drop("n"), met.where(F.col("n") > CROWD)
+        other = few.select("key", *(F.col(k).alias(f"{k}_v") for k in ("uid", "root", "size", "rest")))
+        fits = (
+            (F.col("uid") < F.col("uid_v")) & (F.col("root") != F.col("root_v"))
+            & (F.least("size", "size_v") >= similarity * F.greatest("size", "size_v") - 1e-6)
+            & (F.least("rest", "rest_v") >= overlap * (F.col("size") + F.col("size_v")) - 1e-6))
+        found = few.join(other, (few["key"] == other["key"]) & fits).select(F.col("uid").alias("u"), F.col("uid_v").alias("v"))
+        many = many.withColumn("slices", F.ceil(F.col("n") / SLICE).cast("int")).withColumn("s", F.expr("pmod(xxhash64(uid), slices)").cast("int"))
+        many = many.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(
+            "key", F.least("s", "o").alias("x"), F.greatest("s", "o").alias("y"), "s", "uid", "root", "size", "rest")
+        found = found.unionByName(many.groupBy("key", "x", "y").applyInArrow(across, "u long, v long"))
+        found = stored(found.distinct(), f"{folder}/{name}-pairs")
+        dropped(spark, *(f"{folder}/{name}-{x}" for x in ("now", "keys", "met")))
+        return found
+
+    for i, whole in enumerate((False, True), 1):
+        pairs = apart(named, f"round-{i}", whole)
+        links = stored(similar(pairs, shingled(ends(pairs), f"round-{i}")), f"{folder}/round-{i}-links")
+        of = named.select("uid", "root")
+        links = links.join(of.toDF("u", "a"), "u").join(of.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        roots = components(links, f"{folder}/parts-{i}").toDF("root", "top")
+        named = stored(
+            named.join(roots, "root", "left").select("uid", "whole", "short", "least", F.coalesce("top", "root").alias("root")), f"{folder}/named-{i}")
+        dropped(spark, *(f"{folder}/{x}" for x in (f"named-{i - 1}", f"round-{i}-pairs", f"round-{i}-sets", f"round-{i}-links", f"parts-{i}")))
     least = stored(named.groupBy("root").agg(F.min("least").alias("component")), f"{folder}/least")
     member = stored(named.join(least, "root").select("whole", "component"), f"{folder}/member")
     found = stored(
         rows.select("id", "whole").join(member, "whole").groupBy("id").agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("n")),
         f"{folder}/found")
     dropped(spark, *(f"{folder}/{x}" for x in (
-        "rows", "classes", "shared", "met", "pairs", "close", "crowds", "asked", "sets", "links", "roots", "named", "least", "member")))
+        "rows", "classes", "seen", "named-2", "least", "member")))
     return found
 
 

@@ -354,3 +354,34 @@ def test_digests_are_of_the_texts(docs):
     """sha256 columns of the queries are derived from the operator's texts."""
     got = drop_repeats(docs, 35).select("id", F.sha2("kept", 256).alias("s"), "kept").collect()
     assert all(r["s"] == hashlib.sha256(r["kept"].encode()).hexdigest() for r in got)
+
+
+def same_parts(rows):
+    """Smallest id of each text's group, by the shingle sets of all pairs."""
+    sets = [{tuple(t.split()[i: i + 5]) for i in range(max(1, len(t.split()) - 4))} for _, t in rows]
+    group = list(range(len(rows)))
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    for _ in range(8):
+        for a, b in links:
+            group[a] = group[b] = min(group[a], group[b])
+    return {i: rows[g][0] for (i, _), g in zip(rows, group, strict=True)}
+
+
+def test_similar_pairs_are_complete(spark, monkeypatch):
+    """Appended, cut and replaced passages, by a search whose blocks find next to nothing, as in a table of very many texts."""
+    from pagetab.llm import similar
+
+    rng = np.random.default_rng(12)
+    rows, shared = [], prose(99, 40)
+    for k in range(60):
+        w = prose(1000 + k, 120).split()
+        n = int(rng.integers(18, 29))
+        edit = (w + prose(3000 + k, n).split(), w[: 120 - n + 4], w[:40] + prose(5000 + k, n // 2 - 3).split() + w[40 + n // 2 - 3:])[k % 3]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(edit))]
+    rows += [(200 + k, shared + " " + prose(7000 + k, 40)) for k in range(60)]  # a line that many share
+    rows += [(300 + k, " ".join(shared.split() * 2 + [f"end{k}"] * (k % 7))) for k in range(50)]  # a crowd
+    monkeypatch.setattr(similar, "_WORD_SHARE", -9.0)  # one block
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    want = same_parts(rows)
+    assert {r["id"]: r["component"] for r in similar_groups(made).collect()} == want
+    assert 40 <= sum(want[2 * k + 1] == 2 * k for k in range(60)) < 60

@@ -90,7 +90,11 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def most_bits(similarity: float) -> int:
-    """Differing bits of ``BITS`` up to which a pair may be similar: what shingle sets of that Jaccard similarity give, and three deviations."""
+    """Differing bits of ``BITS`` up to which a pair may be similar: what shingle sets of that Jaccard similarity give, and three deviations.
+
+    Sets of a few shingles may differ in more, as ties of their bits count as not set;
+    the complete search has no such limit.
+    """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return round(BITS * share + 3 * math.sqrt(BITS * share * (1 - share)))
 

@@ -385,3 +385,18 @@ def test_similar_pairs_are_complete(spark, monkeypatch):
     want = same_parts(rows)
     assert {r["id"]: r["component"] for r in similar_groups(made).collect()} == want
     assert 40 <= sum(want[2 * k + 1] == 2 * k for k in range(60)) < 60
+
+
+def test_similar_texts_of_few_shingles(spark):
+    """Four of five shingles agree, but more bits differ than the quick search admits."""
+    from pagetab.llm import similar
+
+    lanes, rows = similar._lanes(similar.BITS // 64)[::-1].copy(), []
+    for k in range(400):
+        w = prose(20_000 + k, 9).split()
+        h = np.array([similar._WordHashes()[x.encode()] for x in w], np.uint64)
+        a, b = (similar.long_simhash(similar.shingle_hashes(x, 5), lanes) for x in (h[:8], h))
+        if np.bitwise_count(a ^ b).sum() > similar.most_bits(0.8) and len(set(w)) == 9 and len(rows) < 40:
+            rows += [(len(rows), " ".join(w[:8])), (len(rows) + 1, " ".join(w))]
+    got = similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(rows) == 40 and {r["id"]: r["component"] for r in got} == {i: i - i % 2 for i in range(40)}

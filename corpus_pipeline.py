@@ -19,7 +19,7 @@ from pagetab.llm.common import scratch, stored
 from pagetab.llm.mixing import mix_sources
 from pagetab.llm.quality import fit, grade_texts, rated
 from pagetab.llm.queries import grade
-from pagetab.llm.similar import one_of_each, similar_groups
+from pagetab.llm.similar import first_texts, one_of_each
 from pagetab.llm.substrings import drop_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -36,8 +36,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts whose five-word shingles agree by 0.8 or more, keep the one with the smallest id."""
-    return one_of_each(docs.select(*COLUMNS), similar_groups(docs, width=5, similarity=0.8)).select(*COLUMNS)
+    """Of texts whose five-word shingles agree by 0.8 or more, keep the one with the smallest id; an id may stand for several texts."""
+    return one_of_each(docs.select(*COLUMNS), first_texts(docs, width=5, similarity=0.8)).select(*COLUMNS)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -143,15 +143,8 @@ def _root(parent: list[int], x: int) -> int:
     return x
 
 
-def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per distinct id of ``docs``: (id, component, n), n rows having that id.
-
-    ``component`` is the smallest id among texts that links of at least
-    ``similarity`` (Jaccard, of the sets of ``width``-word shingles) connect. Words end at ASCII white space, A-Z are lowered; texts of
-    equal words link always, so do all texts without words (null among them). An id
-    that stands for several texts takes the smallest of their components. Rows with a
-    null id are in no group. Other columns are not read; an empty table gives an empty table.
-    """
+def _members(docs: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, str]:
+    """Rows (id, whole, raw), the groups of their texts (whole, root, component), and the folder that has both."""
     spark = docs.sparkSession
     folder = scratch(spark, "similar")
     n = docs.count()
@@ -177,12 +170,13 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
                 cut.append((bits @ (1 << np.arange(size, dtype=np.int64))).tolist())
                 check.append(long_simhash(shingle_hashes(h, width), lanes).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(whole, pa.binary()), pa.array(short, pa.int64()), pa.array(cut, pa.list_(pa.int64())), pa.array(check, pa.binary())],
-                names=["id", "whole", "short", "cut", "bits"])
+                [batch.column(0), batch.column(2), pa.array(whole, pa.binary()), pa.array(short, pa.int64()), pa.array(cut, pa.list_(pa.int64())), pa.array(check, pa.binary())],
+                names=["id", "raw", "whole", "short", "cut", "bits"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("id").isNotNull())
+    hashed = source.withColumn("raw", F.xxhash64("text"))
     kind = source.schema["id"].dataType.simpleString()
-    rows = stored(source.mapInArrow(tidied(prints), f"id {kind}, whole binary, short long, cut array<long>, bits binary"), f"{folder}/rows")
+    rows = stored(hashed.mapInArrow(tidied(prints), f"id {kind}, raw long, whole binary, short long, cut array<long>, bits binary"), f"{folder}/rows")
     classes = stored(
         rows.groupBy("whole").agg(F.min("id").alias("least"), F.first("short").alias("short"), F.first("cut").alias("cut"), F.first("bits").alias("bits"))
         .withColumn("uid", F.monotonically_increasing_id()), f"{folder}/classes")
@@ -347,21 +341,52 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
             named.join(roots, "root", "left").select("uid", "whole", "short", "least", F.coalesce("top", "root").alias("root")), f"{folder}/named-{i}")
         dropped(spark, *(f"{folder}/{x}" for x in (f"named-{i - 1}", f"round-{i}-pairs", f"round-{i}-sets", f"round-{i}-links", f"parts-{i}")))
     least = stored(named.groupBy("root").agg(F.min("least").alias("component")), f"{folder}/least")
-    member = stored(named.join(least, "root").select("whole", "component"), f"{folder}/member")
+    member = stored(named.join(least, "root").select("whole", "root", "component"), f"{folder}/member")
+    dropped(spark, *(f"{folder}/{x}" for x in ("classes", "seen", "named-2", "least")))
+    return rows.select("id", "raw", "whole"), member, folder
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per distinct id of ``docs``: (id, component, n), n rows having that id.
+
+    ``component`` is the smallest id among texts that links of at least
+    ``similarity`` (Jaccard, of the sets of ``width``-word shingles) connect. Words end at ASCII white space, A-Z are lowered; texts of
+    equal words link always, so do all texts without words (null among them). An id
+    that stands for several texts takes the smallest of their components. Rows with a
+    null id are in no group. Other columns are not read; an empty table gives an empty table.
+    """
+    rows, member, folder = _members(docs, width, similarity, id_col, text_col)
     found = stored(
-        rows.select("id", "whole").join(member, "whole").groupBy("id").agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("n")),
-        f"{folder}/found")
-    dropped(spark, *(f"{folder}/{x}" for x in (
-        "rows", "classes", "seen", "named-2", "least", "member")))
+        rows.join(member, "whole").groupBy("id").agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("n")), f"{folder}/found")
+    dropped(docs.sparkSession, f"{folder}/rows", f"{folder}/member")
+    return found
+
+
+def first_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per group of similar texts: (id, raw, n), the text of its smallest id.
+
+    ``raw`` is ``xxhash64`` of the text, and n rows have that id and text. Texts are
+    grouped as by ``similar_groups``, but an id that stands for several texts may
+    be in several groups, with one text in each.
+    """
+    rows, member, folder = _members(docs, width, similarity, id_col, text_col)
+    texts = rows.groupBy("id", "raw", "whole").agg(F.count(F.lit(1)).alias("n")).join(member, "whole")
+    found = stored(texts.groupBy("root").agg(F.min(F.struct("id", "raw", "n")).alias("one")).select("one.*"), f"{folder}/first")
+    dropped(docs.sparkSession, f"{folder}/rows", f"{folder}/member")
     return found
 
 
-def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id names its group in ``groups``; of rows that share such an id, one.
+def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``groups`` of ``first_texts`` names; of rows that share id and text, one.
 
-    Rows without an id belong to no group and stay.
+    Groups of ``similar_groups`` serve where each id stands for one text: rows whose
+    id names its group stay. Rows without an id belong to no group and stay.
     """
-    named = groups.where("id = component").withColumnRenamed("id", id_col)
-    once = docs.join(named.where("n = 1").select(id_col), id_col, "left_semi")
-    again = docs.join(named.where("n > 1").select(id_col), id_col, "left_semi").dropDuplicates([id_col])
-    return once.unionByName(again).unionByName(docs.where(F.col(id_col).isNull()))
+    if "raw" in groups.columns:
+        names, key = groups.withColumnsRenamed({"id": id_col, "raw": "_raw"}), [id_col, "_raw"]
+        docs = docs.withColumn("_raw", F.xxhash64(F.col(text_col).cast("string")))
+    else:
+        names, key = groups.where("id = component").withColumnRenamed("id", id_col), [id_col]
+    once = docs.join(names.where("n = 1").select(*key), key, "left_semi")
+    again = docs.join(names.where("n > 1").select(*key), key, "left_semi").dropDuplicates(key)
+    return once.unionByName(again).unionByName(docs.where(F.col(id_col).isNull())).drop("_raw")

@@ -9,6 +9,7 @@ passes and text which tokenizes like noise or like a loop does not.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -27,26 +28,41 @@ BANDS = {
     "latin": (1.2, 9.0, 0.20, 0.55), "cyrillic": (0.9, 8.0, 0.20, 0.55), "cjk": (0.3, 4.0, 0.70, 0.55), "other": (0.2, 9.0, 0.90, 0.50),
 }
 ENTROPY_SPAN = 256
-#: Pieces below which a text is too short for the bands.
+#: Pieces below which a text is too short for the bands, but for a share of byte pieces three deviations above.
 LEAST_PIECES = 48
 #: Base rules: fewest words, most words in repeated windows in a hundred, words of a window.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
 _SYMBOLS = b"#*$%&|<>"
 _MOST_WORDS, _MOST_BYTES = 1 << 19, 64 << 20
 _TEXTS = 256
-
-
-def script_of(text: str) -> str:
-    """The script that most letters among evenly spread characters of the whole ``text`` have."""
-    step = max(1, len(text) // 512)
-    counts = {"latin": 0, "cyrillic": 0, "cjk": 0, "other": 0}
-    for c in text[::step]:
-        if c.isalpha():
-            o = ord(c)
-            name = "latin" if o < 0x250 or 0x1E00 <= o < 0x1F00 else "cyrillic" if 0x400 <= o < 0x530 else (
-                "cjk" if 0x3040 <= o < 0x3100 or 0x3400 <= o < 0xA000 or 0xAC00 <= o < 0xD7B0 or 0x20000 <= o < 0x33480 else "other")
-            counts[name] += 1
-    return max(counts, key=counts.get) if any(counts.values()) else "other"
+SCRIPTS = ("latin", "cyrillic", "cjk", "other")
+_LETTERS = 1 << 20
+
+
+@functools.cache
+def _script_table() -> np.ndarray:
+    """Number in ``SCRIPTS`` of each character; one more than the last for what is no letter."""
+    table = np.full(0x110000, len(SCRIPTS), np.uint8)
+    for o in range(0x110000):
+        if chr(o).isalpha():
+            table[o] = 0 if o < 0x250 or 0x1E00 <= o < 0x1F00 else 1 if 0x400 <= o < 0x530 else (
+                2 if 0x3040 <= o < 0x3100 or 0x3400 <= o < 0xA000 or 0xAC00 <= o < 0xD7B0 or 0x20000 <= o < 0x33480 else 3)
+    return table
+
+
+def letters(words: list[str]) -> np.ndarray:
+    """Letters of each script in each of the words."""
+    counts, a = np.zeros((len(words), len(SCRIPTS) + 1), np.int32), 0
+    while a < len(words):  # about so many characters at once
+        b, held = a, 0
+        while b < len(words) and (b == a or held + len(words[b]) <= _LETTERS):
+            held += len(words[b])
+            b += 1
+        kinds = _script_table()[np.frombuffer("".join(words[a:b]).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        at = np.repeat(np.arange(b - a) * (len(SCRIPTS) + 1), [len(w) for w in words[a:b]])
+        counts[a:b] = np.bincount(at + kinds, minlength=(b - a) * (len(SCRIPTS) + 1)).reshape(b - a, -1)
+        a = b
+    return counts[:, :-1]
 
 
 class _Words:
@@ -63,6 +79,7 @@ class _Words:
         self.number: dict[bytes, int] = {}
         self.hashes, self.pieces = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.first = np.zeros(1, np.int64)
+        self.letters = np.zeros((0, len(SCRIPTS)), np.int32)
         self.held = 0
 
     def learn(self, texts: list[list[bytes]]) -> None:
@@ -74,7 +91,9 @@ class _Words:
         self.held += sum(map(len, new))
         base = len(self.number)
         self.number.update({w: base + i for i, w in enumerate(new)})
-        cut = self.model.encode([w.decode("utf-8", "replace") for w in new], num_threads=1)
+        new_texts = [w.decode("utf-8", "replace") for w in new]
+        cut = self.model.encode(new_texts, num_threads=1)
+        self.letters = np.concatenate([self.letters, letters(new_texts)])
         self.hashes = np.concatenate([self.hashes, np.array([xxhash.xxh64_intdigest(w) for w in new], np.uint64)])
         self.pieces = np.concatenate([self.pieces, *(np.array(p, np.int32) for p in cut)])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(p) for p in cut])])
@@ -87,6 +106,12 @@ class _Words:
         where = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(total)
         return self.hashes[at], self.pieces[where]
 
+    def script(self, words: list[bytes]) -> str:
+        """The script that most letters of the words have."""
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        counts = self.letters[at].sum(axis=0, dtype=np.int64)
+        return SCRIPTS[int(counts.argmax())] if counts.any() else "other"
+
 
 def repeated_words(hashes: np.ndarray, window: int) -> int:
     """Words that windows found twice or more cover, the first occurrence included."""
@@ -127,10 +152,12 @@ def _judge(raw: bytes, words: list[bytes], lang: str | None, known: _Words, band
     failed = n < LEAST_WORDS or 100 * repeated > MOST_REPEATED * n
     count = len(pieces)
     per, share, entropy = (chars / count, float(known.is_byte[pieces].mean()), _entropy(pieces)) if count else (None, None, None)
-    band = lang if lang in bands else script_of(joined.decode("utf-8", "replace"))
+    band = lang if lang in bands else known.script(words)
     reasons = ["words"] * (n < LEAST_WORDS) + ["repetition"] * (100 * repeated > MOST_REPEATED * n)
+    low, high, most, least = bands[band]
+    if 0 < count < LEAST_PIECES:
+        reasons += ["bytes"] * (share > most + 3 * math.sqrt(max(0, most * (1 - most)) / count))
     if count >= LEAST_PIECES:
-        low, high, most, least = bands[band]
         reasons += ["fertility"] * (not low <= per <= high) + ["bytes"] * (share > most)
         reasons += ["entropy"] * (entropy < least * math.log2(min(count, ENTROPY_SPAN)))
     return {
@@ -151,7 +178,8 @@ def judge_texts(
     fewer than ``LEAST_WORDS`` words or over ``MOST_REPEATED`` per cent of words in
     ``WINDOW``-word windows found twice in the text. Texts of ``LEAST_PIECES``
     pieces and more must lie in the band of their language, or of the script of
-    their letters where the language is null or has no band. A null text has no
+    all their letters where the language is null or has no band; of shorter ones only
+    the share of byte pieces is judged, with three deviations more. A null text has no
     words. Other columns are not read; rows that repeat are judged alike; an empty
     table gives an empty table.
     """

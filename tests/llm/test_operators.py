@@ -400,3 +400,13 @@ def test_similar_texts_of_few_shingles(spark):
             rows += [(len(rows), " ".join(w[:8])), (len(rows) + 1, " ".join(w))]
     got = similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(rows) == 40 and {r["id"]: r["component"] for r in got} == {i: i - i % 2 for i in range(40)}
+
+
+def test_script_of_the_whole_text(spark):
+    """Letters between the evenly spread characters count; short texts of byte pieces alone go."""
+    records = " ".join("a" + "\u0431\u0432" for _ in range(512))  # every fourth character is a Latin letter
+    rare = " ".join(chr(0xA500 + k) for k in range(11))
+    rows = [(1, records, None), (2, rare, "en"), (3, "a plain short text of eleven words that is kept as before", "en"), (4, "", None)]
+    got = {r["id"]: r for r in judge_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[1]["band"] == "cyrillic" and got[4]["band"] == "other"
+    assert got[2]["n_pieces"] < 48 and got[2]["reasons"] == ["bytes"] and got[3]["kept"]

@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetab.llm.bpe import decode_ids, encode_texts
+from pagetab.llm.common import scratch
 from pagetab.llm.interpolation import crc_fold, score_texts
 from pagetab.llm.mixing import mix_sources
+from pagetab.llm.periodic import find_runs
 from pagetab.llm.quality import fit, grade_texts, rated
 from pagetab.llm.rules import judge_texts
 from pagetab.llm.simhash import simhash_groups
+from pagetab.llm.spelling import spelling_groups, word_counts
 from pagetab.llm.substrings import drop_repeats
+from pagetab.llm.tokencounts import count_tokens
 from pagetab.llm.tokenfiles import token_files
 from pagetab.llm.vectors import near_vectors
 from pagetab.llm.warc import archived_pages
@@ -100,6 +104,27 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, some of them damaged, under their most frequent spelling."""
+    return spelling_groups(word_counts(_table(spark, sf_dir, "documents"), least_chars=6, least_n=5, damage=199), ratio=5)
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in each document, some of them made periodic."""
+    return find_runs(_table(spark, sf_dir, "documents"), loop=True).select(
+        F.col("id").alias("doc_id"), "n_runs", "start", "length", "period",
+        F.floor(1000 * F.col("length") / F.col("period")).cast("long").alias("exponent_milli"),
+        "runs_sha256", F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document by way of a cache of counts, new with each call."""
+    return count_tokens(
+        _table(spark, sf_dir, "documents"), scratch(spark, "token-cache"), tokenizer="piece_bpe_32k.model", limit=4096
+    ).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
@@ -111,6 +136,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_tokenfiles": op9_tokenfiles,
     "op10_warc": op10_warc,
+    "op11_spelling": op11_spelling,
+    "op12_periodic": op12_periodic,
+    "op13_tokencounts": op13_tokencounts,
 }
 
 #: DuckDB SQL of the queries that SQL can express.

@@ -1,12 +1,14 @@
 """A training corpus from ``documents``: five stages, each a table that the next one reads.
 
 1. quality: documents that are probably not of the best grade go;
-2. near copies: one document of each group of similar texts stays;
+2. near copies: one document of each group of texts with near SimHash fingerprints stays;
 3. passages: words in windows of 50 words that start more than once go;
 4. mixture: documents are repeated or left out so that sources meet their targets;
 5. tokens: texts become ids of the byte-level vocabulary.
 
-All stages but the last return the columns of ``documents``.
+All stages but the last return the columns of ``documents``; other columns are left out.
+In every stage a null text is an empty one, and rows that repeat are handled alike but in
+stage 2, where one of them stays. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pagetab.llm.common import scratch, stored
 from pagetab.llm.mixing import mix_sources
 from pagetab.llm.quality import fit, grade_texts, rated
 from pagetab.llm.queries import grade
-from pagetab.llm.similar import first_texts, one_of_each
+from pagetab.llm.simhash import simhash_groups
 from pagetab.llm.substrings import drop_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,7 +30,7 @@ WINDOW = 50
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep what is probably of the best grade, by a model fitted on the rated ones among ``docs``."""
+    """Keep what is probably of the best grade, by a model fitted on the rated ones among ``docs``; without any, all stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit(docs, rated(labels, grade()), n_grades=3)
     graded = grade_texts(docs, model, least_grade=2, keep=COLUMNS[1:])
@@ -36,8 +38,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts whose five-word shingles agree by 0.8 or more, keep the one with the smallest id; an id may stand for several texts."""
-    return one_of_each(docs.select(*COLUMNS), first_texts(docs, width=5, similarity=0.8)).select(*COLUMNS)
+    """Keep one document of each group whose fingerprints of three-word shingles links of two bits or fewer connect.
+
+    It is the one with the smallest id, nulls last (of texts with that id, the one with the smallest
+    hash). An id may stand for several texts, which are grouped by themselves. Texts
+    without words are one group. Of rows that agree in id and text one stays.
+    """
+    rows = docs.select(*COLUMNS).withColumn("h", F.xxhash64("text"))
+    named = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("h").alias("h"))
+    groups = simhash_groups(rows.select(named.alias("name"), "text"), width=3, distance=2, id_col="name")
+    first = groups.where("keep").groupBy("id").agg(F.count(F.lit(1)).alias("n")).select("id.id", F.col("id.h").alias("first_h"), "n")
+    first = stored(first, f"{scratch(spark, 'near')}/first")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("first_h"))
+    once = rows.join(first.where("n = 1"), same, "left_semi")
+    again = rows.join(first.where("n > 1"), same, "left_semi").dropDuplicates(["doc_id", "h"])
+    return once.unionByName(again).select(*COLUMNS)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +68,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; rows that agree in id and text share their copies."""
     # rows of one id and text share a key; what their copies add up to is dealt out in order
     taken = mix_sources(docs).groupBy("id", "h").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n"))
     taken = stored(taken.where("copies > 0"), f"{scratch(spark, 'copies')}/taken")
@@ -67,7 +82,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, lang, n_tokens, ids, exact): ids of each text, and whether they decode to it."""
+    """(doc_id, source, lang, n_tokens, ids, exact): ids of each text (none for a null text), and whether they decode to it."""
     encoded = encode_texts(docs, tokenizer="byte_bpe_50k.json", keep=("source", "lang", "text"))
     decoded = decode_ids(encoded, tokenizer="byte_bpe_50k.json", keep=("source", "lang", "text"), out="decoded")
     return decoded.select(

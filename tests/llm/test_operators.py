@@ -17,7 +17,6 @@ from pagetab.llm.interpolation import crc_fold, learn_weights, score_texts
 from pagetab.llm.mixing import mix_sources
 from pagetab.llm.quality import fit, fit_ordinal, grade_texts, rated
 from pagetab.llm.rules import judge_texts
-from pagetab.llm.similar import one_of_each, similar_groups
 from pagetab.llm.simhash import near_links, simhash_groups
 from pagetab.llm.substrings import drop_repeats
 from pagetab.llm.tokenfiles import token_files
@@ -106,34 +105,6 @@ def test_links_of_crowds_are_whole(spark, tmp_path, distance):
         assert roots(edges) == roots([(u, v) for u in fps for v in fps if u < v and (u ^ v).bit_count() <= distance])
 
 
-def test_similar_groups(spark, docs, empty):
-    base = prose(9, 200).split()
-    rng = np.random.default_rng(4)
-    texts = [" ".join(base)]
-    for k in (1, 2, 4, 8, 20, 60):
-        for _ in range(12):
-            w = list(base)
-            for p in rng.choice(200, k, replace=False):
-                w[p] = "zz" + str(rng.integers(1000))
-            texts.append(" ".join(w))
-    rows = [(i, t) for i, t in enumerate(texts)]
-    sets = [{tuple(t.split()[i: i + 5]) for i in range(196)} for t in texts]
-    group = list(range(len(rows)))
-    for _ in range(20):
-        for a in range(len(rows)):
-            for b in range(a):
-                if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
-                    group[a] = group[b] = min(group[a], group[b])
-    made = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r["id"]: r["component"] for r in similar_groups(made).collect()} == dict(enumerate(group))
-    found = similar_groups(docs)
-    one = {r["id"]: (r["component"], r["n"]) for r in found.collect()}
-    assert one[0] == (0, 1) and one[1] == (0, 1) and one[2] == (2, 3) and one[5] == one[6] == (4, 1) and None not in one
-    kept = [r["doc_id"] for r in one_of_each(docs, found).collect()]
-    assert sorted(kept, key=repr) == sorted([i for i, (c, _) in one.items() if i == c] + [None, None], key=repr)
-    assert similar_groups(empty).count() == 0
-
-
 @pytest.mark.parametrize("window", [2, 7, 35])
 def test_drop_repeats(docs, empty, window):
     rows = awkward()
@@ -356,52 +327,6 @@ def test_digests_are_of_the_texts(docs):
     assert all(r["s"] == hashlib.sha256(r["kept"].encode()).hexdigest() for r in got)
 
 
-def same_parts(rows):
-    """Smallest id of each text's group, by the shingle sets of all pairs."""
-    sets = [{tuple(t.split()[i: i + 5]) for i in range(max(1, len(t.split()) - 4))} for _, t in rows]
-    group = list(range(len(rows)))
-    links = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
-    for _ in range(8):
-        for a, b in links:
-            group[a] = group[b] = min(group[a], group[b])
-    return {i: rows[g][0] for (i, _), g in zip(rows, group, strict=True)}
-
-
-def test_similar_pairs_are_complete(spark, monkeypatch):
-    """Appended, cut and replaced passages, by a search whose blocks find next to nothing, as in a table of very many texts."""
-    from pagetab.llm import similar
-
-    rng = np.random.default_rng(12)
-    rows, shared = [], prose(99, 40)
-    for k in range(60):
-        w = prose(1000 + k, 120).split()
-        n = int(rng.integers(18, 29))
-        edit = (w + prose(3000 + k, n).split(), w[: 120 - n + 4], w[:40] + prose(5000 + k, n // 2 - 3).split() + w[40 + n // 2 - 3:])[k % 3]
-        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(edit))]
-    rows += [(200 + k, shared + " " + prose(7000 + k, 40)) for k in range(60)]  # a line that many share
-    rows += [(300 + k, " ".join(shared.split() * 2 + [f"end{k}"] * (k % 7))) for k in range(50)]  # a crowd
-    monkeypatch.setattr(similar, "_WORD_SHARE", -9.0)  # one block
-    made = spark.createDataFrame(rows, "doc_id long, text string")
-    want = same_parts(rows)
-    assert {r["id"]: r["component"] for r in similar_groups(made).collect()} == want
-    assert 40 <= sum(want[2 * k + 1] == 2 * k for k in range(60)) < 60
-
-
-def test_similar_texts_of_few_shingles(spark):
-    """Four of five shingles agree, but more bits differ than the quick search admits."""
-    from pagetab.llm import similar
-
-    lanes, rows = similar._lanes(similar.BITS // 64)[::-1].copy(), []
-    for k in range(400):
-        w = prose(20_000 + k, 9).split()
-        h = np.array([similar._WordHashes()[x.encode()] for x in w], np.uint64)
-        a, b = (similar.long_simhash(similar.shingle_hashes(x, 5), lanes) for x in (h[:8], h))
-        if np.bitwise_count(a ^ b).sum() > similar.most_bits(0.8) and len(set(w)) == 9 and len(rows) < 40:
-            rows += [(len(rows), " ".join(w[:8])), (len(rows) + 1, " ".join(w))]
-    got = similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(rows) == 40 and {r["id"]: r["component"] for r in got} == {i: i - i % 2 for i in range(40)}
-
-
 def test_script_of_the_whole_text(spark):
     """Letters between the evenly spread characters count; short texts of byte pieces alone go."""
     records = " ".join("a" + "\u0431\u0432" for _ in range(512))  # every fourth character is a Latin letter

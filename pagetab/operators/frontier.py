@@ -1,10 +1,14 @@
 """Bounded frontier expansion over captured pages, for any number of crawls at once.
 
-A crawl visits URLs first in, first out. Here one *wave* holds every URL first
-admitted while the previous wave was processed, ordered by the place of that
-first mention, so that the waves in sequence are the visiting order. Each wave
-is one Spark job over all crawls that are still open. Crawls with few enough
-links for one task are followed to their end in one job.
+A crawl visits URLs first in, first out, up to a budget of pages and of candidates that its
+policy bounds. Its links may be many more. They are laid out once in buckets by the page
+they start from, and a crawl's buckets are grouped to blocks of about equal size. The
+crawls advance in rounds, all open ones together. A round reads, for each of them, the
+links of the pages that it waits for and the whole blocks that the foremost of these lie
+in. A crawl then follows its queue for as many hops as the links in hand allow, and what
+it still waits for is left to the next round. So a crawl of one block ends in one round
+however deep it is, a wide one needs a round for each level at most, and a round reads
+the buckets that it waits for and the state of the crawls that are still open.
 """
 
 from __future__ import annotations
@@ -12,30 +16,24 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from pagetab.functions.urls import MAX_URL_CHARS, request_url
 from pagetab.operators.classify import BAD_ENCODING, NOT_CAPTURED
 from pagetab.operators.robots import prefix_lengths, robots_verdicts
-from pagetab.sources.shared import written
+from pagetab.sources.shared import dropped, written
 
-# A crawl's new URLs are first thinned out in this many parts, so that ordering
-# them never brings more than SHARDS times the candidate limit to one task.
-SHARDS = 64
+#: Links of one block of a crawl, about, and the blocks that a round reads whole.
+BLOCK, AHEAD = 1 << 16, 8
 
-#: Edges up to which a crawl is followed in one task.
-WHOLE_CRAWL = 200_000
+#: Most candidates that a policy may allow.
+MOST_CANDIDATES = 10_000
 
 #: Columns of a document row.
 DOCUMENT = ("title", "title_missing", "text", "text_truncated", "content_sha256")
 
-_WAVE = (
-    "crawl_id", "url", "request_url", "discovered_from", "depth", "seq", "wave", "blocked", "processed",
-    "aborts", "attempts_before", "page_budget", "max_candidates",
-)
-
-
 def first_mentions(mentions: DataFrame, *carried: str) -> DataFrame:
     """The first mention of every (crawl_id, url) by (parent_seq, pos), with the number of mentions.
 
@@ -49,22 +47,24 @@ def first_mentions(mentions: DataFrame, *carried: str) -> DataFrame:
     )
 
 
-def numbered(rows: DataFrame, limit: Column) -> DataFrame:
+def group_limits(spark: SparkSession, most: int = MOST_CANDIDATES) -> None:
+    """Let the optimizer cut numbered groups to ``most`` rows before they are shuffled; its default stops at 1,000."""
+    name = "spark.sql.optimizer.windowGroupLimitThreshold"
+    if int(spark.conf.get(name)) < most:
+        spark.conf.set(name, str(most))
+
+
+def numbered(rows: DataFrame, limit: Column, most: int = MOST_CANDIDATES) -> DataFrame:
     """Number rows of each crawl from 1 by (parent_seq, pos) and keep those up to ``limit``.
 
-    ``limit`` is a per-crawl column of ``rows``, at most the candidate limit. A
-    row beyond the limit among its own shard cannot be within it overall, so each
-    shard keeps its first rows and only those meet in the crawl's window.
+    ``limit`` is a per-crawl column of ``rows``, at most ``most``. The constant
+    bound lets every task keep a crawl's first ``most`` rows only, before the shuffle, so
+    that a crawl with all rows brings tasks x ``most`` of them to its window.
     """
-    order = ["parent_seq", "pos"]
-    in_shard = F.row_number().over(W.partitionBy("crawl_id", "_shard").orderBy(*order))
-    in_crawl = F.row_number().over(W.partitionBy("crawl_id").orderBy(*order))
-    return (
-        rows.withColumns({"_limit": limit, "_shard": F.pmod(F.xxhash64("url"), F.lit(SHARDS))})
-        .withColumn("rank", in_shard).where(F.col("rank") <= F.col("_limit"))
-        .withColumn("rank", in_crawl).where(F.col("rank") <= F.col("_limit"))
-        .drop("_shard", "_limit")
-    )
+    group_limits(rows.sparkSession, most)
+    in_crawl = F.row_number().over(W.partitionBy("crawl_id").orderBy("parent_seq", "pos"))
+    first = rows.withColumn("_limit", limit).withColumn("rank", in_crawl).where(F.col("rank") <= most)
+    return first.where(F.col("rank") <= F.col("_limit")).drop("_limit")
 
 
 def cap_candidates(firsts: DataFrame) -> DataFrame:
@@ -116,160 +116,162 @@ def edges(links: DataFrame, outcomes: DataFrame) -> DataFrame:
     return from_links.unionByName(from_redirects)
 
 
-def _seeds(starts: DataFrame) -> DataFrame:
-    return starts.select(
-        "crawl_id",
-        F.col("start_url").alias("url"),
-        F.lit(None).cast("string").alias("discovered_from"),
-        F.lit(0).alias("depth"),
-        F.lit(1).cast("bigint").alias("seq"),
-        F.lit(0).cast("bigint").alias("attempts_before"),
-        page_budget(F.col("max_pages"), F.col("max_requests")).alias("page_budget"),
-        "max_candidates",
-    )
-
-
-def _finished(candidates: DataFrame, rules: DataFrame, lengths: DataFrame, wave: int) -> DataFrame:
-    judged = robots_verdicts(candidates, rules, lengths).withColumns(
-        {"blocked": ~F.col("allowed"), "request_url": request_url("url"), "wave": F.lit(wave)}
-    )
-    return spend_budget(judged).select(*_WAVE)
+#: Rows of a crawl's queue as they are kept between rounds.
+_QUEUE = {
+    "crawl_id": "string", "url": "string", "request_url": "string", "discovered_from": "string", "depth": "int", "seq": "bigint",
+    "wave": "int", "blocked": "boolean", "processed": "boolean", "aborts": "boolean", "page_budget": "int", "max_candidates": "int",
+    "blocks": "bigint", "open": "boolean", "waits": "boolean",
+}
+_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
+_STATE = pa.schema([(n, _ARROW[t]) for n, t in _QUEUE.items()])
 
 
-def _followed(wave: DataFrame) -> DataFrame:
-    return wave.where(F.col("processed") & ~F.col("blocked") & ~F.col("aborts"))
+def _block(page_url: str) -> Column:
+    """The block of a page: the last bits of its hash, as many as its crawl has blocks for."""
+    return F.pmod(F.xxhash64(page_url), F.col("blocks"))
 
 
-def _bucket(page_url: str, buckets: int) -> Column:
-    return F.pmod(F.xxhash64("crawl_id", page_url), F.lit(buckets)).cast("int")
+def _blocks(links: DataFrame, block: int) -> DataFrame:
+    """(crawl_id, blocks): into how many blocks a crawl's links are divided, a power of two."""
+    powers = F.ceil(F.log2(F.greatest(F.col("n") / F.lit(block), F.lit(1.0)))).cast("int")
+    return links.groupBy("crawl_id").agg(F.count(F.lit(1)).alias("n")).select(
+        "crawl_id", F.pow(F.lit(2.0), powers).cast("bigint").alias("blocks"))
 
 
-def _expand_in_waves(starts: DataFrame, rules: DataFrame, lengths: DataFrame, edge_rows: DataFrame, folder: str, buckets: int) -> DataFrame:
-    """``expand`` for crawls of any size, one job per wave.
+def _waiting(state: DataFrame, ahead: int) -> DataFrame:
+    """What each open crawl waits for: (crawl_id, blocks, pages, whole), the last being the ``ahead`` blocks to read whole.
 
-    Every wave is written below ``folder`` and read back, so a lost executor
-    costs one wave's work at most. The edges are written once in ``buckets``
-    folders by the page they start from; a wave reads only the buckets that hold
-    pages it reached, so late waves of a few open crawls read little.
+    Those are the blocks of the foremost pages, and if there are fewer the blocks after
+    the first of them. The arrays are bounded by the page budget.
     """
-    spark = starts.sparkSession
-    table = written(
-        edge_rows.withColumn("bucket", _bucket("src_url", buckets)), f"{folder}/edges", partition_by="bucket"
+    waits = F.sort_array(F.collect_list(F.when(F.col("waits"), F.struct("seq", _block("request_url").alias("b")))))
+    return (
+        state.where("open").groupBy("crawl_id")
+        .agg(F.first("blocks").alias("blocks"), F.collect_set(F.when(F.col("waits"), F.col("request_url"))).alias("pages"), waits.alias("w"))
+        .select("crawl_id", "blocks", "pages", F.col("w.b").alias("b"))
+        .withColumn("next", F.transform(F.sequence(F.lit(0), F.lit(ahead - 1)), lambda k: F.pmod(F.element_at("b", 1) + k, F.col("blocks"))))
+        .where(F.size("b") > 0)
+        .select("crawl_id", "blocks", "pages", F.slice(F.array_distinct(F.concat("b", "next")), 1, ahead).alias("whole"))
     )
-    paths = [f"{folder}/wave-0"]
-    last = written(_finished(_seeds(starts), rules, lengths, 0), paths[0])
-    while True:
-        # At most ``buckets`` small numbers: where the links of the pages just reached are.
-        live = [r[0] for r in _followed(last).select(_bucket("request_url", buckets)).distinct().collect()]
-        if not live:
-            break
-        state = last.groupBy("crawl_id").agg(
-            F.max("seq").alias("taken"),
-            (F.first("attempts_before") + F.count_if(F.col("processed") & ~F.col("blocked"))).alias("attempts_before"),
-            # Nothing is requested after an aborted crawl.
-            F.when(F.max("aborts"), F.lit(0)).otherwise(F.first("page_budget")).alias("page_budget"),
-            F.first("max_candidates").alias("max_candidates"),
-        )
-        parents = _followed(last).select(
-            "crawl_id", F.col("request_url").alias("src_url"), F.col("seq").alias("parent_seq"), "depth"
-        )
-        mentions = (
-            table.where(F.col("bucket").isin(live))
-            .join(parents.drop("depth"), ["crawl_id", "src_url"])
-        )
-        # One scan over all waves so far, so that plans do not grow with the number of waves.
-        seen = spark.read.schema(last.schema).parquet(*paths).select("crawl_id", "url")
-        fresh = first_mentions(mentions, "deeper").join(seen, ["crawl_id", "url"], "left_anti")
-        admitted = (
-            cap_candidates(fresh.join(state, "crawl_id"))
-            .join(parents.withColumnRenamed("src_url", "discovered_from"), ["crawl_id", "parent_seq"])
-            .withColumn("depth", F.col("depth") + F.col("deeper"))
-            .drop("parent_seq", "pos", "deeper", "mentions", "taken")
-        )
-        paths.append(f"{folder}/wave-{len(paths)}")
-        last = written(_finished(admitted, rules, lengths, len(paths) - 1), paths[-1])
-    return spark.read.schema(last.schema).parquet(*paths)
 
 
-def _follow(start: dict, targets: dict[str, tuple[bool, str]], links: dict[str, list[tuple]]) -> list[dict]:
-    """One crawl, first in, first out: a row for each admitted candidate.
-
-    ``targets``: (blocked, request URL) by URL; ``links``: (url, deeper) by page, in order.
-    """
-    queue = [{**start, "wave": 0}]
-    seen, attempts, stopped = {start["url"]}, start["attempts_before"], False
-    for row in queue:  # grows while it is read
-        row["blocked"], row["request_url"] = targets[row["url"]]
-        row["processed"] = attempts < row["page_budget"] and not stopped
-        row["aborts"] = row["processed"] and not row["blocked"] and len(row["request_url"]) > MAX_URL_CHARS
-        if not row["processed"] or row["blocked"]:
-            continue
-        attempts += 1
-        stopped |= row["aborts"]
-        if row["aborts"]:
-            continue
-        for url, deeper in links.get(row["request_url"], ()):
-            if url not in seen and len(queue) < start["max_candidates"]:
-                seen.add(url)
-                queue.append({
-                    **start, "url": url, "discovered_from": row["request_url"], "depth": row["depth"] + deeper,
-                    "seq": len(queue) + 1, "wave": row["wave"] + 1,
-                })
-    return queue
-
-
-def _expand_whole(starts: DataFrame, rules: DataFrame, lengths: DataFrame, edge_rows: DataFrame) -> DataFrame:
-    """``expand`` for crawls of at most ``WHOLE_CRAWL`` edges: a crawl is one group, however many levels it has."""
-    seeds = _seeds(starts)
-    targets = (
-        edge_rows.select("crawl_id", "url").unionByName(seeds.select("crawl_id", "url")).distinct()
-    )
-    judged = robots_verdicts(targets, rules, lengths).select(
-        "crawl_id", "url", (~F.col("allowed")).alias("blocked"), request_url("url").alias("request_url"))
-    columns = {f.name: f for f in seeds.schema.fields}
-    names = [c for c in columns if c != "crawl_id"]
-    none = {n: F.lit(None).cast(columns[n].dataType).alias(n) for n in names}
-    # one table of three kinds of rows: the start, judged URLs, edges
-    both = (
-        seeds.select("crawl_id", F.lit(0).alias("_part"), *names, *(F.lit(None).cast(t).alias(n) for n, t in _EXTRA))
-        .unionByName(judged.select(
-            "crawl_id", F.lit(1).alias("_part"), "url", *(none[n] for n in names if n != "url"), F.lit(None).cast("string").alias("src_url"),
-            F.lit(None).cast("bigint").alias("pos"), F.lit(None).cast("int").alias("deeper"), "blocked", "request_url"))
-        .unionByName(edge_rows.select(
-            "crawl_id", F.lit(2).alias("_part"), "url", *(none[n] for n in names if n != "url"), "src_url", "pos", "deeper",
-            F.lit(None).cast("boolean").alias("blocked"), F.lit(None).cast("string").alias("request_url")))
-    )
+def _live(waiting: DataFrame, buckets: int) -> list[int]:
+    """The buckets that hold what is waited for: at most ``buckets`` numbers."""
+    pages = waiting.select(F.explode("pages").alias("page")).select(F.pmod(F.xxhash64("page"), F.lit(buckets)).alias("b"))
+    step = F.least(F.col("blocks"), F.lit(buckets)).alias("step")
+    whole = waiting.select(step, F.explode("whole").alias("b")).select(
+        F.explode(F.sequence(F.pmod(F.col("b"), F.lit(buckets)), F.lit(buckets - 1).cast("bigint"), F.col("step"))).alias("b"))
+    return sorted(r[0] for r in pages.unionByName(whole).distinct().collect())
+
+
+def _in_hand(page_url: str) -> Column:
+    return F.array_contains("whole", _block(page_url)) | F.array_contains("pages", F.col(page_url))
+
+
+class _Queue:
+    """One crawl in a round: its queue so far, and its links in hand. URLs are numbers here."""
+
+    def __init__(self, state: pa.Table, judged: pa.Table, links: pa.Table):
+        texts = pa.chunked_array([
+            c for t, names in ((state, ("url", "request_url")), (judged, ("url", "request_url")), (links, ("url", "src_url"))) for n in names
+            for c in t[n].chunks], pa.string())
+        coded = texts.combine_chunks().dictionary_encode()
+        self.names = coded.dictionary
+        parts = np.split(coded.indices.to_numpy(), np.cumsum([len(state)] * 2 + [len(judged)] * 2 + [len(links)])[:5])
+        urls, asked, target, target_asked, link_to, link_from = parts
+        n = len(self.names)
+        self.request, self.blocked, self.ready = np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool)
+        for url, request, table in ((target, target_asked, judged), (urls, asked, state)):
+            self.request[url] = request
+            self.blocked[url] = table["blocked"].to_numpy()
+            self.ready[request] = table["ready"].to_numpy()
+        order = np.lexsort((links["deeper"].to_numpy(), links["pos"].to_numpy(), link_from))
+        self.to, self.deeper = link_to[order], links["deeper"].to_numpy()[order]
+        self.ends = np.searchsorted(link_from[order], np.arange(n + 1))
+        self.too_long = np.array([len(x) > MAX_URL_CHARS for x in self.names.to_pylist()], bool)
+        self.state, self.budget, self.most = state, state["page_budget"][0].as_py(), state["max_candidates"][0].as_py()
+        self.queue = urls.tolist()
+        self.seen = np.zeros(n, bool)
+        self.seen[urls] = True
+        self.parent, self.depth, self.wave = [-1] * len(urls), state["depth"].to_pylist(), state["wave"].to_pylist()
+
+    def expand(self, at: int) -> None:
+        """Queue the new targets of the page at this place, in the order of its links."""
+        page = self.request[self.queue[at]]
+        links = slice(self.ends[page], self.ends[page + 1])
+        fresh = np.flatnonzero(~self.seen[self.to[links]]) + links.start
+        _, first = np.unique(self.to[fresh], return_index=True)
+        fresh = fresh[np.sort(first)][: self.most - len(self.queue)]
+        found = self.to[fresh]
+        self.seen[found] = True
+        self.queue += found.tolist()
+        self.parent += [int(page)] * len(found)
+        self.depth += (self.depth[at] + self.deeper[fresh]).tolist()
+        self.wave += [self.wave[at] + 1] * len(found)
+
+    def advance(self) -> pa.Table:
+        """Visit the queue while the budget lasts and links are in hand; the rows as they are then."""
+        old = len(self.state)
+        done = self.state["processed"].to_numpy().tolist()
+        at = done.index(False) if False in done else old
+        attempts = at - int(self.state["blocked"].to_numpy()[:at].sum())
+        aborted, is_open = None, False
+        while at < len(self.queue) and attempts < self.budget and aborted is None:
+            url = self.queue[at]
+            if not self.blocked[url]:
+                page = self.request[url]
+                if self.too_long[page]:
+                    aborted = at
+                elif not self.ready[page]:
+                    is_open = True
+                    break
+                else:
+                    self.expand(at)
+                attempts += 1
+            at += 1
+        n = len(self.queue)
+        urls = np.array(self.queue)
+        blocked, request = self.blocked[urls], self.request[urls]
+        later = np.arange(n) >= at
+        upto = np.cumsum(later & ~blocked) <= self.budget - attempts
+        waits = later & ~blocked & upto & is_open  # also what is in hand now, as it will not be then
+        parents = self.names.take(pa.array([p if p >= 0 else None for p in self.parent], pa.int64()))
+        known = self.state["discovered_from"].combine_chunks()
+        same = lambda name: pa.array([self.state[name][0].as_py()] * n, _STATE.field(name).type)
+        columns = {
+            "crawl_id": same("crawl_id"), "url": self.names.take(pa.array(urls)), "request_url": self.names.take(pa.array(request)),
+            "discovered_from": pa.concat_arrays([known, parents.slice(old)]), "depth": self.depth, "seq": np.arange(1, n + 1), "wave": self.wave,
+            "blocked": blocked, "processed": ~later, "aborts": np.arange(n) == (-1 if aborted is None else aborted),
+            "page_budget": same("page_budget"), "max_candidates": same("max_candidates"), "blocks": same("blocks"),
+            "open": np.full(n, is_open), "waits": waits,
+        }
+        return pa.table([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name] for f in _STATE], schema=_STATE)
+
+
+def _round(state: DataFrame, waiting: DataFrame, links: DataFrame, rules: DataFrame, lengths: DataFrame) -> DataFrame:
+    """The rows of the open crawls after a round: each crawl follows its queue through the links in hand."""
+    whose = waiting.select("crawl_id", "blocks", "pages", "whole")
+    judged = robots_verdicts(links.select("crawl_id", "url").distinct(), rules, lengths).select(
+        "crawl_id", "url", request_url("url").alias("request_url"), (~F.col("allowed")).alias("blocked"))
+    judged = judged.join(whose, "crawl_id").select("crawl_id", "url", "request_url", "blocked", _in_hand("request_url").alias("ready"))
+    known = state.where("open").join(whose.drop("blocks"), "crawl_id").select(*_QUEUE, _in_hand("request_url").alias("ready"))
+    # one table of three kinds of rows, so that a crawl's rows meet in one shuffle
+    kinds = known.withColumn("part", F.lit(0)).unionByName(
+        judged.withColumn("part", F.lit(1)), allowMissingColumns=True).unionByName(
+        links.withColumn("part", F.lit(2)), allowMissingColumns=True)
 
     def run(table: pa.Table) -> pa.Table:
-        part = table["_part"].to_numpy()
-        start = table.filter(pa.array(part == 0)).select(["crawl_id", *names]).to_pylist()
-        if not start:
-            return _FOUND.empty_table()
-        known = table.filter(pa.array(part == 1)).select(["url", "blocked", "request_url"]).to_pylist()
-        linked = table.filter(pa.array(part == 2)).select(["src_url", "pos", "url", "deeper"]).sort_by(
-            [("src_url", "ascending"), ("pos", "ascending"), ("deeper", "ascending"), ("url", "ascending")])
-        links: dict[str, list[tuple]] = {}
-        for e in linked.to_pylist():
-            links.setdefault(e["src_url"], []).append((e["url"], e["deeper"]))
-        rows = _follow(start[0], {k["url"]: (k["blocked"], k["request_url"]) for k in known}, links)
-        return pa.Table.from_pylist(rows, schema=_FOUND)
-
-    found = both.groupBy("crawl_id").applyInArrow(run, ", ".join(f"{n} {t}" for n, t in _FOUND_TYPES))
-    return found.select(*_WAVE)
-
-
-_EXTRA = (("src_url", "string"), ("pos", "bigint"), ("deeper", "int"), ("blocked", "boolean"), ("request_url", "string"))
-_FOUND_TYPES = (
-    ("crawl_id", "string"), ("url", "string"), ("request_url", "string"), ("discovered_from", "string"), ("depth", "int"), ("seq", "bigint"),
-    ("wave", "int"), ("blocked", "boolean"), ("processed", "boolean"), ("aborts", "boolean"), ("attempts_before", "bigint"),
-    ("page_budget", "int"), ("max_candidates", "int"),
-)
-_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
-_FOUND = pa.schema([(n, _ARROW[t]) for n, t in _FOUND_TYPES])
+        part = table["part"].to_numpy()
+        known, judged, links = (table.filter(pa.array(part == k)) for k in range(3))
+        if not len(known):
+            return _STATE.empty_table()
+        return _Queue(known.sort_by("seq"), judged, links.sort_by("url")).advance()
+
+    return kinds.groupBy("crawl_id").applyInArrow(run, ", ".join(f"{n} {t}" for n, t in _QUEUE.items()))
 
 
 def expand(
-    starts: DataFrame, prefixes: DataFrame, edge_rows: DataFrame, folder: str, buckets: int = 16, whole_crawl: int = WHOLE_CRAWL
+    starts: DataFrame, prefixes: DataFrame, edge_rows: DataFrame, folder: str, buckets: int = 16, block: int = BLOCK, ahead: int = AHEAD
 ) -> DataFrame:
     """All admitted candidates of all crawls in visiting order.
 
@@ -278,21 +280,46 @@ def expand(
     the result: crawl_id, url, request_url, discovered_from, depth, seq, wave,
     blocked (by robots), processed (the budget reached it), aborts, ...
 
-    A crawl of at most ``whole_crawl`` edges is followed to its end in one task, so
-    that a long chain of pages costs no job for each page. Larger crawls go in waves,
-    each a job over all of them. Both give the same rows.
+    The links are laid out in ``buckets`` (a power of two) folders by the hash of the page they
+    start from. A block is what ends in some bits of the same hash, so it lies in
+    known buckets. In a round a crawl has in hand ``ahead`` blocks of about ``block``
+    links each and the links of the pages that it waits for, of which its budget
+    allows a thousand or so, and its queue, which the candidate limit bounds.
+
+    Every round is a table in ``folder``, so a lost executor costs one round's work at
+    most. A round reads the rows of the crawls that were open before it, no earlier ones.
     """
+    if buckets & (buckets - 1):
+        raise ValueError("the number of buckets is a power of two")
+    spark = starts.sparkSession
     rules = written(prefixes, f"{folder}/prefixes")
     lengths = written(prefix_lengths(rules), f"{folder}/prefix-lengths")
-    table = written(edge_rows.join(starts.select("crawl_id"), "crawl_id", "left_semi"), f"{folder}/all-edges")
-    large = table.groupBy("crawl_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > whole_crawl).select("crawl_id")
-    large = written(large, f"{folder}/large")
-    rest = [x.join(large, "crawl_id", "left_anti") for x in (starts, table)]
-    found = written(_expand_whole(rest[0], rules, lengths, rest[1]), f"{folder}/whole")
-    if large.isEmpty():
-        return found
-    some = [x.join(large, "crawl_id", "left_semi") for x in (starts, table)]
-    return found.unionByName(_expand_in_waves(some[0], rules, lengths, some[1], folder, buckets))
+    table = written(
+        edge_rows.join(starts.select("crawl_id"), "crawl_id", "left_semi").withColumn("bucket", F.pmod(F.xxhash64("src_url"), F.lit(buckets))),
+        f"{folder}/edges", partition_by="bucket")
+    seeds = starts.select("crawl_id", F.col("start_url").alias("url"), "max_candidates", page_budget(F.col("max_pages"), F.col("max_requests")).alias("page_budget"))
+    first = robots_verdicts(seeds, rules, lengths).join(_blocks(table, block), "crawl_id", "left").withColumns({
+        "request_url": request_url("url"), "discovered_from": F.lit(None), "depth": F.lit(0), "seq": F.lit(1), "wave": F.lit(0),
+        "blocked": ~F.col("allowed"), "processed": F.lit(False), "aborts": F.lit(False), "blocks": F.coalesce("blocks", F.lit(1)),
+        "open": F.lit(True), "waits": F.lit(True),
+    })
+    paths = [f"{folder}/round-0"]
+    state = written(first.select(*(F.col(n).cast(t).alias(n) for n, t in _QUEUE.items())), paths[0])
+    while True:
+        n = len(paths)
+        waiting = written(_waiting(state, ahead), f"{folder}/waiting-{n}")
+        live = _live(waiting, buckets)
+        if not live:
+            break
+        links = (
+            table.where(F.col("bucket").isin(live)).join(waiting, "crawl_id").where(_in_hand("src_url"))
+            .select("crawl_id", "src_url", "pos", "url", "deeper")
+        )
+        links = written(links, f"{folder}/links-{n}")
+        paths.append(f"{folder}/round-{n}")
+        state = written(_round(state, waiting, links, rules, lengths), paths[-1])
+        dropped(spark, f"{folder}/links-{n}", f"{folder}/waiting-{n}")
+    return spark.read.schema(state.schema).parquet(*paths).where("NOT open").drop("open", "waits", "blocks")
 
 
 def crawl_records(frontier: DataFrame, outcomes: DataFrame, pages: DataFrame, gates: DataFrame) -> DataFrame:
@@ -342,7 +369,7 @@ def crawl_records(frontier: DataFrame, outcomes: DataFrame, pages: DataFrame, ga
 
 def reached_documents(frontier: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Key and redirect target of every requested page that is a document or an in-scope redirect."""
-    reached = _followed(frontier).select("crawl_id", F.col("request_url").alias("url"))
+    reached = frontier.where(F.col("processed") & ~F.col("blocked") & ~F.col("aborts")).select("crawl_id", F.col("request_url").alias("url"))
     return (
         reached.join(outcomes, ["crawl_id", "url"])
         .where((F.col("kind") == "document") | F.col("redirect_to").isNotNull())

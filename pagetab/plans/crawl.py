@@ -81,7 +81,7 @@ def crawl(
     folder: str | None = None,
     user_agent: str = rb.USER_AGENT,
     buckets: int = 16,
-    whole_crawl: int = fr.WHOLE_CRAWL,
+    block: int = fr.BLOCK,
 ) -> CrawlRun:
     """Run all crawls over their captured responses.
 
@@ -89,8 +89,8 @@ def crawl(
     base_href, pos, href). ``encoded`` tells whether bodies still carry their
     content encoding. Tables that are read more than once are written below
     ``folder``, by default a new folder in the cluster's shared one. ``buckets``
-    sets how finely the links are laid out; use about one per gigabyte of links.
-    ``whole_crawl``: see ``expand``.
+    (a power of two) sets how finely the links are laid out; use about one per gigabyte
+    of links. ``block``: see ``expand``.
     """
     folder = folder or shared_folder(responses.sparkSession)
     gates, prefixes = gate_crawls(policies, robots, folder, user_agent)
@@ -98,7 +98,7 @@ def crawl(
     slim = parsed.drop("title", "text", "base_href", "hrefs", "content_sha256", "title_missing", "text_truncated")
     outcomes = written(first_captures(classify(slim)), f"{folder}/outcomes")
     links = written(_decided(parsed, anchors, outcomes.where(F.col("kind") == "document")), f"{folder}/links")
-    frontier = fr.expand(gates.where(may_start()), prefixes, fr.edges(links, outcomes), folder, buckets, whole_crawl)
+    frontier = fr.expand(gates.where(may_start()), prefixes, fr.edges(links, outcomes), folder, buckets, block)
     records = written(fr.crawl_records(frontier, outcomes, parsed, gates), f"{folder}/records")
     reached = written(fr.reached_documents(frontier, outcomes), f"{folder}/reached")
     ends = reached.where(F.col("redirect_to").isNull()).select("crawl_id", F.col("url").alias("src_url"), "capture_id")

@@ -17,12 +17,21 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder for one run, below the folder named by ``spark.checkpoint.dir``."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         root = tempfile.mkdtemp(prefix="pagetab-")
     return f"{root.rstrip('/')}/pagetab-{uuid.uuid4().hex}"
 
 
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as a new Parquet table and return the table.
 

@@ -1,12 +1,13 @@
 """Random sites against a plain first-in first-out visit."""
 
+import os
 import random
 from collections import Counter, deque
 
 import pytest
 from pyspark.sql import functions as F
 
-from pagetab.operators.frontier import WHOLE_CRAWL, first_mentions, numbered
+from pagetab.operators.frontier import BLOCK, expand, first_mentions, numbered
 
 from sites import ORIGIN, page, run
 
@@ -87,12 +88,12 @@ def visit(routes, limits):
     return records, dict(excluded), attempts, len(waiting), stop or ("max_candidates" if full else "frontier_exhausted")
 
 
-@pytest.mark.parametrize("whole_crawl", [0, 25, WHOLE_CRAWL])
-def test_random_sites(spark, whole_crawl):
-    """In waves, in one task for each crawl, and with both in one run."""
+@pytest.mark.parametrize("block", [1, 10, BLOCK])
+def test_random_sites(spark, block):
+    """Blocks of a link or so, of some pages, and of whole sites."""
     rnd = random.Random(17)
     sites = {f"s{i}": random_site(rnd) for i in range(400)}
-    ran = run(spark, sites, whole_crawl=whole_crawl)
+    ran = run(spark, sites, block=block)
     records = {}
     for r in ran.records.orderBy("crawl_id", "seq").collect():
         records.setdefault(r.crawl_id, []).append((r.url.removeprefix(ORIGIN), r.kind, r.depth))
@@ -115,3 +116,56 @@ def test_numbering_a_hot_crawl(spark):
     want = sorted((v, u) for u, v in best.items())[:1000]
     assert [((r.parent_seq, r.pos), r.url, r.rank) for r in got] == [(v, u, i + 1) for i, (v, u) in enumerate(want)]
     assert sum(r.mentions for r in firsts.collect()) == 50_000
+
+
+def test_numbered_crawls_are_cut_before_the_shuffle(spark):
+    rows = spark.range(1000).selectExpr("concat('c', id % 2) AS crawl_id", "id AS parent_seq", "id AS pos")
+    plan = numbered(rows, F.lit(5))._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.index("Final") < plan.index("Exchange") < plan.index("Partial")
+
+
+def links(spark, rows):
+    return spark.createDataFrame(rows, "crawl_id string, src_url string, pos long, url string, deeper int")
+
+
+def starts(spark, crawls, most=10_000):
+    return spark.createDataFrame([(c, f"{ORIGIN}/0", 1000, 2000, most) for c in crawls], "crawl_id string, start_url string, max_pages int, max_requests int, max_candidates int")
+
+
+NO_RULES = "crawl_id string, prefix string, seq int, allow boolean"
+
+
+def test_long_chain_of_pages_with_many_links(spark, tmp_path):
+    """1,000 pages in a line, each with 220 links beside: more than the links of a block, and a job for each page would take long."""
+    side = spark.range(1000).selectExpr("id", "explode(sequence(0, 219)) AS k")
+    rows = side.selectExpr(
+        "'long' AS crawl_id", f"concat('{ORIGIN}/', id) AS src_url", "CAST(k AS long) AS pos",
+        f"CASE WHEN k = 110 THEN concat('{ORIGIN}/', id + 1) ELSE concat('{ORIGIN}/x', (id * 7 + k) % 2000) END AS url", "1 AS deeper")
+    found = expand(starts(spark, ["long"]), spark.createDataFrame([], NO_RULES), rows, str(tmp_path))
+    got = {r.url: r for r in found.collect()}
+    queue, known = [f"{ORIGIN}/0"], {f"{ORIGIN}/0"}
+    for at, url in enumerate(queue):
+        name = url.removeprefix(ORIGIN + "/")
+        if at < 1000 and not name.startswith("x") and int(name) < 1000:
+            for k in range(220):
+                to = f"{ORIGIN}/{int(name) + 1}" if k == 110 else f"{ORIGIN}/x{(int(name) * 7 + k) % 2000}"
+                if to not in known and len(queue) < 10_000:
+                    known.add(to)
+                    queue.append(to)
+    assert sorted(got, key=lambda u: got[u].seq) == queue and sum(r.processed for r in got.values()) == 1000
+
+
+def test_a_round_reads_what_it_waits_for(spark, tmp_path):
+    """Wide crawls of several blocks: as many rounds as levels at most, later rounds without the crawls that have ended."""
+    rows = [("wide", f"{ORIGIN}/0", i, f"{ORIGIN}/a{i}", 1) for i in range(300)]
+    rows += [("wide", f"{ORIGIN}/a{i}", k, f"{ORIGIN}/b{(i * 31 + k) % 900}", 1) for i in range(300) for k in range(20)]
+    rows += [("wide", f"{ORIGIN}/b{i}", 0, f"{ORIGIN}/c{i}", 1) for i in range(900)]
+    rows += [("small", f"{ORIGIN}/0", 0, f"{ORIGIN}/1", 1)]
+    got = [
+        expand(starts(spark, ["wide", "small", "none"]), spark.createDataFrame([], NO_RULES), links(spark, rows), f"{tmp_path}/{b}", block=b, ahead=1)
+        for b in (64, 1 << 20)]
+    one, two = ({(r.crawl_id, r.url): (r.seq, r.depth, r.discovered_from, r.processed, r.wave) for r in g.collect()} for g in got)
+    assert one == two and {k: sum(c == k for c, _ in one) for k in ("wide", "small", "none")} == {"wide": 1851, "small": 2, "none": 1}
+    rounds = [spark.read.parquet(f"{tmp_path}/64/round-{k}") for k in range(1, 1 + sum(x.startswith("round-") for x in os.listdir(f"{tmp_path}/64")) - 1)]
+    assert 2 <= len(rounds) <= 4
+    assert {r.crawl_id for r in rounds[-1].collect()} == {"wide"}

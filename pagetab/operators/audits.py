@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pagetab.functions.urls import admit
+from pagetab.sources.shared import shared_folder, written
 
 _MICROS = 1_000_000
 
@@ -36,26 +37,38 @@ def scope_violations(requests: DataFrame, policies: DataFrame) -> DataFrame:
     )
 
 
-def request_gaps(requests: DataFrame, span_seconds: int = 3600) -> DataFrame:
-    """Add ``gap`` in seconds to the previous request of the same crawl (by time, then request_id).
+def laid_out(requests: DataFrame, folder: str, parts: int | None = None) -> DataFrame:
+    """The ledger as a table in ``parts`` (by default the shuffle partitions) ranges of about equal row count.
 
-    A crawl's requests are cut into spans of time, so that one busy crawl is
-    sorted by many tasks. The first request of a span takes the last time of the
-    crawl's previous span, found among one row per span.
+    Ranges follow crawl, time and request_id, so that a crawl of any share of the
+    rows, or a single busy second of it, is spread over as many ranges as its rows fill. Adds ``_micros``
+    and the number of the range, ``_part``.
     """
+    parts = parts or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     timed = requests.withColumn("_micros", F.round(F.col("time") * _MICROS).cast("bigint"))
-    spanned = timed.withColumn("_span", F.floor(F.col("_micros") / (span_seconds * _MICROS)))
-    keys = ["crawl_id", "_span"]
+    ranged = timed.repartitionByRange(parts, "crawl_id", "_micros", "request_id")
+    return written(ranged.withColumn("_part", F.spark_partition_id()), f"{folder}/ledger")
+
+
+def request_gaps(requests: DataFrame, folder: str | None = None, parts: int | None = None) -> DataFrame:
+    """Add ``gap`` in seconds to the previous request of the same crawl (by time, then request_id).
+
+    The ledger is sorted within ranges of equal row count (see ``laid_out``), a table below ``folder``, by
+    default the cluster's shared one. The first request of a crawl in a range takes the
+    last time of the crawl's range before, found among one row per crawl and range.
+    """
+    ledger = laid_out(requests, folder or shared_folder(requests.sparkSession), parts)
+    keys = ["crawl_id", "_part"]
     edges = (
-        spanned.groupBy(*keys).agg(F.max("_micros").alias("_last"))
-        .withColumn("_carried", F.lag("_last").over(W.partitionBy("crawl_id").orderBy("_span")))
+        ledger.groupBy(*keys).agg(F.max("_micros").alias("_last"))
+        .withColumn("_carried", F.lag("_last").over(W.partitionBy("crawl_id").orderBy("_part")))
         .drop("_last")
     )
     inside = F.lag("_micros").over(W.partitionBy(*keys).orderBy("_micros", "request_id"))
     return (
-        spanned.join(edges, keys)
-        .withColumn("gap", (F.col("_micros") - F.coalesce(inside, F.col("_carried"))) / F.lit(_MICROS))
-        .drop("_micros", "_span", "_carried")
+        ledger.withColumn("_inside", inside).join(edges, keys)
+        .withColumn("gap", (F.col("_micros") - F.coalesce("_inside", "_carried")) / F.lit(_MICROS))
+        .drop("_micros", "_part", "_inside", "_carried")
     )
 
 

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pagetab.functions.reuse import reusable
 from pagetab.functions.urls import let, normalize_url, url_origin
@@ -49,6 +48,28 @@ NOT_GLOBAL_V4 = (
 )
 GLOBAL_V4_EXCEPTIONS = ("192.0.0.9/32", "192.0.0.10/32")
 
+# The same for IPv6.
+NOT_GLOBAL_V6 = (
+    "::/128",
+    "::1/128",
+    "::ffff:0:0/96",
+    "64:ff9b:1::/48",
+    "100::/64",
+    "2001::/23",
+    "2001:db8::/32",
+    "2002::/16",
+    "fc00::/7",
+    "fe80::/10",
+)
+GLOBAL_V6_EXCEPTIONS = (
+    "2001:1::1/128",
+    "2001:1::2/128",
+    "2001:3::/32",
+    "2001:4:112::/48",
+    "2001:20::/28",
+    "2001:30::/28",
+)
+
 GLOBAL, LOOPBACK, NOT_GLOBAL = "global", "loopback", "not_global"
 
 
@@ -70,24 +91,15 @@ def _in_networks(number: Column, networks: tuple[str, ...]) -> Column:
     return found
 
 
-@F.pandas_udf(T.StringType())
-def _ipv6_class(hosts: pd.Series) -> pd.Series:
-    def judge(host: str | None) -> str | None:
-        if host is None:
-            return None
-        try:
-            address = ipaddress.IPv6Address(host)
-        except ValueError:
-            return None
-        return GLOBAL if address.is_global else LOOPBACK if address.is_loopback else NOT_GLOBAL
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 
-    return hosts.map(judge, na_action="ignore").astype(object).where(hosts.notna(), None)
+
+def _dotted_number(dotted: Column) -> Column:
+    return F.aggregate(F.split(dotted, r"\."), F.lit(0).cast("bigint"), lambda n, part: n * 256 + part.cast("bigint"))
 
 
 def _ipv4_class(plain: Column) -> Column:
     """Class of a dotted IPv4 literal, null for any other name; networks are number ranges."""
-    octet = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-    number = F.aggregate(F.split(plain, r"\."), F.lit(0).cast("bigint"), lambda n, part: n * 256 + part.cast("bigint"))
 
     def judge(n: Column) -> Column:
         private = _in_networks(n, NOT_GLOBAL_V4) & ~_in_networks(n, GLOBAL_V4_EXCEPTIONS)
@@ -95,19 +107,71 @@ def _ipv4_class(plain: Column) -> Column:
             F.when(_in_networks(n, ("127.0.0.0/8",)), F.lit(LOOPBACK)).when(private, F.lit(NOT_GLOBAL)).otherwise(F.lit(GLOBAL))
         )
 
-    return F.when(plain.rlike(rf"\A{octet}(?:\.{octet}){{3}}\z"), let(number, judge))
+    return F.when(plain.rlike(rf"\A{_OCTET}(?:\.{_OCTET}){{3}}\z"), let(_dotted_number(plain), judge))
 
 
-@reusable
-def host_class(normalized: Column) -> Column:
-    """localhost, name, global, loopback or not_global for the host of a normalised URL.
+def _ipv6_digits(literal: Column) -> Column:
+    """The 32 hexadecimal digits of an IPv6 literal, null for any other text.
 
-    Only bracketed literals reach Python.
+    A zone after ``%`` says nothing about the address. A dotted end stands for two
+    groups, ``::`` for as many groups of zeros as are missing, one at least.
     """
+    group, zone = "[0-9a-f]{1,4}", r"\A([^%/]*)(?:%[^%/]+)?\z"
+    bare = F.lower(F.regexp_extract(literal, zone, 1))
+    tail = F.regexp_extract(bare, rf"(?<=:)({_OCTET}(?:\.{_OCTET}){{3}})\z", 1)
+
+    def hexed(number: Column) -> Column:
+        return F.concat_ws(":", F.lower(F.hex(F.floor(number / 65536).cast("bigint"))), F.lower(F.hex(number % 65536)))
+
+    plain = F.when(tail == "", bare).otherwise(
+        F.concat(F.left(bare, F.length(bare) - F.length(tail)), let(_dotted_number(tail), hexed)))
+
+    def groups(text: Column) -> Column:
+        return F.filter(F.split(text, ":"), lambda g: g != "")
+
+    def filled(text: Column) -> Column:
+        before, after = groups(F.substring_index(text, "::", 1)), groups(F.substring_index(text, "::", -1))
+        missing = F.lit(8) - F.size(before) - F.size(after)
+        short = F.when(missing >= 1, F.concat(before, F.array_repeat(F.lit("0"), missing), after))
+        whole = text.rlike(rf"\A{group}(?::{group}){{7}}\z")
+        cut = text.rlike(rf"\A(?:{group}(?::{group})*)?::(?:{group}(?::{group})*)?\z")
+        return F.when(whole, groups(text)).when(cut, short)
+
+    return F.array_join(F.transform(let(plain, filled), lambda g: F.lpad(g, 4, "0")), "")
+
+
+def _ipv6_class(literal: Column) -> Column:
+    """Class of an IPv6 literal, null for any other text; networks are ranges of digits, which order as the numbers do."""
+
+    def within(digits: Column, networks: tuple[str, ...]) -> Column:
+        found = F.lit(False)
+        for network in map(ipaddress.ip_network, networks):
+            found = found | digits.between(f"{int(network.network_address):032x}", f"{int(network.broadcast_address):032x}")
+        return found
+
+    def of_mapped(number: Column) -> Column:
+        # what an IPv4 address stands for here is private or global; shared address space is not private
+        private = _in_networks(number, tuple(n for n in NOT_GLOBAL_V4 if n != "100.64.0.0/10")) & ~_in_networks(number, GLOBAL_V4_EXCEPTIONS)
+        return F.when(~private, F.lit(GLOBAL)).when(_in_networks(number, ("127.0.0.0/8",)), F.lit(LOOPBACK)).otherwise(F.lit(NOT_GLOBAL))
+
+    def judge(digits: Column) -> Column:
+        mapped = let(F.conv(F.substring(digits, 25, 8), 16, 10).cast("bigint"), of_mapped)
+        return (
+            F.when(within(digits, ("::ffff:0:0/96",)), mapped).when(within(digits, ("::1/128",)), F.lit(LOOPBACK))
+            .when(within(digits, NOT_GLOBAL_V6) & ~within(digits, GLOBAL_V6_EXCEPTIONS), F.lit(NOT_GLOBAL))
+            .when(digits.isNotNull(), F.lit(GLOBAL))
+        )
+
+    return let(_ipv6_digits(literal), judge)
+
+
+@reusable
+def host_class(normalized: Column) -> Column:
+    """localhost, name, global, loopback or not_global for the host of a normalised URL."""
     literal = F.regexp_extract(normalized, r"\Ahttps?://\[([^\]]*)\]", 1)
     plain = F.regexp_extract(normalized, r"\Ahttps?://([^/?#:\[]*)", 1)
     named = let(plain, lambda p: F.when(p == "localhost", F.lit("localhost")).otherwise(_ipv4_class(p)))
-    return F.coalesce(_ipv6_class(F.when(literal != "", literal)), named, F.lit("name"))
+    return F.coalesce(F.when(literal != "", _ipv6_class(literal)), named, F.lit("name"))
 
 
 def validate(policies: DataFrame) -> DataFrame:

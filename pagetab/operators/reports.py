@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pagetab.functions.text import utc_iso
+
 # Record kinds that make a crawl incomplete.
 INCOMPLETE_KINDS = ("http_error", "download_error", "robots_error", "blocked_robots", "unsupported_content")
 SCHEMA_VERSION = 1
@@ -75,7 +77,12 @@ def run_states(totals: DataFrame) -> DataFrame:
 
 
 def reports(states: DataFrame, records: DataFrame, exclusions: DataFrame) -> DataFrame:
-    """The report row of every crawl; records stay in their own table."""
+    """The report row of every crawl; records stay in their own table.
+
+    A run lasts from the first to the last of its responses; without any it has no times.
+    """
+    times = records.groupBy("crawl_id").agg(
+        utc_iso(F.min("fetched_at")).alias("started_at"), utc_iso(F.max("fetched_at")).alias("finished_at"))
     kinds = _count_map(record_counts(records), "kind", "record_counts")
     reasons = _count_map(exclusions, "reason", "excluded_link_counts")
     empty = F.create_map().cast("map<string,bigint>")
@@ -84,7 +91,7 @@ def reports(states: DataFrame, records: DataFrame, exclusions: DataFrame) -> Dat
         "max_text_chars", "delay", "timeout", "allow_loopback",
     )
     return (
-        states.join(kinds, "crawl_id", "left").join(reasons, "crawl_id", "left")
+        states.join(kinds, "crawl_id", "left").join(reasons, "crawl_id", "left").join(times, "crawl_id", "left")
         .select(
             "crawl_id",
             F.lit(SCHEMA_VERSION).alias("schema_version"),
@@ -96,6 +103,7 @@ def reports(states: DataFrame, records: DataFrame, exclusions: DataFrame) -> Dat
             "http_attempts", "document_attempts", "remaining_candidates",
             F.coalesce("record_counts", empty).alias("record_counts"),
             F.coalesce("excluded_link_counts", empty).alias("excluded_link_counts"),
+            "started_at", "finished_at",
         )
     )
 

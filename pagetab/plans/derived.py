@@ -23,6 +23,16 @@ ROBOTS_BODIES = (
     "Disallow: /before-any-agent\nUser-agent: *\nCrawl-delay: 1\nDisallow: /es/ # spanish\nAllow: /en\nDisallow: /en/9\n",
 )
 
+# Fixed value: the robots file of the origins whose crawls may not start, as it asks for too long a delay.
+SLOW_BODY = "User-agent: *\nDisallow: /en\nCrawl-delay: 75\n"
+
+# First two groups of the IPv6 literals that orders are read as.
+V6_STARTS = (
+    (0x2606, 0x4700), (0x2001, 0x0), (0x2001, 0xDB8), (0x2001, 0x1), (0x2001, 0x3), (0x2001, 0x20), (0x2001, 0x3F), (0x2001, 0x40),
+    (0x2001, 0x1FF), (0x2001, 0x200), (0x2002, 0x1), (0xFE80, 0x0), (0xFEBF, 0x1), (0xFEC0, 0x0), (0xFC00, 0x0), (0xFDFF, 0x9),
+    (0x64, 0xFF9B), (0x100, 0x0), (0x0, 0x0), (0xFF02, 0x0), (0x2A00, 0x1450),
+)
+
 CATALOG = "https://catalog.example.com"
 
 
@@ -42,10 +52,12 @@ def page_responses(captures: DataFrame) -> DataFrame:
         F.when(n % 4 == 0, F.concat(F.lit("/moved/"), n.cast("string")))
         .when(n % 4 == 1, F.lit("https://elsewhere.example.org/x"))
         .when(n % 4 == 2, F.col("url"))
+        .when(n % 8 == 7, F.lit("/next?token=1"))
     )
     return captures.withColumns({
         "http_status": status,
-        "content_type": F.when(n % 19 == 7, F.lit("image/png")).otherwise(F.col("content_type")),
+        "content_type": F.when(n % 19 == 7, F.lit("image/png")).when(n % 29 == 13, F.lit(None)).when(
+            n % 31 == 5, F.lit("application/octet-stream")).otherwise(F.col("content_type")),
         "content_encoding": F.when(n % 23 == 11, F.lit("unknown")),
         "location": F.when(status == 302, location),
     })
@@ -76,21 +88,24 @@ def site_responses(captures: DataFrame) -> DataFrame:
 
 
 def site_anchors(captures: DataFrame) -> DataFrame:
-    """Links from every start page to the captured pages of its origin, in page order."""
-    return captures.select(
+    """Links from every start page to the captured pages of its origin, in page order, and after them some that are refused."""
+    n = F.col("capture_id")
+    elsewhere = F.when(n % 3 == 0, F.struct((n + 10**12).alias("pos"), F.concat(F.lit("https://elsewhere.example.org/"), n).alias("href")))
+    secret = F.when(n % 5 == 0, F.struct((n + 2 * 10**12).alias("pos"), F.concat(F.lit("/next?token="), n).alias("href")))
+    own = F.struct(n.alias("pos"), F.col("url").alias("href"))
+    return captures.select("crawl_id", F.explode(F.array_compact(F.array(own, elsewhere, secret))).alias("a")).select(
         "crawl_id",
         F.lit(-1).cast("bigint").alias("capture_id"),
         F.concat("crawl_id", F.lit("/")).alias("url"),
         F.lit(None).cast("string").alias("base_href"),
-        F.col("capture_id").alias("pos"),
-        F.col("url").alias("href"),
+        "a.pos", "a.href",
     )
 
 
-def site_policies(captures: DataFrame) -> DataFrame:
-    """One policy per origin: the largest budgets a policy may have, or small ones that vary with the name's length."""
+def site_policies(captures: DataFrame, tight: bool = False) -> DataFrame:
+    """One policy per origin: the largest budgets a policy may have, or for every other one small ones that vary with the name's length."""
     name = F.col("crawl_id")
-    wide = by_length(name, 2) == 0
+    wide = (by_length(name, 2) == 0) | F.lit(not tight)
     return origins(captures).select(
         "crawl_id",
         F.concat(name, F.lit("/")).alias("start_url"),
@@ -109,7 +124,8 @@ def site_policies(captures: DataFrame) -> DataFrame:
 def site_robots(captures: DataFrame) -> DataFrame:
     """One robots answer per origin; some are missing or unavailable."""
     name = F.col("crawl_id")
-    body = F.element_at(F.array(*map(F.lit, ROBOTS_BODIES)), by_length(name, 3) + 1)
+    body = F.when(by_length(name, 10) == 5, F.lit(SLOW_BODY)).otherwise(
+        F.element_at(F.array(*map(F.lit, ROBOTS_BODIES)), by_length(name, 3) + 1))
     status = F.when(by_length(name, 10) == 7, F.lit(404)).when(by_length(name, 10) == 9, F.lit(503)).otherwise(F.lit(200))
     return origins(captures).select(
         "crawl_id",
@@ -177,6 +193,25 @@ def customer_chains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return starts, links
 
 
+def ipv6_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An IPv6 literal from every order key, written in one of five ways, one of which is no address."""
+    key = F.col("o_orderkey")
+    first, second = (F.element_at(F.array(*map(F.lit, x)), (key % len(V6_STARTS) + 1).cast("int")) for x in zip(*V6_STARTS, strict=True))
+    low = [(F.floor(key / 16) % 3).cast("int"), (F.floor(key / 48) % 2).cast("int")]
+    digits = lambda n: F.lower(F.hex(n))
+    whole = [first, second, *([F.lit(0)] * 4), low[1], low[0]]
+    quad = F.concat_ws(".", *[p.cast("string") for p in (key % 256, (key * 7) % 256, (key * 13 + 5) % 256, (key * 3) % 256)])
+    form = (F.floor(key / 7) % 5).cast("int")
+    host = (
+        F.when(form == 0, F.concat_ws(":", *map(digits, whole)))
+        .when(form == 1, F.concat(digits(first), F.lit(":"), digits(second), F.lit("::"), digits(low[1]), F.lit(":"), digits(low[0])))
+        .when(form == 2, F.upper(F.concat_ws(":", *[F.lpad(digits(g), 4, "0") for g in whole])))
+        .when(form == 3, F.concat(F.lit("::ffff:"), quad))
+        .otherwise(F.concat(digits(first), F.lit("::"), digits(second), F.lit("::"), digits(low[0])))
+    )
+    return read_table(spark, sf_dir, "orders").select("o_orderkey", form.alias("form"), host.alias("host"))
+
+
 def event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table read as a request ledger, one crawl per user."""
     kind, value = F.col("event_type"), F.col("value")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pagetab.functions.urls import SENSITIVE_KEYS
 from pagetab.operators.policies import NOT_GLOBAL_V4
-from pagetab.plans.derived import ROBOTS_BODIES
+from pagetab.plans.derived import ROBOTS_BODIES, SLOW_BODY, V6_STARTS
 
 _KEYS = ", ".join(f"'{k}'" for k in SENSITIVE_KEYS)
 _WS = r"[\t\n\x0B\f\r \x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -117,14 +117,15 @@ _OUTCOMES = rf"""captured AS (
     CASE WHEN page_id % 19 = 7 THEN 'image/png' ELSE 'text/html' END AS type,
     page_id % 23 = 11 AS residual,
     CASE page_id % 4 WHEN 0 THEN crawl_id || '/moved/' || page_id WHEN 1 THEN 'https://elsewhere.example.org/x'
-                     WHEN 2 THEN url END AS target
+                     WHEN 2 THEN url ELSE CASE WHEN page_id % 8 = 7 THEN crawl_id || '/next?token=1' END END AS target
   FROM p),
 outcomes AS (
   SELECT *, CASE WHEN kind = 'download_error' THEN CASE WHEN strlen(html) > 12000 THEN 'DownloadCancelledError' ELSE 'IgnoreRequest' END
             END AS error_type,
     CASE WHEN kind = 'redirect' THEN CASE WHEN target IS NULL THEN 'missing_location'
+         WHEN contains(target, 'token=') THEN 'invalid_or_sensitive_url'
          WHEN {_origin('target')} <> crawl_id THEN 'outside_origin' ELSE 'in_scope' END END AS redirect_status,
-    CASE WHEN kind = 'redirect' AND {_origin('target')} = crawl_id THEN target END AS redirect_to,
+    CASE WHEN kind = 'redirect' AND {_origin('target')} = crawl_id AND NOT contains(target, 'token=') THEN target END AS redirect_to,
     CASE WHEN kind <> 'download_error' THEN status END AS http_status
   FROM (SELECT *, CASE WHEN strlen(html) > 12000 OR residual THEN 'download_error' WHEN status = 302 THEN 'redirect'
                WHEN status = 503 THEN 'http_error' WHEN type = 'image/png' THEN 'unsupported_content' ELSE 'document' END AS kind
@@ -132,13 +133,14 @@ outcomes AS (
 first_outcomes AS (SELECT * FROM outcomes QUALIFY row_number() OVER (PARTITION BY crawl_id, url ORDER BY page_id) = 1)"""
 
 _BODIES = ", ".join("'" + b.replace("'", "''") + "'" for b in ROBOTS_BODIES)
+_LENIENT = "coalesce(robots_delay, 0) <= 60"
 
 _ORIGINS = f"""origins AS (SELECT DISTINCT {_origin('url')} AS crawl_id FROM pages)"""
 
 _ROBOTS = rf"""{_ORIGINS},
 robots AS (
   SELECT crawl_id, CASE length(crawl_id) % 10 WHEN 7 THEN 404 WHEN 9 THEN 503 ELSE 200 END AS status,
-    [{_BODIES}][length(crawl_id) % 3 + 1] AS body FROM origins),
+    CASE WHEN length(crawl_id) % 10 = 5 THEN '{SLOW_BODY}' ELSE [{_BODIES}][length(crawl_id) % 3 + 1] END AS body FROM origins),
 lines AS (
   SELECT crawl_id, unnest(range(len(l))) AS seq, unnest(l) AS line FROM (SELECT crawl_id, string_split(body, chr(10)) AS l FROM robots)),
 stripped AS (
@@ -262,16 +264,16 @@ edges AS (
   SELECT crawl_id, 'https://catalog.example.com/part/' || l_partkey, l_suppkey, 'https://catalog.example.com/supplier/' || l_suppkey, 1 FROM pairs)"""
 
 _SITE_LINKS = rf"""site_gates AS (
-  SELECT crawl_id, CASE WHEN length(crawl_id) % 2 = 0 THEN 1000 ELSE 4 + length(crawl_id) % 17 END AS max_pages,
-    CASE WHEN length(crawl_id) % 2 = 0 THEN 2000 ELSE 6 + length(crawl_id) % 13 END AS max_requests,
-    CASE WHEN length(crawl_id) % 2 = 0 THEN 10000 ELSE 5 + length(crawl_id) % 29 * 2 END AS max_candidates, status AS robots_http_status,
+  SELECT crawl_id, CASE WHEN (is_wide) THEN 1000 ELSE 4 + length(crawl_id) % 17 END AS max_pages,
+    CASE WHEN (is_wide) THEN 2000 ELSE 6 + length(crawl_id) % 13 END AS max_requests,
+    CASE WHEN (is_wide) THEN 10000 ELSE 5 + length(crawl_id) % 29 * 2 END AS max_candidates, status AS robots_http_status,
     CASE status WHEN 404 THEN 'missing_404' WHEN 200 THEN 'loaded' ELSE 'unavailable' END AS robots_status,
     CASE WHEN status = 200 THEN robots_delay END AS robots_delay
   FROM robots LEFT JOIN delays USING (crawl_id)),
 loaded_prefixes AS (SELECT * FROM prefixes JOIN (SELECT crawl_id FROM site_gates WHERE robots_status = 'loaded') USING (crawl_id)),
 starts AS (
   SELECT crawl_id, crawl_id || '/' AS start_url, least(max_pages, max_requests - 1) AS page_budget, max_candidates
-  FROM site_gates WHERE robots_status <> 'unavailable'),
+  FROM site_gates WHERE robots_status <> 'unavailable' AND {_LENIENT}),
 site_outcomes AS (
   SELECT crawl_id, {_request_url('url')} AS url, page_id, kind, http_status, error_type, redirect_status, redirect_to FROM first_outcomes
   WHERE url <> crawl_id || '/'
@@ -315,7 +317,9 @@ exclusions AS (
     SELECT m.crawl_id, CASE WHEN f.url IS NULL THEN 'max_candidates' ELSE 'duplicate_url' END AS reason,
       m.n - CASE WHEN f.wave > 0 THEN 1 ELSE 0 END AS n
     FROM (SELECT crawl_id, url, count(*) AS n FROM site_mentions GROUP BY ALL) m LEFT JOIN frontier f USING (crawl_id, url))
-  GROUP BY ALL HAVING sum(n) > 0)"""
+  GROUP BY ALL HAVING sum(n) > 0
+  UNION ALL SELECT crawl_id, 'outside_origin', count(*) FROM p JOIN starts USING (crawl_id) WHERE page_id % 3 = 0 GROUP BY ALL
+  UNION ALL SELECT crawl_id, 'invalid_or_sensitive_url', count(*) FROM p JOIN starts USING (crawl_id) WHERE page_id % 5 = 0 GROUP BY ALL)"""
 
 _STATES = r"""states AS (
   SELECT *, CASE WHEN documents = 0 THEN 'failed' WHEN stop_reason <> 'frontier_exhausted' OR problems > 0 THEN 'partial'
@@ -334,7 +338,15 @@ _STATES = r"""states AS (
                          FROM records GROUP BY 1) r USING (crawl_id)
               LEFT JOIN (SELECT * FROM exclusions WHERE reason = 'max_candidates') x USING (crawl_id))))"""
 
-_SITE = _ctes(_PAGES, _ANCHORS, _OUTCOMES, _ROBOTS, _TEXTS, _SITE_LINKS, _frontier(4, True), _RECORDS, _EXCLUSIONS, _STATES)
+
+
+def _site(wide: str) -> str:
+    """The whole run; ``wide`` tells which origins have the widest budgets."""
+    links = _SITE_LINKS.replace("is_wide", wide)
+    return _ctes(_PAGES, _ANCHORS, _OUTCOMES, _ROBOTS, _TEXTS, links, _frontier(4, True), _RECORDS, _EXCLUSIONS, _STATES)
+
+
+_SITE, _TIGHT = _site("true"), _site("length(crawl_id) % 2 = 0")
 
 
 def _guard(cell: str) -> str:
@@ -348,9 +360,18 @@ def _count_json(table: str, key: str) -> str:
     )
 
 
+
+
+def _iso(page: str) -> str:
+    return f"strftime(to_timestamp(1704067200 + greatest({page}, 0)) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || '+00:00'"
+
+
 _SUMMARY = f"""kinds AS (SELECT crawl_id, kind, count(*) AS n FROM records GROUP BY ALL),
+times AS (SELECT crawl_id, {_iso('min(page_id)')} AS started_at, {_iso('max(page_id)')} AS finished_at
+  FROM records WHERE kind IN ('document', 'redirect', 'http_error', 'unsupported_content') GROUP BY 1),
 summary AS (
-  SELECT s.*, {_count_json('kinds', 'kind')} AS kinds_json, {_count_json('exclusions', 'reason')} AS reasons_json FROM states s)"""
+  SELECT s.*, started_at, finished_at, {_count_json('kinds', 'kind')} AS kinds_json, {_count_json('exclusions', 'reason')} AS reasons_json
+  FROM states s LEFT JOIN times USING (crawl_id))"""
 
 _POLICY_ROWS = r"""faulty AS (
   SELECT cast(c_custkey AS VARCHAR) AS crawl_id, n, host, balance,
@@ -405,6 +426,24 @@ _LEDGER = r"""ledger AS (
   FROM events)"""
 
 
+_STARTS_V6 = ", ".join(f"[{a}, {b}]" for a, b in V6_STARTS)
+
+_V6 = rf"""WITH q AS (
+  SELECT o_orderkey, o_orderkey // 7 % 5 AS form, [{_STARTS_V6}][o_orderkey % {len(V6_STARTS)} + 1] AS g,
+    o_orderkey // 16 % 3 AS low, o_orderkey // 48 % 2 AS high, o_orderkey % 256 AS a,
+    ((o_orderkey % 256 * 256 + (o_orderkey * 7) % 256) * 256 + (o_orderkey * 13 + 5) % 256) * 256 + (o_orderkey * 3) % 256 AS n
+  FROM orders)"""
+
+# The groups between the first two and the last two are zeros.
+_V6_CLASS = r"""CASE
+  WHEN g[1] = 0 AND high = 0 THEN CASE low WHEN 0 THEN 'not_global' WHEN 1 THEN 'loopback' ELSE 'global' END
+  WHEN g[1] = 256 AND g[2] = 0 THEN 'not_global'
+  WHEN g[1] = 8193 AND (g[2] = 3 OR g[2] BETWEEN 32 AND 63 OR (g[2] = 1 AND high = 0 AND low IN (1, 2))) THEN 'global'
+  WHEN g[1] = 8193 AND (g[2] < 512 OR g[2] = 3512) THEN 'not_global'
+  WHEN g[1] = 8194 OR g[1] BETWEEN 64512 AND 65023 OR g[1] BETWEEN 65152 AND 65215 THEN 'not_global'
+  ELSE 'global' END"""
+
+
 def build() -> dict[str, str]:
     admitted_url, admitted_reason = _admitted("n.normal", "o.allowed")
     forms_with_normal = _ctes(_URL_FORMS, _normal("url_forms", "n"))
@@ -444,6 +483,26 @@ def build() -> dict[str, str]:
                         "+ (o_orderkey * 13 + 5) % 256) * 256 + (o_orderkey * 3) % 256 AS n FROM orders) "
                         f"SELECT o_orderkey, CASE WHEN a = 127 THEN 'loopback' WHEN {_network_test('n')} AND n NOT IN (3221225481, 3221225482) "
                         "THEN 'not_global' ELSE 'global' END AS host_class FROM q",
+        "ipv6_literal": f"{_V6} SELECT o_orderkey, cast(form AS INT) AS form, CASE form WHEN 4 THEN 'name' WHEN 3 THEN CASE WHEN a = 127 THEN 'loopback' "
+                        f"WHEN {_network_test('n')} AND n NOT IN (3221225481, 3221225482) AND NOT n BETWEEN 1681915904 AND 1686110207 THEN 'not_global' "
+                        f"ELSE 'global' END ELSE {_V6_CLASS} END AS host_class FROM q",
+        "rejected_pages": f"{forms_with_normal} SELECT page_id, form, raw AS url, 'invalid_or_sensitive_url' AS reason FROM (SELECT u.page_id, u.form, u.raw, n.normal "
+                          "FROM url_forms u JOIN n ON n.page_id = u.page_id AND n.form = u.form) WHERE normal IS NULL "
+                          "UNION ALL SELECT page_id, 'absent', NULL, 'no_url' FROM pages",
+        "outputs_written": f"{_SITE} SELECT 'documents' AS output, count(*) AS n_rows, cast(sum(length(url)) AS BIGINT) AS chars, true AS second_refused "
+                           "FROM records WHERE kind = 'document' UNION ALL SELECT 'records', count(*), cast(sum(length(url)) AS BIGINT), true FROM records "
+                           "UNION ALL SELECT 'reports', count(*), cast(sum(length(crawl_id)) AS BIGINT), true FROM states",
+        "part_reconcile": "WITH listed AS (SELECT 'part-' || p_partkey AS key, p_size AS bytes, p_name AS name FROM part), "
+                          "held AS (SELECT p_partkey, p_size + CASE WHEN p_partkey % 11 = 0 THEN 1 ELSE 0 END AS bytes, "
+                          "CASE WHEN p_partkey % 17 = 0 THEN '' ELSE p_name END AS name FROM part "
+                          "WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50)), "
+                          "present AS (SELECT 'part-' || p_partkey AS key, bytes, name FROM held UNION ALL SELECT 'part-' || p_partkey, bytes, name FROM held "
+                          "WHERE p_partkey % 13 = 0 UNION ALL SELECT 'part-s' || s_suppkey, 1, s_name FROM supplier), "
+                          "l AS (SELECT key, count(*) AS n, min(bytes) AS bytes, min(name) AS name FROM listed GROUP BY 1), "
+                          "q AS (SELECT key, count(*) AS n, min(bytes) AS bytes, min(name) AS name FROM present GROUP BY 1) "
+                          "SELECT coalesce(l.key, q.key) AS key, coalesce(l.n, 0) AS n_listed, coalesce(q.n, 0) AS n_present, "
+                          "CASE WHEN q.n IS NULL THEN 'missing' WHEN l.n IS NULL THEN 'extra' WHEN l.n > 1 OR q.n > 1 THEN 'duplicate' "
+                          "WHEN l.bytes <> q.bytes OR l.name <> q.name THEN 'mismatch' ELSE 'match' END AS status FROM l FULL JOIN q ON l.key = q.key",
         "clean_text": "SELECT doc_id, " + _clean("'  ' || replace(text, ' ', '  ' || chr(9)) || chr(12288) || chr(10)") + " AS text FROM documents",
         "page_title": f"{_ctes(_TEXTS)} SELECT page_id, title, title = '' AS title_missing FROM texts",
         "page_text": f"{_ctes(_TEXTS)} SELECT page_id, url, text FROM texts",
@@ -483,18 +542,18 @@ def build() -> dict[str, str]:
                             "CASE WHEN text_truncated THEN 'True' ELSE 'False' END AS text_truncated, "
                             "CASE WHEN title_missing THEN 'True' ELSE 'False' END AS title_missing FROM records WHERE kind = 'document'",
         "record_counts": f"{_SITE} SELECT crawl_id, kind, count(*) AS n FROM records GROUP BY ALL",
-        "link_exclusions": f"{_SITE} SELECT crawl_id, reason, n FROM exclusions",
-        "run_status": f"{_SITE} SELECT crawl_id, stop_reason, status FROM states",
+        "link_exclusions": f"{_TIGHT} SELECT crawl_id, reason, n FROM exclusions",
+        "run_status": f"{_TIGHT} SELECT crawl_id, stop_reason, status FROM states",
         "run_summary": f"{_SITE}, {_SUMMARY} SELECT crawl_id, 1 AS schema_version, 'pagetab' AS tool, status, stop_reason, robots_status, "
                        "robots_delay AS robots_crawl_delay, attempts + 1 AS http_attempts, attempts AS document_attempts, "
-                       "remaining AS remaining_candidates, kinds_json AS record_counts, reasons_json AS excluded_link_counts FROM summary",
+                       "remaining AS remaining_candidates, kinds_json AS record_counts, reasons_json AS excluded_link_counts, started_at, finished_at FROM summary",
         "report_json": f"{_SITE}, {_SUMMARY} SELECT crawl_id, '{{\"schema_version\":1,\"tool\":\"pagetab\",\"status\":\"' || status || '\",\"stop_reason\":\"' "
                        "|| stop_reason || '\",\"policy\":{\"start_url\":\"' || crawl_id || '/\",\"allowed_origin\":\"' || crawl_id || '\",\"max_pages\":' "
                        "|| max_pages || ',\"max_requests\":' || max_requests || ',\"max_candidates\":' || max_candidates || ',\"max_body_bytes\":12000,"
                        "\"max_text_chars\":600,\"delay\":0.5,\"timeout\":10.0,\"allow_loopback\":false},\"robots_status\":\"' || robots_status || '\"' "
                        "|| coalesce(',\"robots_crawl_delay\":' || robots_delay, '') || ',\"http_attempts\":' || (attempts + 1) || ',\"document_attempts\":' "
                        "|| attempts || ',\"remaining_candidates\":' || remaining || ',\"record_counts\":' || kinds_json || ',\"excluded_link_counts\":' "
-                       "|| reasons_json || '}' AS report FROM summary",
+                       "|| reasons_json || coalesce(',\"started_at\":\"' || started_at || '\",\"finished_at\":\"' || finished_at || '\"', '') || '}' AS report FROM summary",
         "manifest_reconcile": "WITH listed AS (SELECT 'customer-' || c_custkey AS key, c_nationkey AS bytes FROM customer), "
                               "present AS (SELECT 'customer-' || o_custkey AS key, CASE WHEN starts_with(o_orderpriority, '1') THEN 0 ELSE c_nationkey END AS bytes "
                               "FROM orders JOIN customer ON c_custkey = o_custkey "
@@ -526,9 +585,9 @@ def build() -> dict[str, str]:
                             "s.attempts + 1 = t.logged AND t.repeated_urls = 0 AND t.blocked_requested = 0 AS consistent "
                             "FROM states s JOIN totals t ON t.crawl_id = s.crawl_id",
     }
-    found = sql["manifest_reconcile"]
     counts = ", ".join(f"count_if(status = '{s}') AS {s}" for s in ("missing", "extra", "duplicate", "mismatch", "match"))
-    sql["manifest_all_match"] = f"SELECT coalesce(bool_and(status = 'match'), true) AS all_match, {counts} FROM ({found})"
-    sql["manifest_missing"] = f"SELECT key FROM ({found}) WHERE status = 'missing'"
+    for name, found in (("manifest", sql["manifest_reconcile"]), ("part", sql["part_reconcile"])):
+        sql[f"{name}_all_match"] = f"SELECT coalesce(bool_and(status = 'match'), true) AS all_match, {counts} FROM ({found})"
+        sql[f"{name}_missing"] = f"SELECT key FROM ({found}) WHERE status = 'missing'"
     sql["expectations_passed"] = f"SELECT coalesce(bool_and(passed), true) AS all_passed FROM ({sql['expectation_check']})"
     return sql

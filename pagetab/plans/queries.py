@@ -14,9 +14,9 @@ from pagetab.operators.classify import classify, first_captures, has_residual
 from pagetab.operators.pages import decide_links, extract_pages, link_rows
 from pagetab.plans import derived as d
 from pagetab.plans.crawl import CrawlRun, crawl
-from pagetab.sources.capture import located_pages, read_table
+from pagetab.sources.capture import located_pages, read_table, split_pages
 from pagetab.sources.shared import shared_folder, written
-from pagetab.sources.sinks import document_cells
+from pagetab.sources.sinks import TargetExists, document_cells, write_run
 
 # Ways in which the URL queries rewrite every page URL.
 URL_FORMS: dict[str, Callable[[Column], Column]] = {
@@ -229,6 +229,19 @@ def host_literal(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "orders").select("o_orderkey", pol.host_class(url).alias("host_class"))
 
 
+def ipv6_literal(spark: SparkSession, sf: str) -> DataFrame:
+    """Class of the IPv6 literal made from every order key."""
+    url = F.concat(F.lit("http://["), F.col("host"), F.lit("]/"))
+    return d.ipv6_hosts(spark, sf).select("o_orderkey", "form", pol.host_class(url).alias("host_class"))
+
+
+def rejected_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages that cannot be used, with the reason: every page's URL in many forms, and without."""
+    pages = _pages(spark, sf).select("page_id", F.lit("absent").alias("form"), F.lit(None).cast("string").alias("url"))
+    forms = _url_forms(spark, sf).select("page_id", "form", "url").unionByName(pages)
+    return split_pages(forms, f"{shared_folder(spark)}/pages")[1].select("page_id", "form", "url", "reason")
+
+
 def robots_rules_q(spark: SparkSession, sf: str) -> DataFrame:
     return rb.named_rules(rb.robots_groups(d.site_robots(d.page_captures(spark, sf)))).select(
         "crawl_id", F.col("grp").cast("int").alias("grp"), "seq", F.array_join("agents", ",").alias("agents"), "directive", "value"
@@ -303,7 +316,7 @@ def page_budget(spark: SparkSession, sf: str) -> DataFrame:
 def frontier_depth(spark: SparkSession, sf: str) -> DataFrame:
     """The whole catalog crawled per region: every candidate with its parent, depth and place."""
     no_rules = spark.createDataFrame([], "crawl_id string, prefix string, seq int, allow boolean")
-    found = fr.expand(d.catalog_starts(spark, sf), no_rules, d.catalog_edges(spark, sf), shared_folder(spark))
+    found = fr.expand(d.catalog_starts(spark, sf), no_rules, d.catalog_edges(spark, sf), shared_folder(spark), block=4096, ahead=4)
     return found.select("crawl_id", "url", "discovered_from", "depth", F.col("seq").cast("bigint").alias("seq"), "processed")
 
 
@@ -315,18 +328,18 @@ def chain_depth(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("crawl_id", "url", "discovered_from", "depth", F.col("seq").cast("bigint").alias("seq"), "processed")
 
 
-_RUNS: dict[tuple[str, str], CrawlRun] = {}
+_RUNS: dict[tuple[str, str, bool], CrawlRun] = {}
 
 
-def site_crawl(spark: SparkSession, sf: str) -> CrawlRun:
-    """All origins of the page table crawled from their start pages.
+def site_crawl(spark: SparkSession, sf: str, tight: bool = False) -> CrawlRun:
+    """All origins of the page table crawled from their start pages, with the widest budgets or, for half of them, tight ones.
 
     The queries on a run read the tables of one and the same run; ``forget_runs``
     makes the next one start anew.
     """
-    key = (spark.sparkContext.applicationId, sf)
+    key = (spark.sparkContext.applicationId, sf, tight)
     if key not in _RUNS:
-        _RUNS[key] = _new_site_crawl(spark, sf)
+        _RUNS[key] = _new_site_crawl(spark, sf, tight)
     return _RUNS[key]
 
 
@@ -334,10 +347,10 @@ def forget_runs() -> None:
     _RUNS.clear()
 
 
-def _new_site_crawl(spark: SparkSession, sf: str) -> CrawlRun:
+def _new_site_crawl(spark: SparkSession, sf: str, tight: bool) -> CrawlRun:
     captures = d.page_captures(spark, sf)
     return crawl(
-        d.site_policies(captures), d.site_robots(captures), d.site_responses(captures),
+        d.site_policies(captures, tight), d.site_robots(captures), d.site_responses(captures),
         anchors=d.site_anchors(captures), encoded=False,
     )
 
@@ -359,11 +372,11 @@ def record_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def link_exclusions(spark: SparkSession, sf: str) -> DataFrame:
-    return site_crawl(spark, sf).exclusions
+    return site_crawl(spark, sf, tight=True).exclusions
 
 
 def run_status(spark: SparkSession, sf: str) -> DataFrame:
-    return site_crawl(spark, sf).states.select("crawl_id", "stop_reason", "status")
+    return site_crawl(spark, sf, tight=True).states.select("crawl_id", "stop_reason", "status")
 
 
 def run_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -377,6 +390,56 @@ def report_json(spark: SparkSession, sf: str) -> DataFrame:
     return rp.report_json(site_crawl(spark, sf).reports)
 
 
+def outputs_written(spark: SparkSession, sf: str) -> DataFrame:
+    """A run's outputs written together, read back, and written again, which must be refused."""
+    run, target = site_crawl(spark, sf), f"{shared_folder(spark)}/outputs"
+    write_run(run.records, run.reports, target)
+    try:
+        write_run(run.records, run.reports, target)
+        refused = False
+    except TargetExists:
+        refused = True
+    parts = {
+        "documents": (spark.read.option("header", True).option("escape", '"').option("lineSep", "\r\n").csv(f"{target}/documents"), F.length("url")),
+        "records": (spark.read.schema("url string").json(f"{target}/records"), F.length("url")),
+        "reports": (spark.read.schema("crawl_id string").json(f"{target}/reports"), F.length("crawl_id")),
+    }
+    rows = [
+        table.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(size.cast("bigint")).alias("chars")).select(
+            F.lit(name).alias("output"), "n_rows", "chars", F.lit(refused).alias("second_refused"))
+        for name, (table, size) in parts.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def part_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Parts as the list of what should be there; those ordered 50 at a time, some altered or twice, and suppliers as what is."""
+    part = read_table(spark, sf, "part").select("p_partkey", "p_size", "p_name")
+    key, size = F.col("p_partkey"), F.col("p_size").cast("bigint")
+    name = lambda lead, k: F.concat(F.lit(lead), k.cast("string")).alias("path")
+    listed = part.select(name("Part_", key), size.alias("bytes"), F.sha2("p_name", 256).alias("sha256"))
+    ordered = read_table(spark, sf, "lineitem").where("l_quantity >= 50").select(F.col("l_partkey").alias("p_partkey")).distinct()
+    there = part.join(ordered, "p_partkey").select(
+        name("part.-", key), F.when(key % 11 == 0, size + 1).otherwise(size).alias("bytes"),
+        F.sha2(F.when(key % 17 == 0, F.lit("")).otherwise(F.col("p_name")), 256).alias("sha256"),
+        F.explode(F.sequence(F.lit(1), F.when(key % 13 == 0, 2).otherwise(1))).alias("again"))
+    extra = read_table(spark, sf, "supplier").select(
+        name("PART__s", F.col("s_suppkey")), F.lit(1).cast("bigint").alias("bytes"), F.sha2("s_name", 256).alias("sha256"))
+    return listed, there.drop("again").unionByName(extra)
+
+
+def part_reconcile(spark: SparkSession, sf: str) -> DataFrame:
+    listed, present = part_tables(spark, sf)
+    return rec.reconcile(listed, present, "path", ["bytes", "sha256"])
+
+
+def part_all_match(spark: SparkSession, sf: str) -> DataFrame:
+    return rec.all_match(part_reconcile(spark, sf))
+
+
+def part_missing(spark: SparkSession, sf: str) -> DataFrame:
+    return rec.missing_keys(part_reconcile(spark, sf))
+
+
 def manifest_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Customers as the list of what should be there, orders and suppliers as what is."""
     customer = read_table(spark, sf, "customer")
@@ -480,6 +543,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "policy_errors": policy_errors,
     "rejected_policies": rejected_policies,
     "host_literal": host_literal,
+    "ipv6_literal": ipv6_literal,
+    "rejected_pages": rejected_pages,
     "clean_text": clean_text_q,
     "page_title": page_title,
     "page_text": page_text,
@@ -510,9 +575,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "run_status": run_status,
     "run_summary": run_summary,
     "report_json": report_json,
+    "outputs_written": outputs_written,
     "manifest_reconcile": manifest_reconcile,
     "manifest_all_match": manifest_all_match,
     "manifest_missing": manifest_missing,
+    "part_reconcile": part_reconcile,
+    "part_all_match": part_all_match,
+    "part_missing": part_missing,
     "expectation_check": expectation_check,
     "expectations_passed": expectations_passed,
     "scope_violations": scope_violations,

@@ -11,8 +11,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def split_pages(pages: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(usable, rejected) pages, from one pass over ``pages``.
+
+    Both are parts of one table below ``folder``: usable ones have ``normal`` and
+    ``crawl_id`` as ``located_pages`` adds them, rejected ones a ``reason``: no_url, or invalid_or_sensitive_url.
+    """
+    normal = F.col("normal")
+    reason = F.when(F.col("url").isNull(), F.lit("no_url")).when(normal.isNull(), F.lit("invalid_or_sensitive_url"))
+    judged = pages.withColumn("normal", normalize_url("url")).withColumns({
+        "crawl_id": url_origin("normal"), "reason": reason, "usable": normal.isNotNull()})
+    judged.write.mode("errorifexists").partitionBy("usable").parquet(folder)
+    table = pages.sparkSession.read.schema(judged.schema).parquet(folder)
+    return table.where("usable").drop("usable", "reason"), table.where("NOT usable").drop("usable", "normal", "crawl_id")
+
+
 def located_pages(pages: DataFrame) -> DataFrame:
-    """Add normal (normalised URL) and crawl_id (its origin) to a table of page_id, url, html."""
+    """Add normal (normalised URL) and crawl_id (its origin) to a table of page_id, url, html; ``split_pages`` keeps what this leaves out."""
     return (
         pages.withColumn("normal", normalize_url("url"))
         .withColumn("crawl_id", url_origin("normal"))

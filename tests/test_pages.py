@@ -67,14 +67,14 @@ def test_bytes_charset_and_limits(spark):
 
 def test_text_columns(spark):
     space = "".join(map(chr, [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-    values = [space + "a" + space + "b" + space, "​a", "x😀y", "=SUM(1,1)", " +42", "\t@cmd", "-1", "﻿=1", "ordinary title", None]
+    values = [space + "a" + space + "b" + space, "​a", "x😀y", "=NOW()", "  +3 apples", "\t@home", "-minus", "\ufeff=x", "plain words", None]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").orderBy("i")
     rows = df.select(clean_text(F.col("v")).alias("c"), csv_guard(F.col("v")).alias("g"), limited(F.col("v"), F.lit(2)).alias("l"),
                      is_longer(F.col("v"), F.lit(3)).alias("t")).collect()
     assert [r.c for r in rows[:2]] == [" ".join(v.split()) for v in values[:2]]
     assert (rows[2].l, rows[2].t) == ("x😀", False)
     assert [r.g for r in rows[3:8]] == ["'" + v for v in values[3:8]]
-    assert [r.g for r in rows[8:]] == ["ordinary title", ""]
+    assert [r.g for r in rows[8:]] == ["plain words", ""]
 
 
 def test_iso_time(spark):

@@ -4,7 +4,7 @@ import ipaddress
 import math
 import random
 
-from pagetab.operators.policies import host_class, refused, usable, validate, with_defaults
+from pagetab.operators.policies import GLOBAL_V6_EXCEPTIONS, NOT_GLOBAL_V6, host_class, refused, usable, validate, with_defaults
 from pagetab.sources import schemas
 
 
@@ -67,3 +67,27 @@ def test_ipv4_classes_agree_with_library(spark):
         except ValueError:
             want = "name"
         assert got == want, host
+
+
+def test_ipv6_classes_agree_with_library(spark):
+    rnd = random.Random(6)
+    edges = [int(n[i]) + d for n in map(ipaddress.ip_network, NOT_GLOBAL_V6 + GLOBAL_V6_EXCEPTIONS) for i in (0, -1) for d in range(-2, 3)]
+    mapped = [0xFFFF << 32 | int(ipaddress.ip_address(a)) + d for a in ("10.0.0.0", "100.64.0.0", "127.0.0.0", "8.8.8.8", "192.0.0.9", "255.255.255.255") for d in (-1, 0, 1)]
+    numbers = [n for n in edges + mapped + [rnd.randrange(2**128) >> rnd.randrange(128) for _ in range(500)] if 0 <= n < 2**128]
+    hosts = [f(ipaddress.IPv6Address(n)) for n in numbers for f in (str, lambda a: a.exploded, lambda a: a.compressed.upper())]
+    hosts += [f"{':'.join(str(ipaddress.IPv6Address(n)).split(':')[:-2])}:1.2.3.4" for n in numbers[:40]]
+    letters = ["", ":", "::", "0", "1", "ab", "ffff", "12345", "1.2.3.4", "1.2.3.256", "01.2.3.4", "%", "%1", "g", "/"]
+    hosts += ["".join(rnd.choice([":", ""]) + rnd.choice(letters) for _ in range(rnd.randrange(1, 11))) for _ in range(3000)]
+    hosts += [":".join(rnd.choice(["0", "1", "fe80", "", "ABCD", "00ab"]) for _ in range(rnd.randrange(2, 11))) for _ in range(3000)]
+    df = spark.createDataFrame([(h, f"http://[{h}]/") for h in set(hosts) if h], "h string, url string")
+    seen = set()
+    for host, got in df.select("h", host_class("url")).collect():
+        try:
+            a = ipaddress.IPv6Address(host)
+            want = "global" if a.is_global else "loopback" if a.is_loopback else "not_global"
+        except ValueError:
+            want = "name"
+        seen.add(want)
+        assert got == want, host
+    assert len(seen) == 4
+    assert "Python" not in df.select(host_class("url"))._jdf.queryExecution().executedPlan().toString()

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from pagetab.functions.urls import MAX_URL_CHARS, request_url
 from pagetab.operators.classify import BAD_ENCODING, NOT_CAPTURED
-from pagetab.operators.robots import prefix_lengths, robots_verdicts
+from pagetab.operators.robots import robots_verdicts, rule_chains
 from pagetab.sources.shared import dropped, written
 
 #: Links of one block of a crawl, about, and the blocks that a round reads whole.
@@ -248,10 +248,10 @@ class _Queue:
         return pa.table([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name] for f in _STATE], schema=_STATE)
 
 
-def _round(state: DataFrame, waiting: DataFrame, links: DataFrame, rules: DataFrame, lengths: DataFrame) -> DataFrame:
+def _round(state: DataFrame, waiting: DataFrame, links: DataFrame, rules: DataFrame, chains: DataFrame) -> DataFrame:
     """The rows of the open crawls after a round: each crawl follows its queue through the links in hand."""
     whose = waiting.select("crawl_id", "blocks", "pages", "whole")
-    judged = robots_verdicts(links.select("crawl_id", "url").distinct(), rules, lengths).select(
+    judged = robots_verdicts(links.select("crawl_id", "url").distinct(), rules, chains).select(
         "crawl_id", "url", request_url("url").alias("request_url"), (~F.col("allowed")).alias("blocked"))
     judged = judged.join(whose, "crawl_id").select("crawl_id", "url", "request_url", "blocked", _in_hand("request_url").alias("ready"))
     known = state.where("open").join(whose.drop("blocks"), "crawl_id").select(*_QUEUE, _in_hand("request_url").alias("ready"))
@@ -293,12 +293,12 @@ def expand(
         raise ValueError("the number of buckets is a power of two")
     spark = starts.sparkSession
     rules = written(prefixes, f"{folder}/prefixes")
-    lengths = written(prefix_lengths(rules), f"{folder}/prefix-lengths")
+    chains = written(rule_chains(rules), f"{folder}/rule-chains")
     table = written(
         edge_rows.join(starts.select("crawl_id"), "crawl_id", "left_semi").withColumn("bucket", F.pmod(F.xxhash64("src_url"), F.lit(buckets))),
         f"{folder}/edges", partition_by="bucket")
     seeds = starts.select("crawl_id", F.col("start_url").alias("url"), "max_candidates", page_budget(F.col("max_pages"), F.col("max_requests")).alias("page_budget"))
-    first = robots_verdicts(seeds, rules, lengths).join(_blocks(table, block), "crawl_id", "left").withColumns({
+    first = robots_verdicts(seeds, rules, chains).join(_blocks(table, block), "crawl_id", "left").withColumns({
         "request_url": request_url("url"), "discovered_from": F.lit(None), "depth": F.lit(0), "seq": F.lit(1), "wave": F.lit(0),
         "blocked": ~F.col("allowed"), "processed": F.lit(False), "aborts": F.lit(False), "blocks": F.coalesce("blocks", F.lit(1)),
         "open": F.lit(True), "waits": F.lit(True),
@@ -317,7 +317,7 @@ def expand(
         )
         links = written(links, f"{folder}/links-{n}")
         paths.append(f"{folder}/round-{n}")
-        state = written(_round(state, waiting, links, rules, lengths), paths[-1])
+        state = written(_round(state, waiting, links, rules, chains), paths[-1])
         dropped(spark, f"{folder}/links-{n}", f"{folder}/waiting-{n}")
     return spark.read.schema(state.schema).parquet(*paths).where("NOT open").drop("open", "waits", "blocks")
 

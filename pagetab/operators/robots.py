@@ -1,7 +1,10 @@
-"""Robots rules as tables: line groups by windows, path rules by an equi-join on prefixes."""
+"""Robots rules as tables: line groups by windows, paths sorted in between the rules."""
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pagetab.functions.reuse import reusable
@@ -184,28 +187,68 @@ def path_rules(effective: DataFrame) -> DataFrame:
     )
 
 
-def prefix_lengths(prefixes: DataFrame) -> DataFrame:
-    """The distinct rule lengths of every crawl: few numbers, at most one per possible length."""
-    return prefixes.groupBy("crawl_id").agg(F.collect_set(F.length("prefix")).alias("_lengths"))
+#: URLs of one crawl that are sorted together with its rules, about.
+SORTED = 100_000
+
 
+def rule_chains(prefixes: DataFrame) -> DataFrame:
+    """(crawl_id, prefix, chain): the verdicts that a path beginning with ``prefix``, or with a part of it, can get.
 
-def robots_verdicts(urls: DataFrame, prefixes: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
+    ``chain`` lists (length, allow) from the shortest rule that ``prefix`` begins with to ``prefix``
+    itself: by the first in file order of the rules up to that length, listed where it changes. The rules of a
+    crawl are one group; the body limit of the robots file bounds them.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        rules = sorted(zip(table["prefix"].to_pylist(), table["seq"].to_pylist(), table["allow"].to_pylist(), strict=True))
+        open_rules: list[tuple[str, float, tuple]] = [("", math.inf, ())]
+        lengths, allows, offsets = [], [], [0]
+        for prefix, seq, allow in rules:
+            while not prefix.startswith(open_rules[-1][0]):
+                open_rules.pop()
+            _, first, chain = open_rules[-1]
+            if seq < first:
+                first = seq
+                if not chain or chain[-1][1] != allow:
+                    chain = (*chain, (len(prefix), allow))
+            open_rules.append((prefix, first, chain))
+            lengths.extend(n for n, _ in chain)
+            allows.extend(a for _, a in chain)
+            offsets.append(len(lengths))
+        entries = pa.StructArray.from_arrays([pa.array(lengths, pa.int32()), pa.array(allows, pa.bool_())], ["n", "allow"])
+        chains = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)
+        return pa.table({"crawl_id": table["crawl_id"], "prefix": pa.array([r[0] for r in rules], pa.string()), "chain": chains})
+
+    return prefixes.groupBy("crawl_id").applyInArrow(run, "crawl_id string, prefix string, chain array<struct<n:int,allow:boolean>>")
+
+
+def robots_verdicts(urls: DataFrame, prefixes: DataFrame, chains: DataFrame | None = None, together: int = SORTED) -> DataFrame:
     """Add ``allowed`` to rows of (crawl_id, url, ...): the first matching rule in file order decides.
 
-    A rule matches a prefix of the path. Instead of pairing every URL with every
-    rule of its crawl, each path is cut at the lengths its crawl's rules have and
-    looked up by equality. ``lengths`` may give ``prefix_lengths`` as a table. Every
-    distinct URL is looked up once; rows that repeat keep their number.
+    A rule matches a prefix of the path. All rules that match a path are prefixes
+    of the last rule that does not sort after it, so paths are sorted in between the
+    rules of their crawl and take that one's chain (see ``rule_chains``, which
+    ``chains`` may give as a table): a row for each URL, however many lengths the
+    rules have. A crawl of many URLs is sorted in parts of about ``together``, each with
+    a copy of its rules. Every distinct URL is judged once; rows that repeat keep their number.
     """
-    lengths = prefix_lengths(prefixes) if lengths is None else lengths
-    fitting = F.filter("_lengths", lambda n: n <= F.length("_path"))
-    judged = (
-        urls.select("crawl_id", "url").distinct().join(lengths, "crawl_id")
-        .withColumn("_path", robots_path("url"))
-        .select("crawl_id", "url", "_path", F.explode(fitting).alias("_n"))
-        .withColumn("prefix", F.expr("substring(_path, 1, _n)"))
-        .join(prefixes.withColumnRenamed("seq", "_rule"), ["crawl_id", "prefix"])
-        .groupBy("crawl_id", "url")
-        .agg(F.min_by("allow", "_rule").alias("_allow"))
-    )
+    chains = rule_chains(prefixes) if chains is None else chains
+    asked = urls.select("crawl_id", "url").distinct().join(chains.select("crawl_id").distinct(), "crawl_id", "left_semi")
+    parts = asked.groupBy("crawl_id").agg(F.ceil(F.count(F.lit(1)) / together).cast("int").alias("_parts"))
+    part = F.pmod(F.xxhash64("url"), F.col("_parts")).cast("int").alias("_part")
+    paths = asked.join(parts, "crawl_id").select("crawl_id", part, robots_path("url").alias("_text"), F.lit(1).alias("_kind"), "url")
+    rules = chains.join(parts, "crawl_id").select(
+        "crawl_id", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.col("prefix").alias("_text"), F.lit(0).alias("_kind"), "chain")
+    before = W.partitionBy("crawl_id", "_part").orderBy("_text", "_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rule = F.last(F.when(F.col("_kind") == 0, F.struct(F.col("_text").alias("prefix"), "chain")), ignorenulls=True).over(before)
+    both = paths.unionByName(rules, allowMissingColumns=True).withColumn("_rule", rule).where(F.col("_kind") == 1)
+    # the entries that match come first: their number by halving, up to the lengths that a file of 100 MB can nest
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(14))))
+
+    def further(n: Column, step: Column) -> Column:
+        length = F.get("_rule.chain", n + step - 1)["n"]
+        return F.when(F.col("_text").startswith(F.substring(F.col("_rule.prefix"), F.lit(1), length)), n + step).otherwise(n)
+
+    met = F.aggregate(steps, F.lit(0), further)
+    judged = both.withColumn("_met", met).select("crawl_id", "url", F.get("_rule.chain", F.col("_met") - 1)["allow"].alias("_allow"))
     return urls.join(judged, ["crawl_id", "url"], "left").select(*urls.columns, F.coalesce("_allow", F.lit(True)).alias("allowed"))

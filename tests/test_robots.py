@@ -3,6 +3,7 @@
 import random
 from urllib.robotparser import RobotFileParser
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagetab.operators.robots import (
@@ -81,3 +82,29 @@ def test_one_file_of_many_agents_and_rules(spark):
     text = "".join(f"User-agent: bot{i}\n" for i in range(n)) + "User-agent: *\n" + "".join(f"Disallow: /p{i}\n" for i in range(n))
     groups = robots_groups(spark.createDataFrame([("c", text)], "crawl_id string, body string"))
     assert effective_rules(groups, AGENT).count() == n
+
+
+@pytest.mark.parametrize("together", [5, 100_000])
+def test_verdicts_of_random_rules(spark, together):
+    """Nested, equal, empty and unmatched prefixes against a plain search, with crawls in parts and whole."""
+    rnd = random.Random(4)
+    word = lambda n: "/" + "".join(rnd.choice("ab") for _ in range(rnd.randrange(n)))
+    rules = {(c, p): (i, rnd.random() < .4) for c in "xyz" for i, p in enumerate({word(9) for _ in range(40)} | {"", "/é", "/a" * 50})}
+    urls = [(c, f"https://e.com{word(14)}") for c in "xyzw" for _ in range(120)] + [("x", "https://e.com/é/b"), ("x", "https://e.com")]
+    prefixes = spark.createDataFrame([(c, p, i, a) for (c, p), (i, a) in rules.items()], "crawl_id string, prefix string, seq int, allow boolean")
+    got = robots_verdicts(spark.createDataFrame(urls, "crawl_id string, url string"), prefixes, together=together).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        path = r.url.removeprefix("https://e.com") or "/"
+        first = min((v for (c, p), v in rules.items() if c == r.crawl_id and path.startswith(p)), default=(0, True))
+        assert r.allowed == first[1], r
+
+
+def test_a_file_of_many_lengths_costs_rows_by_urls(spark):
+    """4,000 rules of as many lengths: a row for each URL and rule, not for each URL and length."""
+    rules = spark.range(1, 4001).selectExpr("'c' AS crawl_id", "concat('/', repeat('a', CAST(id AS int))) AS prefix", "CAST(id AS int) AS seq", "id % 2 = 0 AS allow")
+    urls = spark.range(2000).selectExpr("'c' AS crawl_id", "concat('https://e.com/', repeat('a', CAST(id + 1 AS int)), 'b', id) AS url")
+    assert robots_verdicts(urls, rules).where("NOT allowed").count() == 2000
+    later = rules.withColumn("seq", 5000 - F.col("seq"))  # the longest rule comes first
+    found = robots_verdicts(urls, later).withColumn("n", F.length(F.regexp_extract("url", "/(a+)b", 1)))
+    assert found.where("allowed != (n % 2 = 0)").count() == 0

@@ -6,10 +6,11 @@ This gives an expected grade, and the tail probability of a grade or better, by
 which documents are selected.
 
 Features are the distinct words of a text, without punctuation and in lower case,
-the distinct shapes of its words, and its shares of upper case, symbols, repeated
+the distinct shapes of its words, the distinct runs of four characters of its long words (so that text
+without white space has features of all its parts), and its shares of upper case, symbols, repeated
 words and repeated lines in coarse steps, each hashed to 48 bits. The model is
 fitted on a bounded sample of the rated documents: those with the smallest hashes
-of their ids.
+of their ids, each with at most ``MOST_FEATURES`` of its features, those with the smallest hashes.
 """
 
 from __future__ import annotations
@@ -33,8 +34,12 @@ from pagetab.llm.common import slices, tidied
 SAMPLE = 10_000
 #: Documents of the sample that a feature must occur in.
 LEAST_DOCS = 3
+#: Features of a document that the model is fitted on, at most.
+MOST_FEATURES = 4096
 #: Words remembered with their features, at most.
-_MOST_WORDS = 1 << 18
+_MOST_WORDS = 1 << 17
+#: Bytes beyond which a word is long: not remembered, and taken apart.
+_LONG = 64
 _EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Capitals, digits and other letters (all bytes beyond ASCII count as such) to one sign each.
 _SIGNS = bytes(
@@ -48,8 +53,18 @@ def _hash(kind: bytes, value: bytes) -> int:
 
 @functools.lru_cache(maxsize=1 << 14)
 def _shape(signs: bytes) -> int:
-    """Feature of a word's shape: runs of equal signs once, the first dozen signs."""
-    return _hash(b"s", _RUNS.sub(rb"\1", signs)[:12])
+    """Feature of a word's shape: runs of equal signs once."""
+    return _hash(b"s", _RUNS.sub(rb"\1", signs))
+
+
+def _grams(word: bytes) -> list[int]:
+    """Features of a long word: its distinct runs of four characters."""
+    c = np.frombuffer(word.decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    h = np.zeros(max(0, len(c) - 3), np.uint64)
+    for k in range(4):
+        h = (h + c[k: len(c) - 3 + k] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return (np.unique(h * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(16)).tolist()
 
 
 class _WordFeatures(dict):
@@ -62,10 +77,13 @@ class _WordFeatures(dict):
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         plain = word.strip(_EDGE)
         plain = plain.lower() if plain.isascii() else plain.decode("utf-8", "replace").lower().encode()
-        found = (_hash(b"w", plain), _shape(word[:256].translate(_SIGNS)))
+        if len(word) <= _LONG:
+            found = (_hash(b"w", plain), _shape(word.translate(_SIGNS)))
+        else:
+            found = (_hash(b"w", plain), _shape.__wrapped__(word.translate(_SIGNS)), *_grams(plain))
         if self.within is not None:
             found = tuple(x for x in found if x in self.within)
-        if len(word) <= 64:
+        if len(word) <= _LONG:
             if len(self) >= _MOST_WORDS:
                 self.clear()
             self[word] = found
@@ -174,10 +192,12 @@ def rated(labels: DataFrame, grade: Column, id_col: str = "doc_id", sample: int
     return rows.groupBy("id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("id"), "id").limit(sample)
 
 
-def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text") -> Ordinal:
-    """The model for ``ratings``, (id, grade 0 to ``n_grades`` - 1), which must be a bounded table: it is broadcast and its features collected.
+def fit(
+    docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE,
+) -> Ordinal:
+    """The model for ``ratings``, (id, grade 0 to ``n_grades`` - 1); of more than ``sample`` those with the smallest hashes of their ids.
 
-    A rated document without a row in ``docs`` is left out, a null text is empty; of
+    So at most ``sample`` ids are broadcast, and ``sample`` x ``MOST_FEATURES`` features collected. A rated document without a row in ``docs`` is left out, a null text is empty; of
     several texts with one id the one with the smallest hash counts.
     """
 
@@ -185,10 +205,11 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_i
         known = _WordFeatures()
         for batch in slices(batches):
             texts = batch.column(2).cast(pa.binary()).to_pylist()
-            found = [sorted(features(t or b"", known)) for t in texts]
+            found = [sorted(features(t or b"", known))[:MOST_FEATURES] for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["id", "grade", "found"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    ratings = ratings.select("id", "grade").orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = rows.join(F.broadcast(ratings), "id").groupBy("id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     table = rows.mapInArrow(tidied(run), f"id {kind}, grade int, found array<long>").toArrow().sort_by("id")
@@ -202,7 +223,8 @@ def grade_texts(
     """One row per row of ``docs``: (id, score, expected_grade, tail, kept) and the columns in ``keep``.
 
     ``tail`` is the probability of ``least_grade`` or better, ``kept`` whether it is
-    at least ``least_tail``. A null or empty text is graded by its lack of words.
+    at least ``least_tail``. A null or empty text is graded by its lack of words, a very
+    long one by all its words, in memory that grows with it.
     Rows that repeat are graded alike, null ids are kept as rows, an empty table
     gives an empty table. ``keep`` may name any other columns but the result's.
     """

@@ -141,5 +141,41 @@ QUERIES = {
     "op13_tokencounts": op13_tokencounts,
 }
 
-#: DuckDB SQL of the queries that SQL can express.
-SQL: dict[str, str] = {}
+_WINDOWS = r"""WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+begun AS (SELECT r, words, unnest(range(1, len(words) - 33)) AS i FROM d WHERE len(words) >= 35),
+marked AS (SELECT r, i, md5(array_to_string(words[i : i + 34], ' ')) AS h FROM begun),
+again AS (SELECT h FROM marked GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS k FROM marked JOIN again USING (h)),
+word AS (SELECT r, unnest(range(1, len(words) + 1)) AS k, unnest(words) AS w FROM d),
+kept AS (SELECT r, string_agg(w, ' ' ORDER BY k) AS kept FROM word WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.r = word.r AND gone.k = word.k) GROUP BY r),
+lost AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, cast(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN lost USING (r)"""
+
+_COSINES = r"""WITH RECURSIVE v AS (
+  SELECT vec_id, label, cast(embedding AS DOUBLE[]) AS x, list_transform(cast(embedding AS DOUBLE[]), lambda c: coalesce(c, 0)) AS y FROM embeddings),
+usable AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+  AND len(list_filter(x, lambda c: c <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.y, b.y) >= 0.93),
+reach AS (
+  SELECT vec_id AS u, vec_id AS v FROM v UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v),
+roots AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u),
+degrees AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN roots ON roots.u = vec_id LEFT JOIN degrees ON degrees.u = vec_id"""
+
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substr(h, {5 * k + 1}, 5) AS BIGINT) >> {shift}) & 31 AS INT) + 1, 1)"
+    for k in range(8) for shift in (15, 10, 5, 0))
+
+_DIGESTS = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, first_value(page_id) OVER (PARTITION BY html ORDER BY page_id) AS first FROM p)
+SELECT page_id, cast(strlen(html) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
+
+#: DuckDB SQL of the queries that SQL can express; hashes like CRC-32 and XXH64, tokenizers and fitted models are not among it.
+SQL: dict[str, str] = {"op4_vectors": _COSINES, "op6_substrings": _WINDOWS, "op10_warc": _DIGESTS}

@@ -28,8 +28,8 @@ BANDS = {
     "latin": (1.2, 9.0, 0.20, 0.55), "cyrillic": (0.9, 8.0, 0.20, 0.55), "cjk": (0.3, 4.0, 0.70, 0.55), "other": (0.2, 9.0, 0.90, 0.50),
 }
 ENTROPY_SPAN = 256
-#: Pieces below which a text is too short for the bands, but for a share of byte pieces three deviations above.
-LEAST_PIECES = 48
+#: Deviations by which a band is widened: what n pieces say is uncertain by about one part in the root of n.
+DEVIATIONS = 3.0
 #: Base rules: fewest words, most words in repeated windows in a hundred, words of a window.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
 _SYMBOLS = b"#*$%&|<>"
@@ -155,11 +155,11 @@ def _judge(raw: bytes, words: list[bytes], lang: str | None, known: _Words, band
     band = lang if lang in bands else known.script(words)
     reasons = ["words"] * (n < LEAST_WORDS) + ["repetition"] * (100 * repeated > MOST_REPEATED * n)
     low, high, most, least = bands[band]
-    if 0 < count < LEAST_PIECES:
-        reasons += ["bytes"] * (share > most + 3 * math.sqrt(max(0, most * (1 - most)) / count))
-    if count >= LEAST_PIECES:
-        reasons += ["fertility"] * (not low <= per <= high) + ["bytes"] * (share > most)
-        reasons += ["entropy"] * (entropy < least * math.log2(min(count, ENTROPY_SPAN)))
+    if count:
+        slack = DEVIATIONS / math.sqrt(count)
+        reasons += ["fertility"] * (not low * (1 - slack) <= per <= high * (1 + slack))
+        reasons += ["bytes"] * (share > most + slack * math.sqrt(max(0, most * (1 - most))))
+        reasons += ["entropy"] * (entropy < (least - slack) * math.log2(min(count, ENTROPY_SPAN)))
     return {
         "n_words": n, "word_chars": chars, "n_symbols": len(joined) - len(joined.translate(None, _SYMBOLS)),
         "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": repeated, "n_pieces": count, "chars_per_piece": per,
@@ -176,11 +176,10 @@ def judge_texts(
     Words end at ASCII white space and are cut into pieces one by one; measures of
     pieces are null for a text without words. A text fails the base rules with
     fewer than ``LEAST_WORDS`` words or over ``MOST_REPEATED`` per cent of words in
-    ``WINDOW``-word windows found twice in the text. Texts of ``LEAST_PIECES``
-    pieces and more must lie in the band of their language, or of the script of
-    all their letters where the language is null or has no band; of shorter ones only
-    the share of byte pieces is judged, with three deviations more. A null text has no
-    words. Other columns are not read; rows that repeat are judged alike; an empty
+    ``WINDOW``-word windows found twice in the text. Texts must lie in the band of their
+    language, or of the script of all their letters where the language is null or has no
+    band; it is wider the fewer pieces a text has, by ``DEVIATIONS``. A null text has no
+    words; a very long one is judged whole, in memory that grows with it. Other columns are not read; rows that repeat are judged alike; an empty
     table gives an empty table.
     """
     path, bands = resource_path(tokenizer), {**BANDS, **(bands or {})}

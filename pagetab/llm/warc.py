@@ -49,8 +49,6 @@ _FROM_HEADERS = {
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = b"\r\n\r\n"
 _CHUNK = 1 << 16
-#: Most bytes of a record's headers; a longer header block means a damaged file.
-_MOST_HEADER = 1 << 20
 #: Bytes of payloads that make a batch.
 _BATCH = 8 << 20
 
@@ -179,18 +177,17 @@ def records(file: pa.NativeFile, packed: bool, wanted: callable, payloads: bool
     """The records of an open file that ``wanted(headers)`` admits, by the names of ``SCHEMA``."""
     source = _Gzip(file) if packed else _Plain(file)
     while source.open():
-        buffer = b""
-        while (end := buffer.find(_END)) < 0:
-            more = source.read(1024)
+        buffer, searched = b"", 0
+        while (end := buffer.find(_END, searched)) < 0:
+            searched = max(0, len(buffer) - 3)
+            more = source.read(max(1024, len(buffer) // 2))  # headers may be long: a URL has no limit
             if not more:
                 if buffer.strip():
                     raise ValueError("a record's headers end early")
                 break
             buffer += more
-            if not packed:
-                buffer = buffer.lstrip(b"\r\n")
-            if len(buffer) > _MOST_HEADER:
-                raise ValueError("a record's headers are too long")
+            if not packed and buffer[:1] in (b"\r", b"\n"):
+                buffer, searched = buffer.lstrip(b"\r\n"), 0
         if end < 0:
             source.close(0)
             continue

@@ -334,4 +334,4 @@ def test_script_of_the_whole_text(spark):
     rows = [(1, records, None), (2, rare, "en"), (3, "a plain short text of eleven words that is kept as before", "en"), (4, "", None)]
     got = {r["id"]: r for r in judge_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert got[1]["band"] == "cyrillic" and got[4]["band"] == "other"
-    assert got[2]["n_pieces"] < 48 and got[2]["reasons"] == ["bytes"] and got[3]["kept"]
+    assert got[2]["n_pieces"] < 48 and "bytes" in got[2]["reasons"] and got[3]["kept"]

@@ -1,6 +1,9 @@
 """The pipeline's stages in order, each against a plain version of what it decides; the registered queries."""
 
 import collections
+import glob
+import os
+import sys
 
 import numpy as np
 import pytest
@@ -9,6 +12,9 @@ import __spark_entry__ as entry
 import corpus_pipeline as pipeline
 from pagetab.llm.simhash import fingerprint
 
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from oracle_check import compare, connect  # noqa: E402
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -144,3 +150,24 @@ def test_ids_of_several_texts(spark, folder):
     docs = spark.createDataFrame([(i, t, "en", "s", 0, "h") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, h string")
     got = sorted(((r.doc_id, r.text) for r in pipeline.near_copies(spark, docs, folder[0]).collect()), key=str)
     assert got in (sorted([(1, a), (2, b), (3, x), (3, d), (None, e)], key=str) for x in (c, c.upper()))
+
+
+@pytest.mark.parametrize("name", sorted(entry.LLM_SQL))
+def test_queries_against_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    assert compare(spark, connect(sf), sf, entry.queries()[name], entry.oracle_sql()[name]) is None
+
+
+def test_links_against_sql(spark, tmp_path):
+    """The given vectors have no links in the small tables: these do, in chains, with repeats, nulls and zero vectors."""
+    rng = np.random.default_rng(3)
+    rows, base = [], rng.normal(size=(12, 8))
+    for i in range(160):
+        x = base[i % 12] + rng.normal(size=8) * (0.05, 0.2, 0.35)[i % 3]
+        rows.append((i, x.tolist(), (None, "a", "b")[i % 7 % 3]))
+    rows += [(200, None, "a"), (201, [0.0] * 8, "a"), (202, rows[1][1], "a"), (203, [float("nan")] * 8, "a"), (204, [1.0, None] * 4, "a")]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string").coalesce(1).write.parquet(f"{tmp_path}/parts")
+    os.rename(glob.glob(f"{tmp_path}/parts/*.parquet")[0], f"{tmp_path}/embeddings.parquet")
+    query = entry.queries()["op4_vectors"]
+    assert compare(spark, connect(str(tmp_path)), str(tmp_path), query, entry.oracle_sql()["op4_vectors"]) is None
+    assert query(spark, str(tmp_path)).where("n_links > 0").count() > 40

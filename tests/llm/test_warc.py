@@ -103,3 +103,21 @@ def test_filters_are_pushed(spark, pages, tmp_path):
     (tmp_path / "other").mkdir()
     (tmp_path / "other/a.warc").write_bytes(record(b"a") + record(b"b"))
     assert warc.read_warc(spark, str(tmp_path / "other")).count() == warc.read_warc(spark, str(tmp_path / "other/a.warc")).count() == 2
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_headers_of_any_length(packed):
+    """A record of a URL of 2 MiB, between others."""
+    long = "http://a.example/" + "x" * (2 << 20)
+    some = [record(b"one"), record(b"two", target_uri=long), record(b"three")]
+    data = b"".join(warc.gzip_member(r) if packed else r for r in some)
+    for payloads in (True, False):
+        rows = list(warc.records(pa.BufferReader(data), packed, lambda head: True, payloads))
+        assert rows[1]["target_uri"] == long and [r["payload_length"] for r in rows] == [3, 3, 5]
+    assert [r["payload"] for r in warc.records(pa.BufferReader(data), packed, lambda head: len(head["warc-target-uri"]) < 99, True)] == [b"one", b"three"]
+
+
+def test_page_with_a_long_url(spark):
+    rows = [(1, "http://a.example/" + "y" * (2 << 20), "<p>a"), (2, None, None), (3, "", "<p>a")]
+    found = warc.archived_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.id, r.record_type, r.refers_to) for r in found) == [(1, "response", None), (2, "response", None), (3, "revisit", 1)]

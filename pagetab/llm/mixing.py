@@ -10,7 +10,7 @@ between bounds that each step narrows. Sums are taken over decimals, so that
 reruns agree to the last bit.
 
 Rates become copies by systematic rounding along cells of at most a few hundred
-documents of one source and one size: running totals are rounded per cell, and in
+documents of one source and one size: running totals, summed up level by level, are rounded per cell, and in
 a cell the documents with the smallest hash take the copies left over. A source
 with a third of all documents, or a size that a third of them share, is spread
 over many cells.
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from pagetab.llm.common import SPACES, dropped, scratch, stored
 
-#: Documents of one cell, about.
-CELL = 256
+#: Documents of one cell, about, and cells of one block.
+CELL, CELLS = 256, 1024
 #: Largest relative miss of a source's target at which steps end, and the most steps; halving alone needs fewer.
 CLOSE, STEPS = 1e-6, 100
 _BOUND = 60.0
@@ -110,6 +110,31 @@ def tilts(spark: SparkSession, sizes: DataFrame, targets: DataFrame, cap: int, f
     return state.select("source", "docs", "source_size", F.when(~F.col("full"), F.col("tilt")).alias("tilt"), "full")
 
 
+def running(cells: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add the sum of ``value`` up to and with each cell, in the order of size and cell within its source.
+
+    Cells are summed in blocks, blocks within their size, sizes within their source, so that
+    no task has more of a source than its distinct sizes, its blocks of one size, or one block. Sums are
+    of decimals and exact. ``cells`` should be a table, as it is read once for each level.
+    """
+    part = "decimal(34,9)"
+    source, size = ["none", "source"], ["none", "source", "size"]
+    blocked = cells.withColumn("_v", value.cast("decimal(28,9)")).withColumn("_block", F.floor(F.col("cell") / CELLS))
+    blocks = blocked.groupBy(*size, "_block").agg(F.sum("_v").alias("_b"))
+    sizes = blocks.groupBy(*size).agg(F.sum("_b").cast(part).alias("_s"))
+
+    def before(column: str, keys: list[str], order: str) -> Column:
+        return (F.sum(column).over(Window.partitionBy(*keys).orderBy(order)) - F.col(column)).cast(part)
+
+    sizes = sizes.select(*size, before("_s", source, "size").alias("_sizes"))
+    blocks = blocks.withColumn("_b", F.col("_b").cast(part)).select(*size, "_block", before("_b", size, "_block").alias("_blocks"))
+    inside = F.sum("_v").over(Window.partitionBy(*size, "_block").orderBy("cell")).cast(part)
+    return (
+        blocked.withColumn("_cells", inside).join(blocks, [*size, "_block"]).join(sizes, size)
+        .withColumn(name, F.col("_sizes") + F.col("_blocks") + F.col("_cells")).drop("_v", "_block", "_sizes", "_blocks", "_cells")
+    )
+
+
 def mix_sources(
     docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, id_col: str = "doc_id",
     text_col: str = "text", source_col: str = "source", cell: int = CELL,
@@ -147,22 +172,22 @@ def mix_sources(
     # a stored table, so that the documents of one size can be dealt out by cell
     celled = stored(
         light.where("size > 0").join(rates, key).withColumn("cell", F.expr("pmod(h, cells)").cast("int")).drop("cells"), f"{folder}/celled")
-    counts = celled.groupBy(*key, "cell").agg(F.count(F.lit(1)).alias("m"), F.first("rate").alias("rate"))
-    upto = Window.partitionBy("none", "source").orderBy("size", "cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    share = (F.col("m") * F.col("rate")).cast(_EXACT)
+    counts = stored(celled.groupBy(*key, "cell").agg(F.count(F.lit(1)).alias("m"), F.first("rate").alias("rate")), f"{folder}/counts")
+    share = (F.col("m") * F.col("rate")).cast("decimal(28,9)")
     whole = lambda c: F.floor(c + F.lit(0.5).cast("decimal(2,1)")).cast("long")
-    rounded = counts.withColumn("end", F.sum(share).over(upto)).select(
-        *key, "cell", "m", (whole(F.col("end")) - whole(F.col("end") - share)).alias("take"))
+    rounded = running(counts, share, "end").select(*key, "cell", "m", (whole(F.col("end")) - whole(F.col("end") - share)).alias("take"))
+    rounded = stored(rounded, f"{folder}/rounded")
     # what rounding leaves of a source's target goes to, or comes from, its shortest documents
+    given = rounded.groupBy("none", "source").agg(F.sum(F.col("take") * F.col("size")).alias("given"))
     goal = targets.select(
         F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("source"), F.round("target").cast("long").alias("goal"))
-    every = Window.partitionBy("none", "source")
-    left = F.col("goal") - F.sum(F.col("take") * F.col("size")).over(every)
+    goal = goal.join(given, ["none", "source"]).select("none", "source", (F.col("goal") - F.col("given")).alias("left"))
     slots = F.when(F.col("left") > 0, F.least(F.col("m"), cap * F.col("m") - F.col("take"))).otherwise(F.least("m", "take"))
-    spent = F.sum(F.col("slots") * F.col("size")).over(upto) - F.col("slots") * F.col("size")
+    slotted = stored(rounded.join(goal, ["none", "source"]).withColumn("slots", slots), f"{folder}/slotted")
+    spent = F.col("upto").cast("long") - F.col("slots") * F.col("size")
     moved = F.greatest(F.lit(0), F.least(F.col("slots"), F.floor((F.abs("left") - spent) / F.col("size"))))
     cells = stored(
-        rounded.join(goal, ["none", "source"]).withColumn("left", left).withColumn("slots", slots)
+        running(slotted, F.col("slots") * F.col("size"), "upto")
         .select(*key, "cell", "m", (F.col("take") + F.signum("left").cast("long") * moved).alias("take")), f"{folder}/cells")
     place = F.row_number().over(Window.partitionBy(*key, "cell").orderBy("h", "id"))
     copies = F.floor(F.col("take") / F.col("m")) + F.when(F.col("place") <= F.col("take") % F.col("m"), 1).otherwise(0)
@@ -172,6 +197,6 @@ def mix_sources(
         "id", "h", "none", "source", "size", F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"))
     per = targets.select(
         F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("source"), "source_size", "target")
-    dropped(spark, f"{folder}/sizes", f"{folder}/rates")
+    dropped(spark, *(f"{folder}/{x}" for x in ("sizes", "rates", "counts", "rounded", "slotted")))
     return picked.unionByName(wordless).join(per, ["none", "source"]).select(
         "id", "h", "size", "source_size", "target", "rate", "copies")

@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark import SparkContext
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 
 def reusable(build: Callable[..., Column]) -> Callable[..., Column]:
@@ -21,9 +20,10 @@ def reusable(build: Callable[..., Column]) -> Callable[..., Column]:
     @wraps(build)
     def call(*args: Column | str) -> Column:
         columns = [F.col(a) if isinstance(a, str) else a for a in args]
-        if not all(isinstance(a, str) for a in args):
+        session = SparkSession.getActiveSession()
+        if session is None or not all(isinstance(a, str) for a in args):
             return build(*columns)
-        key = (id(SparkContext._gateway), *args)
+        key = (session.sparkContext.applicationId, *args)
         if key not in built:
             built[key] = build(*columns)
         return built[key]

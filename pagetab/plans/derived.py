@@ -67,8 +67,24 @@ def origins(captures: DataFrame) -> DataFrame:
     return captures.select("crawl_id").distinct()
 
 
+def _packed(responses: DataFrame) -> DataFrame:
+    """Bodies of every seventh page packed, unless their encoding is set already or they might be too large even so."""
+    names = responses.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, codings = batch.column("capture_id").to_pylist(), batch.column("content_encoding").to_pylist()
+            bodies = batch.column("body").to_pylist()
+            packs = [c is None and i % 7 == 2 and len(b) <= 24_000 for i, c, b in zip(ids, codings, bodies, strict=True)]
+            bodies = [gzip.compress(b) if p else b for p, b in zip(packs, bodies, strict=True)]
+            new = {"body": pa.array(bodies, pa.binary()), "content_encoding": pa.array(["gzip" if p else c for p, c in zip(packs, codings, strict=True)], pa.string())}
+            yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], names)
+
+    return responses.mapInArrow(run, responses.schema)
+
+
 def site_responses(captures: DataFrame) -> DataFrame:
-    """``page_responses`` plus one start page per origin."""
+    """``page_responses``, some packed, plus one start page per origin."""
     html = F.concat(
         F.lit("<title>Site index</title><main>Captured pages of "), F.col("crawl_id"), F.lit("</main>")
     )
@@ -84,7 +100,7 @@ def site_responses(captures: DataFrame) -> DataFrame:
         F.expr("timestamp_seconds(1704067200)").alias("fetched_at"),
         F.lit(None).cast("string").alias("error_type"),
     )
-    return page_responses(captures).unionByName(start)
+    return _packed(page_responses(captures)).unionByName(start)
 
 
 def site_anchors(captures: DataFrame) -> DataFrame:

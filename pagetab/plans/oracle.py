@@ -275,7 +275,9 @@ starts AS (
   SELECT crawl_id, crawl_id || '/' AS start_url, least(max_pages, max_requests - 1) AS page_budget, max_candidates
   FROM site_gates WHERE robots_status <> 'unavailable' AND {_LENIENT}),
 site_outcomes AS (
-  SELECT crawl_id, {_request_url('url')} AS url, page_id, kind, http_status, error_type, redirect_status, redirect_to FROM first_outcomes
+  SELECT crawl_id, {_request_url('url')} AS url, page_id, kind, http_status,
+    CASE WHEN error_type = 'DownloadCancelledError' AND page_id % 7 = 2 AND page_id % 23 <> 11 AND strlen(html) <= 24000 THEN 'IgnoreRequest' ELSE error_type END AS error_type,
+    redirect_status, redirect_to FROM first_outcomes
   WHERE url <> crawl_id || '/'
   UNION ALL SELECT crawl_id, crawl_id || '/', -1, 'document', 200, NULL, NULL, NULL FROM origins),
 site_links AS (
@@ -535,7 +537,8 @@ def build() -> dict[str, str]:
                        "coalesce(sum(CASE WHEN allowed THEN 1 ELSE 0 END) OVER (PARTITION BY crawl_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING "
                        "AND 1 PRECEDING), 0) < least(20, 4 + length(crawl_id) % 7) AS processed FROM v",
         "frontier_depth": f"{_ctes(_CATALOG, _frontier(6, False))} SELECT crawl_id, url, discovered_from, depth, seq, processed FROM frontier",
-        "crawl_records": f"{_SITE} SELECT * EXCLUDE (page_id) FROM records",
+        "crawl_records": f"{_SITE} SELECT * EXCLUDE (page_id), CASE WHEN kind IN ('document', 'redirect', 'http_error', 'unsupported_content') "
+                         f"THEN {_iso('page_id')} END AS fetched_at FROM records",
         "documents_export": f"{_SITE} SELECT {_guard('url')} AS url, {_guard('title')} AS title, {_guard('text')} AS text, content_sha256, "
                             "strftime(to_timestamp(1704067200 + greatest(page_id, 0)) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || '+00:00' AS fetched_at, "
                             "cast(http_status AS VARCHAR) AS http_status, coalesce(discovered_from, '') AS discovered_from, cast(depth AS VARCHAR) AS depth, "

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pagetab.functions.text import clean_text, content_sha256, csv_guard, is_longer, limited
+from pagetab.functions.text import clean_text, content_sha256, csv_guard, is_longer, limited, utc_iso
 from pagetab.functions.urls import admit, has_sensitive_query, normalize_url, url_origin
 from pagetab.operators import audits, frontier as fr, policies as pol, reconcile as rec, reports as rp, robots as rb
 from pagetab.operators.bodies import decode_bodies, plain_bodies
@@ -351,7 +351,7 @@ def _new_site_crawl(spark: SparkSession, sf: str, tight: bool) -> CrawlRun:
     captures = d.page_captures(spark, sf)
     return crawl(
         d.site_policies(captures, tight), d.site_robots(captures), d.site_responses(captures),
-        anchors=d.site_anchors(captures), encoded=False,
+        anchors=d.site_anchors(captures),
     )
 
 
@@ -359,7 +359,7 @@ def crawl_records(spark: SparkSession, sf: str) -> DataFrame:
     return site_crawl(spark, sf).records.select(
         "crawl_id", F.col("seq").cast("bigint").alias("seq"), "kind", "url", "discovered_from", "depth", "http_status",
         "title", "title_missing", "text", "text_truncated", "content_sha256", "redirect_status", "redirect_to",
-        "error_type", "phase",
+        "error_type", "phase", utc_iso(F.col("fetched_at")).alias("fetched_at"),
     )
 
 

@@ -88,9 +88,9 @@ def visit(routes, limits):
     return records, dict(excluded), attempts, len(waiting), stop or ("max_candidates" if full else "frontier_exhausted")
 
 
-@pytest.mark.parametrize("block", [1, 10, BLOCK])
+@pytest.mark.parametrize("block", [2, BLOCK])
 def test_random_sites(spark, block):
-    """Blocks of a link or so, of some pages, and of whole sites."""
+    """Blocks of a few links, and of whole sites."""
     rnd = random.Random(17)
     sites = {f"s{i}": random_site(rnd) for i in range(400)}
     ran = run(spark, sites, block=block)

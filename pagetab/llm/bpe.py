@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetab.llm.common import resource_path, slices, tidied
+from pagetab.llm.common import held, resource_path, slices, tidied
 
 #: Fixed value: how texts are split before merging; white space is Unicode's.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -261,12 +261,14 @@ class Decoder:
         return self.bytes[where].tobytes().decode("utf-8", "replace")
 
 
+@held
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder per worker and file: the automaton is built once."""
     return Encoder(path)
 
 
+@held
 @functools.lru_cache(maxsize=2)
 def decoder(path: str) -> Decoder:
     """One decoder per worker and file."""
@@ -305,7 +307,8 @@ def encode_texts(
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(f.name).alias(f"k{i}") for i, f in enumerate(extra)))
     kinds = [("id", rows.schema["id"].dataType.simpleString()), ("ids", "array<int>"), *((f.name, f.dataType.simpleString()) for f in extra)]
-    return rows.mapInArrow(tidied(run), ", ".join(f"`{n}` {k}" for n, k in kinds))
+    return rows.mapInArrow(
+        tidied(run, uses=(encoder, decoder)), ", ".join(f"`{n}` {k}" for n, k in kinds))
 
 
 def decode_ids(
@@ -329,4 +332,4 @@ def decode_ids(
     kinds += [(f.name, f.dataType.simpleString()) for f in extra]
     names = [n for n, _ in kinds]
     return encoded.select("id", "ids", *(F.col(f.name).alias(f"k{i}") for i, f in enumerate(extra))).mapInArrow(
-        tidied(run), ", ".join(f"`{n}` {k}" for n, k in kinds))
+        tidied(run, uses=(encoder, decoder)), ", ".join(f"`{n}` {k}" for n, k in kinds))

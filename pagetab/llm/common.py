@@ -59,10 +59,32 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, giving its memory back when it ends: Spark keeps a worker for later tasks, next to an executor that needs the room."""
+_HELD: list = []
+
+
+def held(cache):
+    """Mark a cached function whose results a worker holds between tasks, until a task comes that does not use them."""
+    _HELD.append(cache)
+    return cache
+
+
+def let_go(uses: tuple = ()) -> None:
+    """Empty the marked caches of this worker, but those in ``uses``."""
+    for cache in _HELD:
+        if cache not in uses:
+            cache.cache_clear()
+
+
+def tidied(
+    run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], uses: tuple = ()
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, giving its memory back when it ends: Spark keeps a worker for later tasks, next to an executor that needs the room.
+
+    Before it begins, the worker lets go of what earlier tasks held, but for the caches in ``uses``.
+    """
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(uses)
         yield from run(batches)
         gc.collect()
         pa.default_memory_pool().release_unused()

@@ -7,11 +7,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from pagetab.functions.batches import BATCH_BYTES, batch_limits, frugal
 from pagetab.functions.codecs import decode_body
 
-#: Decoded bytes that make an Arrow batch: many small bodies may grow to much more than they take compressed.
-BATCH_BYTES = 32 << 20
-
 _ADDED = [
     T.StructField("body", T.BinaryType()),
     T.StructField("residual_encoding", T.StringType()),
@@ -28,8 +26,10 @@ def decode_bodies(df: DataFrame, limit: Column) -> DataFrame:
     size met while decoding, 0 when nothing was encoded), decode_error and
     decode_truncated (a damaged tail was dropped after good data). ``limit`` is the
     row's own body limit: nothing is expanded further than one byte past it. A null
-    limit expands nothing that is encoded.
+    limit expands nothing that is encoded. A batch ends at ``BATCH_BYTES`` decoded bytes, as
+    many small bodies may grow to much more than they take compressed.
     """
+    batch_limits(df.sparkSession)
     sized = df.withColumns({
         "body_bytes": F.octet_length("body").cast("bigint"), "_limit": F.coalesce(limit, F.lit(0)).cast("bigint"),
     })
@@ -51,7 +51,7 @@ def decode_bodies(df: DataFrame, limit: Column) -> DataFrame:
                     )
                     start, held, rows = i + 1, 0, []
 
-    return sized.mapInArrow(run, T.StructType(kept + _ADDED))
+    return sized.mapInArrow(frugal(run), T.StructType(kept + _ADDED))
 
 
 def plain_bodies(df: DataFrame) -> DataFrame:

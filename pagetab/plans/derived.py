@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from pagetab.functions.batches import batch_limits, frugal
 from pagetab.sources.capture import as_responses, read_table
 
 # The three robots files that derived crawls use, by length of the origin modulo 3.
@@ -69,6 +70,7 @@ def origins(captures: DataFrame) -> DataFrame:
 
 def _packed(responses: DataFrame) -> DataFrame:
     """Bodies of every seventh page packed, unless their encoding is set already or they might be too large even so."""
+    batch_limits(responses.sparkSession)
     names = responses.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +82,7 @@ def _packed(responses: DataFrame) -> DataFrame:
             new = {"body": pa.array(bodies, pa.binary()), "content_encoding": pa.array(["gzip" if p else c for p, c in zip(packs, codings, strict=True)], pa.string())}
             yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], names)
 
-    return responses.mapInArrow(run, responses.schema)
+    return responses.mapInArrow(frugal(run), responses.schema)
 
 
 def site_responses(captures: DataFrame) -> DataFrame:
@@ -248,6 +250,7 @@ def event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encoded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages compressed in different ways by page number, some of them damaged."""
+    batch_limits(spark)
     pages = read_table(spark, sf_dir, "pages").select("page_id", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,4 +274,4 @@ def encoded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                 ["page_id", "content_encoding", "body"],
             )
 
-    return pages.mapInArrow(run, "page_id bigint, content_encoding string, body binary")
+    return pages.mapInArrow(frugal(run), "page_id bigint, content_encoding string, body binary")

@@ -9,11 +9,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from pagetab.functions.batches import BATCH_BYTES, batch_limits, frugal
 from pagetab.functions.html import scan_page
 from pagetab.functions.reuse import reusable
 from pagetab.functions.text import content_sha256, is_longer, limited
 from pagetab.functions.urls import normalize_url, refusal, resolve_url
-from pagetab.operators.bodies import BATCH_BYTES
 
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([^\s\"';]+)", re.I)
 
@@ -43,6 +43,7 @@ def extract_pages(df: DataFrame, source: str = "body", content_type: str | None
     read: there is no shuffle, the other columns pass through as Arrow data, and
     the HTML is dropped here so that no later exchange carries it.
     """
+    batch_limits(df.sparkSession)
     kept = [f for f in df.schema.fields if f.name != source]
     names = [f.name for f in kept]
 
@@ -63,7 +64,7 @@ def extract_pages(df: DataFrame, source: str = "body", content_type: str | None
                     )
                     start, held, pages = i + 1, 0, []
 
-    return df.mapInArrow(run, T.StructType(kept + _PAGE_FIELDS))
+    return df.mapInArrow(frugal(run), T.StructType(kept + _PAGE_FIELDS))
 
 
 def with_document_columns(pages: DataFrame, max_text_chars: Column) -> DataFrame:

@@ -18,6 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from pagetab.functions.urls import MAX_URL_CHARS, request_url
@@ -139,7 +140,7 @@ def _blocks(links: DataFrame, block: int) -> DataFrame:
 
 
 def _waiting(state: DataFrame, ahead: int) -> DataFrame:
-    """What each open crawl waits for: (crawl_id, blocks, pages, whole), the last being the ``ahead`` blocks to read whole.
+    """What each open crawl waits for: (crawl_id, blocks, max_candidates, pages, whole), the last being the ``ahead`` blocks to read whole.
 
     Those are the blocks of the foremost pages, and if there are fewer the blocks after
     the first of them. The arrays are bounded by the page budget.
@@ -147,11 +148,11 @@ def _waiting(state: DataFrame, ahead: int) -> DataFrame:
     waits = F.sort_array(F.collect_list(F.when(F.col("waits"), F.struct("seq", _block("request_url").alias("b")))))
     return (
         state.where("open").groupBy("crawl_id")
-        .agg(F.first("blocks").alias("blocks"), F.collect_set(F.when(F.col("waits"), F.col("request_url"))).alias("pages"), waits.alias("w"))
-        .select("crawl_id", "blocks", "pages", F.col("w.b").alias("b"))
+        .agg(F.first("blocks").alias("blocks"), F.first("max_candidates").alias("max_candidates"), F.collect_set(F.when(F.col("waits"), F.col("request_url"))).alias("pages"), waits.alias("w"))
+        .select("crawl_id", "blocks", "max_candidates", "pages", F.col("w.b").alias("b"))
         .withColumn("next", F.transform(F.sequence(F.lit(0), F.lit(ahead - 1)), lambda k: F.pmod(F.element_at("b", 1) + k, F.col("blocks"))))
         .where(F.size("b") > 0)
-        .select("crawl_id", "blocks", "pages", F.slice(F.array_distinct(F.concat("b", "next")), 1, ahead).alias("whole"))
+        .select("crawl_id", "blocks", "max_candidates", "pages", F.slice(F.array_distinct(F.concat("b", "next")), 1, ahead).alias("whole"))
     )
 
 
@@ -164,8 +165,30 @@ def _live(waiting: DataFrame, buckets: int) -> list[int]:
     return sorted(r[0] for r in pages.unionByName(whole).distinct().collect())
 
 
-def _in_hand(page_url: str) -> Column:
-    return F.array_contains("whole", _block(page_url)) | F.array_contains("pages", F.col(page_url))
+def _with_ready(rows: DataFrame, waiting: DataFrame, page_url: str) -> DataFrame:
+    """``rows`` of the crawls in ``waiting`` with ``blocks`` and ``ready``: whether the links of the page are in hand.
+
+    A page is looked up by a join: a crawl may wait for a thousand, and a search through
+    them for every link would cost links x pages.
+    """
+    whose = waiting.select("crawl_id", "blocks", "whole")
+    pages = waiting.select("crawl_id", F.explode("pages").alias(page_url), F.lit(True).alias("waited"))
+    ready = F.array_contains("whole", _block(page_url)) | F.coalesce("waited", F.lit(False))
+    return rows.join(whose, "crawl_id").join(pages, ["crawl_id", page_url], "left").withColumn("ready", ready).drop("whole", "waited")
+
+
+def _first_targets(links: DataFrame) -> DataFrame:
+    """The links of each page that may count: the first to each target, and as many targets as its crawl may have candidates.
+
+    At most that many less those seen are still taken, so of the first ``max_candidates``
+    targets enough are new. A start page may lead to all pages of its site.
+    """
+    order = F.struct(F.col("pos").isNull().alias("last"), "pos", "deeper")
+    firsts = links.repartition("crawl_id", "src_url").groupBy("crawl_id", "src_url", "url").agg(
+        F.min(order).alias("first"), F.first("max_candidates").alias("most"))
+    rank = F.row_number().over(W.partitionBy("crawl_id", "src_url").orderBy("first", "url"))
+    return firsts.withColumn("rank", rank).where(F.col("rank") <= F.col("most")).select(
+        "crawl_id", "src_url", "first.pos", "url", "first.deeper")
 
 
 class _Queue:
@@ -188,7 +211,7 @@ class _Queue:
         order = np.lexsort((links["deeper"].to_numpy(), links["pos"].to_numpy(), link_from))
         self.to, self.deeper = link_to[order], links["deeper"].to_numpy()[order]
         self.ends = np.searchsorted(link_from[order], np.arange(n + 1))
-        self.too_long = np.array([len(x) > MAX_URL_CHARS for x in self.names.to_pylist()], bool)
+        self.too_long = pc.utf8_length(self.names).to_numpy(zero_copy_only=False) > MAX_URL_CHARS
         self.state, self.budget, self.most = state, state["page_budget"][0].as_py(), state["max_candidates"][0].as_py()
         self.queue = urls.tolist()
         self.seen = np.zeros(n, bool)
@@ -222,10 +245,10 @@ class _Queue:
                 page = self.request[url]
                 if self.too_long[page]:
                     aborted = at
-                elif not self.ready[page]:
-                    is_open = True
-                    break
-                else:
+                elif len(self.queue) < self.most:  # a full queue takes no more, whatever the links are
+                    if not self.ready[page]:
+                        is_open = True
+                        break
                     self.expand(at)
                 attempts += 1
             at += 1
@@ -250,19 +273,20 @@ class _Queue:
 
 def _round(state: DataFrame, waiting: DataFrame, links: DataFrame, rules: DataFrame, chains: DataFrame) -> DataFrame:
     """The rows of the open crawls after a round: each crawl follows its queue through the links in hand."""
-    whose = waiting.select("crawl_id", "blocks", "pages", "whole")
     judged = robots_verdicts(links.select("crawl_id", "url").distinct(), rules, chains).select(
         "crawl_id", "url", request_url("url").alias("request_url"), (~F.col("allowed")).alias("blocked"))
-    judged = judged.join(whose, "crawl_id").select("crawl_id", "url", "request_url", "blocked", _in_hand("request_url").alias("ready"))
-    known = state.where("open").join(whose.drop("blocks"), "crawl_id").select(*_QUEUE, _in_hand("request_url").alias("ready"))
+    judged = _with_ready(judged, waiting, "request_url").select("crawl_id", "url", "request_url", "blocked", "ready")
+    known = _with_ready(state.where("open").drop("blocks"), waiting, "request_url").select(*_QUEUE, "ready")
     # one table of three kinds of rows, so that a crawl's rows meet in one shuffle
     kinds = known.withColumn("part", F.lit(0)).unionByName(
         judged.withColumn("part", F.lit(1)), allowMissingColumns=True).unionByName(
         links.withColumn("part", F.lit(2)), allowMissingColumns=True)
 
     def run(table: pa.Table) -> pa.Table:
-        part = table["part"].to_numpy()
-        known, judged, links = (table.filter(pa.array(part == k)) for k in range(3))
+        # the columns that its kind of rows has, before rows are copied
+        part, names = table["part"].to_numpy(), ([*_QUEUE, "ready"], ["url", "request_url", "blocked", "ready"], ["src_url", "pos", "url", "deeper"])
+        known, judged, links = (table.select(names[k]).filter(pa.array(part == k)) for k in range(3))
+        del table, part
         if not len(known):
             return _STATE.empty_table()
         return _Queue(known.sort_by("seq"), judged, links.sort_by("url")).advance()
@@ -311,11 +335,9 @@ def expand(
         live = _live(waiting, buckets)
         if not live:
             break
-        links = (
-            table.where(F.col("bucket").isin(live)).join(waiting, "crawl_id").where(_in_hand("src_url"))
-            .select("crawl_id", "src_url", "pos", "url", "deeper")
-        )
-        links = written(links, f"{folder}/links-{n}")
+        links = _with_ready(table.where(F.col("bucket").isin(live)), waiting, "src_url").where("ready")
+        links = links.join(waiting.select("crawl_id", "max_candidates"), "crawl_id")
+        links = written(_first_targets(links), f"{folder}/links-{n}")
         paths.append(f"{folder}/round-{n}")
         state = written(_round(state, waiting, links, rules, chains), paths[-1])
         dropped(spark, f"{folder}/links-{n}", f"{folder}/waiting-{n}")

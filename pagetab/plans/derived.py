@@ -187,11 +187,16 @@ def catalog_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
             source.alias("src_url"), F.col(key).cast("bigint").alias("pos"), target.alias("url"), F.lit(1).alias("deeper"),
         )
 
+    # both ways of a pair at once, so that pairs are counted and joined once
+    there, back = page("supplier", "l_suppkey"), page("part", "l_partkey")
+    ways = F.array(
+        F.struct(there.alias("s"), F.col("l_partkey").alias("p"), back.alias("t")),
+        F.struct(back.alias("s"), F.col("l_suppkey").alias("p"), there.alias("t")))
+    both = link(supplied.select("n_regionkey", F.inline(ways)), F.col("s"), "p", F.col("t"))
     return (
         link(nation, page("region", "n_regionkey"), "n_nationkey", page("nation", "n_nationkey"))
         .unionByName(link(supplier, page("nation", "n_nationkey"), "s_suppkey", page("supplier", "s_suppkey")))
-        .unionByName(link(supplied, page("supplier", "l_suppkey"), "l_partkey", page("part", "l_partkey")))
-        .unionByName(link(supplied, page("part", "l_partkey"), "l_suppkey", page("supplier", "l_suppkey")))
+        .unionByName(both)
     )
 
 

@@ -7,7 +7,7 @@ from collections import Counter, deque
 import pytest
 from pyspark.sql import functions as F
 
-from pagetab.operators.frontier import BLOCK, expand, first_mentions, numbered
+from pagetab.operators.frontier import BLOCK, _first_targets, expand, first_mentions, numbered
 
 from sites import ORIGIN, page, run
 
@@ -169,3 +169,23 @@ def test_a_round_reads_what_it_waits_for(spark, tmp_path):
     rounds = [spark.read.parquet(f"{tmp_path}/64/round-{k}") for k in range(1, 1 + sum(x.startswith("round-") for x in os.listdir(f"{tmp_path}/64")) - 1)]
     assert 2 <= len(rounds) <= 4
     assert {r.crawl_id for r in rounds[-1].collect()} == {"wide"}
+
+
+def test_a_full_queue_reads_no_more_links(spark, tmp_path):
+    """The first page fills the queue; the others lead on, but what they lead to finds no room and is not read."""
+    rows = [("full", f"{ORIGIN}/0", i, f"{ORIGIN}/a{i}", 1) for i in range(200)]
+    rows += [("full", f"{ORIGIN}/a{i}", k, f"{ORIGIN}/b{i}-{k}", 1) for i in range(200) for k in range(20)]
+    found = expand(starts(spark, ["full"], most=100), spark.createDataFrame([], NO_RULES), links(spark, rows), str(tmp_path), block=64, ahead=1)
+    got = sorted((r.seq, r.url.removeprefix(ORIGIN), r.depth, r.processed) for r in found.collect())
+    assert got == [(1, "/0", 0, True)] + [(i + 2, f"/a{i}", 1, True) for i in range(99)]
+    assert sorted(x for x in os.listdir(tmp_path) if x.startswith("round-")) == ["round-0", "round-1"]
+
+
+def test_first_targets_of_a_page(spark):
+    """The first link to each target in order of place, no place last, and no more targets than may be candidates."""
+    rows = [("c", "p", 5, "u", 1), ("c", "p", 2, "u", 0), ("c", "p", 2, "t", 1), ("c", "p", 2, "s", 1), ("c", "p", None, "r", 1), ("c", "q", 9, "r", 1)]
+    rows += [("d", "p", i, f"u{i // 2:04d}", 1) for i in range(3000)]
+    most = F.when(F.col("crawl_id") == "c", 4).otherwise(1000)
+    got = {tuple(r) for r in _first_targets(links(spark, rows).withColumn("max_candidates", most)).select("crawl_id", "src_url", "pos", "url", "deeper").collect()}
+    want = {("c", "p", 2, "u", 0), ("c", "p", 2, "t", 1), ("c", "p", 2, "s", 1), ("c", "p", None, "r", 1), ("c", "q", 9, "r", 1)}
+    assert got == want | {("d", "p", 2 * i, f"u{i:04d}", 1) for i in range(1000)}

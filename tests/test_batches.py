@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagetab.functions.batches import BATCH_BYTES, ROWS, batch_limits, frugal
 from pagetab.operators.bodies import decode_bodies
 from pagetab.operators.pages import extract_pages
+from pagetab.plans.derived import page_responses, site_responses
 
 LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -30,6 +31,21 @@ def test_batches_are_small(unlimited, decode):
     assert max(r.size for r in got) < 2 * BATCH_BYTES
 
 
+def test_derived_responses_come_in_small_batches(unlimited):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"size": pa.array([batch.nbytes], pa.int64()), "n": pa.array([batch.num_rows], pa.int64())})
+
+    captures = page_responses(unlimited.range(0, 6000, 1, 1).select(
+        F.lit("https://e.com").alias("crawl_id"), F.col("id").alias("capture_id"), F.concat(F.lit("https://e.com/"), "id").alias("url"),
+        F.lit(200).alias("http_status"), F.lit("text/html").alias("content_type"), F.lit(None).cast("string").alias("content_encoding"),
+        F.lit(None).cast("string").alias("location"), F.repeat(F.lit("x"), 2000).cast("binary").alias("body"),
+        F.expr("timestamp_seconds(id)").alias("fetched_at"), F.lit(None).cast("string").alias("error_type")))
+    got = site_responses(captures).mapInArrow(sizes, "size bigint, n bigint").collect()
+    assert sum(r.n for r in got) == 6001
+    assert max(r.size for r in got) < 2 * BATCH_BYTES
+
+
 @pytest.mark.parametrize("set_to, kept", [("64m", str(BATCH_BYTES)), ("1m", "1m"), ("4096", "4096b"), ("8192kb", str(BATCH_BYTES))])
 def test_limit_is_only_lowered(unlimited, set_to, kept):
     unlimited.conf.set(LIMIT, set_to)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from pagetab.functions.batches import BATCH_BYTES, batch_limits, frugal
+from pagetab.functions.batches import BATCH_BYTES, batch_limits, column, frugal
 from pagetab.functions.codecs import decode_body
 
 _ADDED = [
@@ -46,7 +46,7 @@ def decode_bodies(df: DataFrame, limit: Column) -> DataFrame:
                 if held >= BATCH_BYTES or i + 1 == batch.num_rows:
                     added = zip(zip(*rows, strict=True), (pa.binary(), pa.string(), pa.int64(), pa.string(), pa.bool_()), strict=True)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(n).slice(start, len(rows)) for n in names] + [pa.array(v, k) for v, k in added],
+                        [batch.column(n).slice(start, len(rows)) for n in names] + [column(v, k) for v, k in added],
                         names + [f.name for f in _ADDED],
                     )
                     start, held, rows = i + 1, 0, []

@@ -143,13 +143,14 @@ def _waiting(state: DataFrame, ahead: int) -> DataFrame:
     """What each open crawl waits for: (crawl_id, blocks, max_candidates, pages, whole), the last being the ``ahead`` blocks to read whole.
 
     Those are the blocks of the foremost pages, and if there are fewer the blocks after
-    the first of them. The arrays are bounded by the page budget.
+    the first of them. The pages are in the order of the queue; the arrays are bounded by the page budget.
     """
-    waits = F.sort_array(F.collect_list(F.when(F.col("waits"), F.struct("seq", _block("request_url").alias("b")))))
+    waits = F.sort_array(F.collect_list(F.when(F.col("waits"), F.struct("seq", _block("request_url").alias("b"), "request_url", "blocked"))))
+    unblocked = F.filter("w", lambda x: ~x["blocked"])  # a start page may be blocked
     return (
         state.where("open").groupBy("crawl_id")
-        .agg(F.first("blocks").alias("blocks"), F.first("max_candidates").alias("max_candidates"), F.collect_set(F.when(F.col("waits"), F.col("request_url"))).alias("pages"), waits.alias("w"))
-        .select("crawl_id", "blocks", "max_candidates", "pages", F.col("w.b").alias("b"))
+        .agg(F.first("blocks").alias("blocks"), F.first("max_candidates").alias("max_candidates"), waits.alias("w"))
+        .select("crawl_id", "blocks", "max_candidates", F.array_distinct(F.transform(unblocked, lambda x: x["request_url"])).alias("pages"), F.col("w.b").alias("b"))
         .withColumn("next", F.transform(F.sequence(F.lit(0), F.lit(ahead - 1)), lambda k: F.pmod(F.element_at("b", 1) + k, F.col("blocks"))))
         .where(F.size("b") > 0)
         .select("crawl_id", "blocks", "max_candidates", "pages", F.slice(F.array_distinct(F.concat("b", "next")), 1, ahead).alias("whole"))
@@ -181,14 +182,37 @@ def _first_targets(links: DataFrame) -> DataFrame:
     """The links of each page that may count: the first to each target, and as many targets as its crawl may have candidates.
 
     At most that many less those seen are still taken, so of the first ``max_candidates``
-    targets enough are new. A start page may lead to all pages of its site.
+    targets enough are new. A start page may lead to all pages of its site. Adds their ``rank`` on the page.
     """
     order = F.struct(F.col("pos").isNull().alias("last"), "pos", "deeper")
+    kept = [c for c in ("turn", "max_candidates") if c in links.columns]
     firsts = links.repartition("crawl_id", "src_url").groupBy("crawl_id", "src_url", "url").agg(
-        F.min(order).alias("first"), F.first("max_candidates").alias("most"))
+        F.min(order).alias("first"), *[F.first(c).alias(c) for c in kept])
     rank = F.row_number().over(W.partitionBy("crawl_id", "src_url").orderBy("first", "url"))
-    return firsts.withColumn("rank", rank).where(F.col("rank") <= F.col("most")).select(
-        "crawl_id", "src_url", "first.pos", "url", "first.deeper")
+    return firsts.withColumn("rank", rank).where(F.col("rank") <= F.col("max_candidates")).select(
+        "crawl_id", "src_url", "first.pos", "url", "first.deeper", "rank", *kept)
+
+
+def _links_in_hand(table: DataFrame, waiting: DataFrame, folder: str) -> DataFrame:
+    """The links that a round needs of those of the waited pages and of the whole blocks, from tables below ``folder``.
+
+    The waited pages are visited next and in order. So of all their links the first to each
+    target counts, and the first ``max_candidates`` such targets. Where there are that many
+    the queue is full after them, and the blocks are not read.
+    """
+    turns = waiting.select("crawl_id", "max_candidates", F.posexplode("pages").alias("turn", "src_url"))
+    on_page = _first_targets(table.join(turns, ["crawl_id", "src_url"]))
+    first = on_page.groupBy("crawl_id", "url", "max_candidates").agg(F.min_by(F.struct("src_url", "pos", "deeper", "turn", "rank"), F.struct("turn", "rank")).alias("l"))
+    mentions = first.select("crawl_id", "url", "max_candidates", "l.src_url", F.col("l.pos").alias("_pos"), "l.deeper", F.col("l.turn").alias("parent_seq"), F.col("l.rank").alias("pos"))
+    links = ["crawl_id", "src_url", "pos", "url", "deeper"]
+    waited = written(
+        numbered(mentions, F.col("max_candidates")).withColumn("pos", F.col("_pos")).select(*links, "max_candidates"), f"{folder}/waited")
+    full = waited.groupBy("crawl_id", "max_candidates").count().where(F.col("count") >= F.col("max_candidates"))
+    others = waiting.where(F.size("pages") > 0).join(full.select("crawl_id"), "crawl_id", "left_anti").select("crawl_id", "max_candidates", "blocks", "whole")
+    ahead = (
+        table.join(others, "crawl_id").where(F.array_contains("whole", _block("src_url")))
+        .join(turns.select("crawl_id", "src_url"), ["crawl_id", "src_url"], "left_anti"))
+    return waited.select(*links).unionByName(written(_first_targets(ahead).select(*links), f"{folder}/ahead"))
 
 
 class _Queue:
@@ -306,9 +330,9 @@ def expand(
 
     The links are laid out in ``buckets`` (a power of two) folders by the hash of the page they
     start from. A block is what ends in some bits of the same hash, so it lies in
-    known buckets. In a round a crawl has in hand ``ahead`` blocks of about ``block``
-    links each and the links of the pages that it waits for, of which its budget
-    allows a thousand or so, and its queue, which the candidate limit bounds.
+    known buckets. In a round a crawl has in hand the links that count of the pages that
+    it waits for, and its queue, both of which the candidate limit bounds, and unless they
+    fill the queue ``ahead`` blocks of about ``block`` links each.
 
     Every round is a table in ``folder``, so a lost executor costs one round's work at
     most. A round reads the rows of the crawls that were open before it, no earlier ones.
@@ -335,9 +359,7 @@ def expand(
         live = _live(waiting, buckets)
         if not live:
             break
-        links = _with_ready(table.where(F.col("bucket").isin(live)), waiting, "src_url").where("ready")
-        links = links.join(waiting.select("crawl_id", "max_candidates"), "crawl_id")
-        links = written(_first_targets(links), f"{folder}/links-{n}")
+        links = _links_in_hand(table.where(F.col("bucket").isin(live)), waiting, f"{folder}/links-{n}")
         paths.append(f"{folder}/round-{n}")
         state = written(_round(state, waiting, links, rules, chains), paths[-1])
         dropped(spark, f"{folder}/links-{n}", f"{folder}/waiting-{n}")

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from pagetab.functions.batches import BATCH_BYTES, batch_limits, frugal
+from pagetab.functions.batches import BATCH_BYTES, batch_limits, column, frugal
 from pagetab.functions.html import scan_page
 from pagetab.functions.reuse import reusable
 from pagetab.functions.text import content_sha256, is_longer, limited
@@ -59,7 +59,7 @@ def extract_pages(df: DataFrame, source: str = "body", content_type: str | None
                     kinds = (pa.string(), pa.string(), pa.string(), pa.list_(pa.string()))
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(n).slice(start, len(pages)) for n in names]
-                        + [pa.array(v, k) for v, k in zip(zip(*pages, strict=True), kinds, strict=True)],
+                        + [column(v, k) for v, k in zip(zip(*pages, strict=True), kinds, strict=True)],
                         names + [f.name for f in _PAGE_FIELDS],
                     )
                     start, held, pages = i + 1, 0, []

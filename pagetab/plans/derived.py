@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from pagetab.functions.batches import batch_limits, frugal
+from pagetab.functions.batches import batch_limits, column, frugal
 from pagetab.sources.capture import as_responses, read_table
 
 # The three robots files that derived crawls use, by length of the origin modulo 3.
@@ -79,7 +79,7 @@ def _packed(responses: DataFrame) -> DataFrame:
             bodies = batch.column("body").to_pylist()
             packs = [c is None and i % 7 == 2 and len(b) <= 24_000 for i, c, b in zip(ids, codings, bodies, strict=True)]
             bodies = [gzip.compress(b) if p else b for p, b in zip(packs, bodies, strict=True)]
-            new = {"body": pa.array(bodies, pa.binary()), "content_encoding": pa.array(["gzip" if p else c for p, c in zip(packs, codings, strict=True)], pa.string())}
+            new = {"body": column(bodies, pa.binary()), "content_encoding": column(["gzip" if p else c for p, c in zip(packs, codings, strict=True)], pa.string())}
             yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], names)
 
     return responses.mapInArrow(frugal(run), responses.schema)
@@ -275,7 +275,7 @@ def encoded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             chosen = [ways[i % len(ways)] for i in ids]
             bodies = [f(h.encode()) for (_, f), h in zip(chosen, batch.column("html").to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), pa.array([e for e, _ in chosen], pa.string()), pa.array(bodies, pa.binary())],
+                [batch.column("page_id"), column([e for e, _ in chosen], pa.string()), column(bodies, pa.binary())],
                 ["page_id", "content_encoding", "body"],
             )
 

@@ -1,10 +1,15 @@
 """Tasks with Python workers hold little: what Spark hands to them, and what they take of it at a time."""
 
+import os
+import subprocess
+import sys
+
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from pagetab.functions.batches import BATCH_BYTES, ROWS, batch_limits, frugal
+from pagetab.functions.batches import BATCH_BYTES, ROWS, batch_limits, column, frugal
 from pagetab.operators.bodies import decode_bodies
 from pagetab.operators.pages import extract_pages
 from pagetab.plans.derived import page_responses, site_responses
@@ -58,3 +63,39 @@ def test_a_task_takes_slices():
     taken = list(frugal(lambda batches: (b for b in batches))(iter([batch, batch.slice(0, 0)])))
     assert [b.num_rows for b in taken] == [ROWS, ROWS, 1] and pa.Table.from_batches(taken).to_batches()[0].schema == batch.schema
     assert [n for b in taken for n in b.column("n").to_pylist()] == batch.column("n").to_pylist()
+
+
+@pytest.mark.parametrize("kind, values", [
+    (pa.string(), ["a", None, "é\U0001F600", ""] * 5), (pa.string(), [None, None]), (pa.binary(), (b"", None, b"x\0", bytearray(b"y"))),
+    (pa.int64(), [1, None, -5, 2**62]), (pa.bool_(), [True, None, False] * 7), (pa.list_(pa.string()), [["a", None], None, [], ["b"]])])
+def test_columns(kind, values):
+    for some in (values, values[:0], values[:1]):
+        got = column(some, kind)
+        got.validate(full=True)
+        assert got.type == kind and got.equals(pa.array([bytes(v) if isinstance(v, bytearray) else v for v in some], kind))
+
+
+def test_columns_of_other_types_are_refused():
+    with pytest.raises(TypeError):
+        column([1.0], pa.float64())
+
+
+def test_tasks_load_no_pandas(spark, tmp_path, monkeypatch):
+    """Pandas would take more of a worker than the batches it holds, in each of the three workers that a task has."""
+    runs, kind = [], type(spark.range(0))
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, run, *rest: (runs.append(run), plain(self, run, *rest))[1])
+    row = spark.sql("SELECT 'https://e.com' AS crawl_id, 2L AS capture_id, 'https://e.com/p' AS url, 200 AS http_status, 'text/html' AS content_type, "
+                    "string(null) AS content_encoding, string(null) AS location, binary('<a href=x>y</a>') AS body, timestamp_seconds(0) AS fetched_at, string(null) AS error_type")
+    extract_pages(decode_bodies(site_responses(row), F.lit(99)))
+    assert len(runs) == 3
+    batch = pa.RecordBatch.from_pylist([{
+        "crawl_id": "c", "capture_id": 2, "url": "u", "http_status": 200, "content_type": "text/html", "content_encoding": None, "location": None,
+        "body": b"<a href=x>y</a>", "fetched_at": 0, "error_type": None, "body_bytes": 15, "_limit": 99, "residual_encoding": None, "decoded_bytes": 0,
+        "decode_error": None, "decode_truncated": False}])
+    (tmp_path / "runs").write_bytes(cloudpickle.dumps((runs, batch)))
+    said = subprocess.run(
+        [sys.executable, "-c", "import pickle, sys; runs, b = pickle.load(open(sys.argv[1], 'rb')); "
+         "print(*[x.num_rows for run in runs for x in run(iter([b]))], 'pandas' in sys.modules)", str(tmp_path / "runs")],
+        cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True, text=True)
+    assert said.stdout.split() == ["1", "1", "1", "False"], said.stderr

@@ -7,6 +7,7 @@ from collections import Counter, deque
 import pytest
 from pyspark.sql import functions as F
 
+from pagetab.operators import frontier
 from pagetab.operators.frontier import BLOCK, _first_targets, expand, first_mentions, numbered
 
 from sites import ORIGIN, page, run
@@ -189,3 +190,40 @@ def test_first_targets_of_a_page(spark):
     got = {tuple(r) for r in _first_targets(links(spark, rows).withColumn("max_candidates", most)).select("crawl_id", "src_url", "pos", "url", "deeper").collect()}
     want = {("c", "p", 2, "u", 0), ("c", "p", 2, "t", 1), ("c", "p", 2, "s", 1), ("c", "p", None, "r", 1), ("c", "q", 9, "r", 1)}
     assert got == want | {("d", "p", 2 * i, f"u{i:04d}", 1) for i in range(1000)}
+
+
+def test_rounds_take_no_links_beyond_a_full_queue(spark, tmp_path, monkeypatch):
+    """Where the waited pages fill the queue, their first targets are all that a round takes; else it takes the blocks as well."""
+    u = lambda i: f"{ORIGIN}/{i}"
+    rows = [(c, u(0), i, u(1 + i // 2), 1) for c in "ab" for i in range(60)]
+    rows += [(c, u(k), i, u(100 * k + i), 1) for c in "ab" for k in range(1, 31) for i in range(40)]
+    taken, plain = [], frontier._round
+
+    def counted(state, waiting, in_hand, *rest):
+        taken.append({tuple(r) for r in in_hand.groupBy("crawl_id").count().collect()})
+        return plain(state, waiting, in_hand, *rest)
+
+    monkeypatch.setattr(frontier, "_round", counted)
+    both = starts(spark, "a", 20).unionByName(starts(spark, "b", 100))
+    got = expand(both, spark.createDataFrame([], NO_RULES), links(spark, rows), str(tmp_path)).orderBy("crawl_id", "seq").collect()
+    assert taken == [{("a", 20), ("b", 30 + 30 * 40)}]
+    first = [(u(0), None)] + [(u(1 + i), u(0)) for i in range(30)]
+    assert [(r.url, r.discovered_from) for r in got if r.crawl_id == "a"] == first[:20]
+    assert [(r.url, r.discovered_from) for r in got if r.crawl_id == "b"] == first + [(u(100 + i), u(1)) for i in range(40)] + [(u(200 + i), u(2)) for i in range(29)]
+
+
+def test_waited_pages_are_taken_in_order(spark, tmp_path, monkeypatch):
+    """Pages that wait in the second round lead to the same targets: each counts where it is met first."""
+    u = lambda i: f"{ORIGIN}/{i}"
+    rows = [("c", u(0), i, u(1 + i), 1) for i in range(5)] + [("c", u(1 + k), -i, u(50 + 10 * k + i), 1) for k in range(5) for i in range(30)]
+    taken, plain = [], frontier._round
+
+    def counted(state, waiting, in_hand, *rest):
+        taken.append(in_hand.count())
+        return plain(state, waiting, in_hand, *rest)
+
+    monkeypatch.setattr(frontier, "_round", counted)
+    got = expand(starts(spark, "c", 45), spark.createDataFrame([], NO_RULES), links(spark, rows), str(tmp_path), buckets=64, block=1, ahead=1).orderBy("seq").collect()
+    want = [u(i) for i in range(6)] + [u(50 + i) for i in reversed(range(30))] + [u(60 + i) for i in reversed(range(20, 30))][:9]
+    assert [r.url for r in got] == want
+    assert max(taken) <= 45 + 30
